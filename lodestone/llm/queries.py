@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .minhash import op6_minhash
 from .packing import op3_packing
 from .token_files import op9_token_files
 
 QUERIES = {
+    "op6_minhash": op6_minhash,
     "op3_packing": op3_packing,
     "op5_bpe": op5_bpe,
     "op9_token_files": op9_token_files,
