@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .minhash import op6_minhash
 from .packing import op3_packing
+from .repeats import op10_repeats
 from .token_files import op9_token_files
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_bpe": op5_bpe,
     "op9_token_files": op9_token_files,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
