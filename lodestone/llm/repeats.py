@@ -37,16 +37,15 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .shingles import _BASE, _INVERSE, _OF_BYTE, mix, powers
 
-#: Bytes of text that are parsed at once; longer texts are parsed in overlapping parts.
-PART = 2_000_000
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
 #: A place is a text hash of 24 bits, a position of 32 bits and a number of windows of 7 bits.
 POSITION, TIE = 7, 39
 
 
-def parts(texts: pa.Array, length: int):
-    """(rows, positions in their texts, data, bounds) of strings of about PART bytes together."""
+def parts(texts: pa.Array, length: int, part: int):
+    """(rows, positions in their texts, data, bounds) of strings of about `part` bytes together; longer
+    texts come in parts that overlap by length - 1."""
     if texts.null_count:
         texts = texts.fill_null("")
     texts = texts.cast(pa.large_string())
@@ -58,13 +57,13 @@ def parts(texts: pa.Array, length: int):
     row = 0
     while row < n:
         size = offsets[row + 1] - offsets[row]
-        if size > PART:
-            for a in range(0, size - length + 1, PART):
-                b = min(size, a + PART + length - 1)
+        if size > part:
+            for a in range(0, size - length + 1, part):
+                b = min(size, a + part + length - 1)
                 yield np.array([row]), np.array([a]), data[offsets[row] + a : offsets[row] + b], np.array([0, b - a])
             row += 1
         else:
-            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART, "right")) - 1)
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + part, "right")) - 1)
             yield np.arange(row, end), np.zeros(end - row, np.int64), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
             row = end
 
@@ -109,9 +108,9 @@ def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
     return starts, count, h[at[starts]], hashes.spans(starts, count + length - 1)
 
 
-def parse(texts: pa.Array, length: int, trigger: int):
+def parse(texts: pa.Array, length: int, trigger: int, part: int):
     """(row, position, number of windows, trigger, phrase, repeated within its text) of all phrases, part by part."""
-    for rows, base, data, bounds in parts(texts, length):
+    for rows, base, data, bounds in parts(texts, length, part):
         start, count, trig, phrase = phrases(data, bounds, length, trigger)
         k = np.searchsorted(bounds, start, "right") - 1
         row, pos = rows[k], base[k] + start - bounds[k]
@@ -130,7 +129,7 @@ def _pick(column: pa.Array, rows: np.ndarray) -> pa.Array:
     return column.take(pa.array(rows))
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 2_000_000) -> DataFrame:
     """Each row of docs as a struct `doc`, with n_bytes, the removed runs (`spans`, in bytes) and `kept` bytes.
 
     docs needs doc_id and text. Phrase occurrences are shuffled once by trigger, texts once by
@@ -146,7 +145,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32) -> Dat
     def occurrences(batches):
         for batch in batches:
             key, tied = batch.column(0), batch.column(1).to_numpy()
-            for row, pos, count, trig, phrase, again in parse(batch.column(2), length, trigger):
+            for row, pos, count, trig, phrase, again in parse(batch.column(2), length, trigger, part):
                 new = ~again
                 place = tied[row] << TIE | pos << POSITION | count
                 yield pa.RecordBatch.from_arrays([_signed(trig[new]), _signed(phrase[new]), _pick(key, row[new]), pa.array(place[new])], names=["trig", "phrase", "doc_order", "place"])
@@ -167,13 +166,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32) -> Dat
     def suffixes(batches):
         for batch in batches:
             opened = batch.column(3)
-            for rows, base, data, bounds in parts(batch.column(2), length):
+            for rows, base, data, bounds in parts(batch.column(2), length, part):
                 hashes = None
                 for k, row in enumerate(rows.tolist()):
                     spans = opened[row].values.to_numpy()
                     a = (spans >> POSITION) - base[k]
                     n = spans & (1 << POSITION) - 1
-                    mine = (a >= 0) & (a + n + length - 1 <= bounds[k + 1] - bounds[k]) & (a < PART)
+                    mine = (a >= 0) & (a + n + length - 1 <= bounds[k + 1] - bounds[k]) & (a < part)
                     if not mine.any():
                         continue
                     hashes = hashes or Hashes(data)
@@ -195,7 +194,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32) -> Dat
         for batch in batches:
             texts = batch.column(1).fill_null("")
             repeated: dict[int, list] = {}
-            for row, pos, count, _, _, again in parse(texts, length, trigger):
+            for row, pos, count, _, _, again in parse(texts, length, trigger, part):
                 for r, p, c in zip(row[again].tolist(), pos[again].tolist(), count[again].tolist(), strict=True):
                     repeated.setdefault(r, []).append(p << POSITION | c)
             sizes, spans, kept = [], [], []
