@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .embeddings import OP1_SQL, op1_embeddings
 from .minhash import op6_minhash
 from .packing import op3_packing
 from .repeats import op10_repeats
 from .token_files import op9_token_files
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op6_minhash": op6_minhash,
     "op3_packing": op3_packing,
     "op5_bpe": op5_bpe,
@@ -16,4 +18,6 @@ QUERIES = {
     "op10_repeats": op10_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_embeddings": OP1_SQL,
+}
