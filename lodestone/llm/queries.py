@@ -6,12 +6,14 @@ from .bpe import op5_bpe
 from .embeddings import OP1_SQL, op1_embeddings
 from .minhash import op6_minhash
 from .packing import op3_packing
+from .quality_rules import OP2_SQL, op2_quality_rules
 from .repeats import op10_repeats
 from .token_files import op9_token_files
 
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op6_minhash": op6_minhash,
+    "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op5_bpe": op5_bpe,
     "op9_token_files": op9_token_files,
@@ -20,4 +22,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_embeddings": OP1_SQL,
+    "op2_quality_rules": OP2_SQL,
 }
