@@ -19,7 +19,9 @@ copied passages. The dictionary's suffixes (to `length` bytes) of those phrases
 the fingerprint of their first `length` bytes and corpus position; all but the first of a run are
 repeated. Only equality of these prefixes matters here, so fingerprints replace alphabetical order.
 
-Within one document repeated phrases are settled at once, so periodic text sends one phrase.
+Before anything is shuffled, phrases that a batch of texts has already had are settled there, so
+a passage that a third of the documents hold is sent about once per batch. Occurrences travel as
+compressed columns, one block per batch and cell of triggers; a cell is resolved by array sorts.
 
 Defined cases: null text: empty; texts shorter than `length`: nothing is removed; null doc_id:
 last in corpus order; rows that repeat a doc_id and text are one document, and each gets its
@@ -31,16 +33,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import partitions, stored, table
 from .shingles import _BASE, _INVERSE, _OF_BYTE, mix, powers
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
-#: A place is a text hash of 24 bits, a position of 32 bits and a number of windows of 7 bits.
-POSITION, TIE = 7, 39
+#: A place is a position and, in its low bits, a number of windows.
+BITS = 7
 
 
 def parts(texts: pa.Array, length: int, part: int):
@@ -81,11 +84,16 @@ class Hashes:
 
 
 def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
-    """First window, number of windows, trigger hash and phrase hash of each phrase of the strings in data."""
+    """First window, number of windows, hashes of trigger and phrase, and two short hashes of the
+    context before and behind the trigger (0: it would leave the text) of each phrase in data.
+
+    Equal windows agree in half the bytes around the trigger at least on one of its sides, so
+    phrases without an equal context share no window.
+    """
     n = len(data)
     windows = n - length + 1
     if windows < 1:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 4
     hashes = Hashes(data)
     grams = n - trigger + 1
     h = mix((hashes.total[trigger:] - hashes.total[:-trigger]) * hashes.inverse[:grams])
@@ -105,115 +113,187 @@ def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
     last[:-1] &= first[1:] | ~fits[1:]
     starts = np.flatnonzero(first)
     count = np.flatnonzero(last) - starts + 1
-    return starts, count, h[at[starts]], hashes.spans(starts, count + length - 1)
-
-
-def parse(texts: pa.Array, length: int, trigger: int, part: int):
-    """(row, position, number of windows, trigger, phrase, repeated within its text) of all phrases, part by part."""
-    for rows, base, data, bounds in parts(texts, length, part):
-        start, count, trig, phrase = phrases(data, bounds, length, trigger)
-        k = np.searchsorted(bounds, start, "right") - 1
-        row, pos = rows[k], base[k] + start - bounds[k]
-        order = np.lexsort((pos, phrase, trig, row))
-        again = np.zeros(len(order), bool)
-        a, b = order[:-1], order[1:]
-        again[b] = (row[a] == row[b]) & (trig[a] == trig[b]) & (phrase[a] == phrase[b])
-        yield row, pos, count, trig, phrase, again
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _pick(column: pa.Array, rows: np.ndarray) -> pa.Array:
-    return column.take(pa.array(rows))
-
-
-def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 2_000_000) -> DataFrame:
+    place, half = at[starts], (length - trigger) // 2
+    doc = np.searchsorted(bounds, starts, "right") - 1
+    before, behind = place - half, place + trigger + half
+    left = np.where(before >= bounds[doc], hashes.spans(np.maximum(before, 0), half + trigger) | np.uint64(1), np.uint64(0))
+    right = np.where(behind <= bounds[doc + 1], hashes.spans(np.minimum(place, n - half - trigger), half + trigger) | np.uint64(1), np.uint64(0))
+    return starts, count, h[place], hashes.spans(starts, count + length - 1), left, right
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    return zstandard.compress(b"".join(c.tobytes() for c in columns), 3)
+
+
+def unpacked(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
+    """The columns of all blocks, one block behind the other."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    out: list[list] = [[] for _ in kinds]
+    for blob in blobs:
+        raw = zstandard.decompress(blob)
+        n, at = len(raw) // width, 0
+        for k, kind in enumerate(kinds):
+            out[k].append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(x) for x in out]
+
+
+PHRASE = ["u4", "u2", "u2", "u8", "i8", "i8"]  # trigger, contexts, phrase, document, place
+SUFFIX = ["u8", "i8", "i8"]  # window, document, place
+BLOCK = "cell int, block binary, doc_order long, place long"
+
+
+def blocks(cell: np.ndarray, columns: list[np.ndarray], cells: int) -> pa.RecordBatch:
+    """A row per cell with its rows' columns; documents as differences."""
+    order = np.argsort(cell, kind="stable")
+    edges = np.searchsorted(cell[order], np.arange(cells + 1))
+    columns = [c[order] for c in columns]
+    got = [(k, packed([c[a:b] for c in columns])) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+    nothing = pa.nulls(len(got), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary()), nothing, nothing], names=["cell", "block", "doc_order", "place"])
+
+
+def settled(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    n = len(docs)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(docs), pa.array(places)], names=["cell", "block", "doc_order", "place"])
+
+
+def later(keys: list[np.ndarray], docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Marks each row with a row of the same keys at an earlier document or place."""
+    order = np.lexsort((places, docs, *keys))
+    a, b = order[:-1], order[1:]
+    same = np.ones(len(b), bool)
+    for k in keys:
+        same &= k[a] == k[b]
+    new = np.concatenate([[True], ~same]) if len(order) else np.empty(0, bool)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    out = np.zeros(len(order), bool)
+    out[order] = (docs[head] != docs[order]) | (places[head] >> BITS != places[order] >> BITS)
+    return out
+
+
+def _with_order(docs: DataFrame) -> DataFrame:
+    """doc (all columns but text), text and doc_order: a document's rank in the corpus, doc_id itself where that will do."""
+    names = [c for c in docs.columns if c != "text"]
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), "text", F.col("doc_id").cast("long").alias("id"))
+    clear = nested.groupBy("id").count().where("id is null or count > 1").isEmpty()
+    if clear:
+        return nested.withColumnRenamed("id", "doc_order")
+    # some ids are null or repeated: number the different (doc_id, text) in corpus order
+    keyed = nested.withColumn("tie", F.xxhash64("text"))
+    ranks = keyed.select("id", "tie").distinct().orderBy(F.col("id").asc_nulls_last(), "tie").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, tie long, doc_order long")
+    ranks = ranks.withColumnRenamed("id", "rank_id").withColumnRenamed("tie", "rank_tie")
+    return keyed.join(ranks, F.col("id").eqNullSafe(F.col("rank_id")) & (F.col("tie") == F.col("rank_tie"))).select("doc", "text", "doc_order")
+
+
+def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 4_000_000, cells: int | None = None) -> DataFrame:
     """Each row of docs as a struct `doc`, with n_bytes, the removed runs (`spans`, in bytes) and `kept` bytes.
 
-    docs needs doc_id and text. Phrase occurrences are shuffled once by trigger, texts once by
-    document for the suffix step and once for the result.
+    docs needs doc_id and text. Phrase occurrences are shuffled once, in blocks by trigger; texts,
+    compressed, once for the suffix step and once for the result. `cells` (four times the shuffle
+    partitions) should leave a cell a few hundred megabytes of phrases at most.
     """
-    assert length - trigger + 1 < 1 << POSITION
-    tie = F.shiftrightunsigned(F.xxhash64("text"), 40)
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    # order: corpus position of the document; tie tells apart texts under one doc_id
-    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text", order.alias("doc_order"), tie.alias("tie"))
-    keyed = docs.select("doc_order", "tie", "text")
+    assert length - trigger + 1 < 1 << BITS
+    spark = docs.sparkSession
+    cells = cells or 4 * partitions(spark)
+    docs = _with_order(docs)
 
     def occurrences(batches):
         for batch in batches:
-            key, tied = batch.column(0), batch.column(1).to_numpy()
-            for row, pos, count, trig, phrase, again in parse(batch.column(2), length, trigger, part):
+            key = batch.column(0).to_numpy()
+            for rows, base, data, bounds in parts(batch.column(1), length, part):
+                start, count, trig, phrase, left, right = phrases(data, bounds, length, trigger)
+                k = np.searchsorted(bounds, start, "right") - 1
+                doc, place = key[rows[k]], base[k] + start - bounds[k] << BITS | count
+                again = later([phrase], doc, place)
                 new = ~again
-                place = tied[row] << TIE | pos << POSITION | count
-                yield pa.RecordBatch.from_arrays([_signed(trig[new]), _signed(phrase[new]), _pick(key, row[new]), pa.array(place[new])], names=["trig", "phrase", "doc_order", "place"])
-
-    found = keyed.mapInArrow(occurrences, "trig long, phrase long, doc_order long, place long")
-    ranked = found.withColumns({
-        "first_place": F.expr("min(struct(doc_order, place)) over (partition by trig, phrase)"),
-        "kinds": F.expr("max(phrase) over (partition by trig) != min(phrase) over (partition by trig)"),
-    })
-    first = F.col("first_place") == F.struct("doc_order", "place")
-    ranked = stored(ranked.where(~first | F.col("kinds")).select("doc_order", "place", first.alias("first")), "phrases")
-    coarse = ranked.where("not first").select("doc_order", "place")
-
-    # suffixes of phrases that share a trigger with other phrases
-    own = F.shiftrightunsigned("place", TIE).alias("tie")
-    open_of = ranked.where("first").groupBy("doc_order", own).agg(F.collect_list(F.col("place").bitwiseAND((1 << TIE) - 1)).alias("open"))
+                yield settled(doc[again], place[again])
+                short = trig[new].astype(np.uint32)
+                yield blocks((short % np.uint32(cells)).astype(np.int32), [short, left[new].astype(np.uint16), right[new].astype(np.uint16), phrase[new], doc[new], place[new]], cells)
+
+    def resolve(cell: pa.Table) -> pa.Table:
+        trig, left, right, phrase, doc, place = unpacked(cell.column("block").to_pylist(), PHRASE)
+        again = later([phrase, trig], doc, place)
+        # dictionary: first occurrences; those that share trigger and a context with another phrase stay open
+        first = np.flatnonzero(~again)
+        first = first[np.lexsort((phrase[first], trig[first]))]
+        first = first[np.concatenate([[True], (np.diff(trig[first]) != 0) | (np.diff(phrase[first]) != 0)])] if len(first) else first
+        shared = np.zeros(len(first), bool)
+        for side in (left, right):
+            both = trig[first].astype(np.uint64) << np.uint64(16) | side[first]
+            _, at, n = np.unique(both, return_inverse=True, return_counts=True)
+            shared |= (n[at] > 1) & (side[first] != 0)
+        first = first[shared]
+        rows = np.concatenate([np.flatnonzero(again), first])
+        return pa.table({"doc_order": doc[rows], "place": place[rows], "open": np.arange(len(rows)) >= len(rows) - len(first)})
+
+    sent = stored(docs.select("doc_order", "text").mapInArrow(occurrences, BLOCK), "phrases")
+    resolved = stored(sent.where("cell is not null").select("cell", "block").groupBy("cell").applyInArrow(resolve, "doc_order long, place long, open boolean"), "resolved")
+    coarse = sent.where("cell is null").select("doc_order", "place").unionByName(resolved.where("not open").select("doc_order", "place"))
+
+    def compress(batches):
+        for batch in batches:
+            texts = [zstandard.compress(x, 3) for x in batch.column(1).fill_null("").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_order", "text"])
+
+    small = docs.select("doc_order", "text").mapInArrow(compress, "doc_order long, text binary")
+    open_of = resolved.where("open").groupBy("doc_order").agg(F.collect_list("place").alias("places"))
 
     def suffixes(batches):
         for batch in batches:
-            opened = batch.column(3)
-            for rows, base, data, bounds in parts(batch.column(2), length, part):
-                hashes = None
-                for k, row in enumerate(rows.tolist()):
-                    spans = opened[row].values.to_numpy()
-                    a = (spans >> POSITION) - base[k]
-                    n = spans & (1 << POSITION) - 1
-                    mine = (a >= 0) & (a + n + length - 1 <= bounds[k + 1] - bounds[k]) & (a < part)
-                    if not mine.any():
-                        continue
-                    hashes = hashes or Hashes(data)
-                    a, n = a[mine], n[mine]
-                    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    place = batch.column(1)[row].as_py() << TIE | (at + base[k]) << POSITION | 1
-                    rowed = np.full(len(at), row)
-                    yield pa.RecordBatch.from_arrays([_signed(hashes.spans(at + bounds[k], length)), _pick(batch.column(0), rowed), pa.array(place)], names=["window", "doc_order", "place"])
-
-    shared = keyed.join(open_of, ["doc_order", "tie"]).mapInArrow(suffixes, "window long, doc_order long, place long")
-    shared = shared.withColumn("first_place", F.expr("min(struct(doc_order, place)) over (partition by window)"))
-    fine = shared.where(F.col("first_place") != F.struct("doc_order", "place")).select("doc_order", "place")
-
-    marks = coarse.unionByName(fine).groupBy("doc_order", own).agg(F.collect_set(F.col("place").bitwiseAND((1 << TIE) - 1)).alias("marks"))
-    out_type = docs.select("doc").schema["doc"].dataType.simpleString()
+            got: list[list] = [[], [], []]
+            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(zstandard.decompress(text), np.uint8)
+                places = np.array(places, np.int64)
+                start, count = places >> BITS, places & (1 << BITS) - 1
+                for a, n in zip(start.tolist(), count.tolist(), strict=True):
+                    span = data[a : a + n + length - 1]
+                    got[0].append(Hashes(span).spans(np.arange(n), length))
+                    got[1].append(np.full(n, doc))
+                    got[2].append(np.arange(a, a + n) << BITS | 1)
+            window, doc, place = (np.concatenate(x) for x in got)
+            again = later([window], doc, place)
+            yield settled(doc[again], place[again])
+            new = ~again
+            yield blocks((window[new] % np.uint64(cells)).astype(np.int32), [window[new], doc[new], place[new]], cells)
+
+    def order_suffixes(cell: pa.Table) -> pa.Table:
+        window, doc, place = unpacked(cell.column("block").to_pylist(), SUFFIX)
+        again = later([window], doc, place)
+        return pa.table({"doc_order": doc[again], "place": place[again]})
+
+    windows = stored(small.join(open_of, "doc_order").select("doc_order", "text", "places").mapInArrow(suffixes, BLOCK), "suffixes")
+    fine = windows.where("cell is not null").select("cell", "block").groupBy("cell").applyInArrow(order_suffixes, "doc_order long, place long")
+    fine = fine.unionByName(windows.where("cell is null").select("doc_order", "place"))
+    marks = coarse.unionByName(fine).groupBy("doc_order").agg(F.collect_set("place").alias("marks"))
+    out_type = docs.schema["doc"].dataType.simpleString()
+
+    def squeeze(batches):
+        for batch in batches:
+            texts = [zstandard.compress(x, 3) for x in batch.column(1).fill_null("").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["doc", "text", "doc_order"])
 
     def cut_out(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            repeated: dict[int, list] = {}
-            for row, pos, count, _, _, again in parse(texts, length, trigger, part):
-                for r, p, c in zip(row[again].tolist(), pos[again].tolist(), count[again].tolist(), strict=True):
-                    repeated.setdefault(r, []).append(p << POSITION | c)
             sizes, spans, kept = [], [], []
-            for r, (text, marked) in enumerate(zip(texts.cast(pa.large_binary()).to_pylist(), batch.column(2), strict=True)):
+            for packed_text, marked in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = zstandard.decompress(packed_text)
                 sizes.append(len(text))
-                places = np.array((marked.as_py() or []) + repeated.get(r, []), np.int64)
                 runs = []
-                if len(places):
-                    places.sort()
-                    a = places >> POSITION
-                    b = np.maximum.accumulate(a + (places & (1 << POSITION) - 1) + length - 1)
+                if marked.is_valid:
+                    places = np.sort(marked.values.to_numpy())
+                    a = places >> BITS
+                    b = np.maximum.accumulate(a + (places & (1 << BITS) - 1) + length - 1)
                     new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
                     runs = list(zip(a[new].tolist(), b[np.append(new[1:] - 1, len(b) - 1)].tolist(), strict=True))
                 edges = [0, *(x for run in runs for x in run), len(text)]
-                spans.append([{"start": s, "end": e} for s, e in runs])
+                spans.append([{"start": x, "end": y} for x, y in runs])
                 kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if runs else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "spans", "kept"])
 
-    return docs.join(marks, ["doc_order", "tie"], "left").select("doc", "text", "marks").mapInArrow(cut_out, f"doc {out_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    whole = docs.mapInArrow(squeeze, f"doc {out_type}, text binary, doc_order long")
+    return whole.join(marks, "doc_order", "left").select("doc", "text", "marks").mapInArrow(cut_out, f"doc {out_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
