@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from .bpe import op5_bpe
 from .embeddings import OP1_SQL, op1_embeddings
 from .language_id import op7_language_id
@@ -13,6 +15,14 @@ from .repeats import op10_repeats
 from .token_files import op9_token_files
 from .url_filter import op4_url_filter
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_quality_rules": op2_quality_rules,
@@ -24,6 +34,7 @@ QUERIES = {
     "op8_quality_cnn": op8_quality_cnn,
     "op9_token_files": op9_token_files,
     "op10_repeats": op10_repeats,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {

@@ -186,12 +186,13 @@ def _with_order(docs: DataFrame) -> DataFrame:
     return keyed.join(ranks, F.col("id").eqNullSafe(F.col("rank_id")) & (F.col("tie") == F.col("rank_tie"))).select("doc", "text", "doc_order")
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 4_000_000, cells: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 4_000_000, cells: int | None = None, as_text: bool = False) -> DataFrame:
     """Each row of docs as a struct `doc`, with n_bytes, the removed runs (`spans`, in bytes) and `kept` bytes.
 
     docs needs doc_id and text. Phrase occurrences are shuffled once, in blocks by trigger; texts,
     compressed, once for the suffix step and once for the result. `cells` (four times the shuffle
-    partitions) should leave a cell a few hundred megabytes of phrases at most.
+    partitions) should leave a cell a few hundred megabytes of phrases at most. With as_text, `kept` is
+    a string, without the characters that a run cuts.
     """
     assert length - trigger + 1 < 1 << BITS
     spark = docs.sparkSession
@@ -290,10 +291,12 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part:
                 edges = [0, *(x for run in runs for x in run), len(text)]
                 spans.append([{"start": x, "end": y} for x, y in runs])
                 kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if runs else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "spans", "kept"])
+            if as_text:
+                kept = [x.decode("utf-8", "ignore") for x in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string() if as_text else pa.binary())], names=["doc", "n_bytes", "spans", "kept"])
 
     whole = docs.mapInArrow(squeeze, f"doc {out_type}, text binary, doc_order long")
-    return whole.join(marks, "doc_order", "left").select("doc", "text", "marks").mapInArrow(cut_out, f"doc {out_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return whole.join(marks, "doc_order", "left").select("doc", "text", "marks").mapInArrow(cut_out, f"doc {out_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
