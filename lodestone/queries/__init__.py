@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers all of them."""
 
-from . import text
+from . import matching, text
 
-__all__ = ["text"]
+__all__ = ["matching", "text"]
