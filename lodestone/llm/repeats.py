@@ -186,7 +186,7 @@ def _with_order(docs: DataFrame) -> DataFrame:
     return keyed.join(ranks, F.col("id").eqNullSafe(F.col("rank_id")) & (F.col("tie") == F.col("rank_tie"))).select("doc", "text", "doc_order")
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 4_000_000, cells: int | None = None, as_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 2_500_000, cells: int | None = None, as_text: bool = False) -> DataFrame:
     """Each row of docs as a struct `doc`, with n_bytes, the removed runs (`spans`, in bytes) and `kept` bytes.
 
     docs needs doc_id and text. Phrase occurrences are shuffled once, in blocks by trigger; texts,
