@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers all of them."""
 
-from . import matching, text
+from . import matching, state, text
 
-__all__ = ["matching", "text"]
+__all__ = ["matching", "state", "text"]
