@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers all of them."""
 
-from . import matching, state, text
+from . import matching, planning, state, text
 
-__all__ = ["matching", "state", "text"]
+__all__ = ["matching", "planning", "state", "text"]
