@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers all of them."""
 
-from . import matching, planning, state, text
+from . import evidence, matching, planning, state, streams, text
 
-__all__ = ["matching", "planning", "state", "text"]
+__all__ = ["evidence", "matching", "planning", "state", "streams", "text"]
