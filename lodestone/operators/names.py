@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import name_words, norm_title
 
@@ -48,7 +49,7 @@ def _ratio(a: str, b: str) -> float:
     return m.ratio() if min(m.real_quick_ratio(), m.quick_ratio()) > 0 else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of matching characters of two strings; the order of arguments counts."""
     return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
@@ -63,20 +64,23 @@ def titles_match(a: Column, b: Column, least: float = 0.75) -> Column:
 def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, ref: str, least: float = 0.85) -> DataFrame:
     """Pairs (key, ref, score) of titles (`norm`) with a similarity of `least` or more.
 
-    The similarity is at most 2 * shared letters / letters in all, so a pair needs near lengths and a
-    common pair of letters: titles meet by length band and letter pair, not all with all.
+    A similarity s of lengths x and y allows e = (1 - s) * (x + y) single letters to be put in or left
+    out, and each breaks two letter pairs at most: titles meet on letter pairs, and only pairs of
+    titles with near lengths and no more missing letter pairs than 2 * e are compared. Empty titles
+    match nothing.
     """
 
     def blocks(d: DataFrame, name: str) -> DataFrame:
         n = F.length("norm")
         grams = F.when(n < 2, F.array("norm")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col("norm"), i, F.lit(2))))
-        return d.select(name, F.col("norm").alias(f"{name}_norm"), F.explode(F.array_distinct(grams)).alias("gram"))
+        d = d.where("norm != ''").select(name, F.col("norm").alias(f"{name}_norm"), F.array_distinct(grams).alias("grams"))
+        return d.select(name, f"{name}_norm", F.size("grams").alias(f"{name}_n"), F.explode("grams").alias("gram"))
 
     a, b = blocks(left, key), blocks(right, ref)
     x, y = F.length(f"{key}_norm"), F.length(f"{ref}_norm")
-    met = a.join(b, "gram").where(2 * F.least(x, y) >= least * (x + y)).groupBy(key, ref, f"{key}_norm", f"{ref}_norm").agg(F.count("*").alias("grams"))
-    # of n - 1 letter pairs an edit breaks two at most; fewer shared ones can't reach the similarity
-    met = met.where(F.col("grams") >= 1)
+    met = a.join(b, "gram").where(2 * F.least(x, y) >= least * (x + y)).groupBy(key, ref, f"{key}_norm", f"{ref}_norm", f"{key}_n", f"{ref}_n").agg(F.count("*").alias("shared"))
+    edits = F.floor((1 - least) * (x + y) + 1e-9)
+    met = met.where(F.col("shared") >= F.greatest(f"{key}_n", f"{ref}_n") - 2 * edits)
     return met.select(key, ref, similarity(F.col(f"{key}_norm"), F.col(f"{ref}_norm")).alias("score")).where(F.col("score") >= least)
 
 

@@ -14,16 +14,16 @@ from .common import table
 # titles are pairs of words of the benchmark passages; names are lines of documents
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _T = f"SELECT item_id AS code, w[1] || ' ' || w[2] AS title FROM (SELECT item_id, {_W} AS w FROM benchmark) UNION ALL SELECT item_id + 1000, w[1] || ' ' || w[2] || ' ' || w[3] FROM (SELECT item_id, {_W} AS w FROM benchmark)"
-_D = "SELECT doc_id, item_id AS own, ' ' || trim(regexp_replace(translate(replace(lower(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), '&', ' and '), '''’', ''), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents, (SELECT item_id AS item_id FROM benchmark) WHERE lang = 'en' AND doc_id % 40 = item_id"
-_HITS = f"WITH t AS (SELECT code, title AS words FROM ({_T}) WHERE len(title) >= 8), d AS ({_D}), h AS (SELECT doc_id, own, code, words, strpos(t, ' ' || words || ' ') AS at FROM d JOIN t ON contains(t, ' ' || words || ' '))"
+_D = "SELECT doc_id, doc_id % 40 AS own, ' ' || trim(regexp_replace(translate(replace(lower(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), '&', ' and '), '''’', ''), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents"
+_HITS = f"WITH t AS (SELECT code, title AS words FROM ({_T}) WHERE len(title) >= 8), d AS ({_D}), h AS (SELECT doc_id, own, code, words, strpos(t, ' ' || words || ' ') AS pos FROM d JOIN t ON contains(t, ' ' || words || ' '))"
 
 
 def _titled(spark, sf_dir):
     w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
     b = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w"))
     titles = b.select(F.col("item_id").alias("code"), F.array_join(F.slice("w", 1, 2), " ").alias("title")).unionByName(b.select((F.col("item_id") + 1000).alias("code"), F.array_join(F.slice("w", 1, 3), " ").alias("title")))
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").join(b.select((F.col("item_id")).alias("own")), F.col("doc_id") % 40 == F.col("own"))
-    return docs.select("doc_id", "own", "text"), titles
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("own"), "text")
+    return docs, titles
 
 
 def _hits(spark, sf_dir):
@@ -31,7 +31,7 @@ def _hits(spark, sf_dir):
     return docs, names.contained(docs, "doc_id", "text", titles, "code", "title")
 
 
-@query(_HITS + " SELECT doc_id, code, words, at::BIGINT AS at FROM h")
+@query(_HITS + " SELECT doc_id, code, words, pos::BIGINT AS \"at\" FROM h")
 def title_containment(spark, sf_dir):
     return _hits(spark, sf_dir)[1]
 
@@ -39,7 +39,7 @@ def title_containment(spark, sf_dir):
 _OUT = _HITS + ", o AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = h.doc_id AND len(g.words) > len(h.words) AND contains(' ' || g.words || ' ', ' ' || h.words || ' ')))"
 
 
-@query(_OUT + " SELECT doc_id, list(code ORDER BY at, code) AS codes FROM o GROUP BY 1")
+@query(_OUT + " SELECT doc_id, list(code ORDER BY pos, code) AS codes FROM o GROUP BY 1")
 def titles_in_order(spark, sf_dir):
     _, hits = _hits(spark, sf_dir)
     o = names.outermost(hits, "doc_id", "code")
@@ -53,11 +53,12 @@ def name_verdict(spark, sf_dir):
     return names.verdict(hits, docs, "doc_id", "code", "own")
 
 
-# ---- fuzzy titles: supplier names against customer names with a letter changed
+# ---- fuzzy titles: part names against the same names with a letter changed
 def _fuzzy(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", X.norm_title(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("norm"), "p_size").where("p_size <= 5")
-    pages = p.select(F.col("p_partkey").alias("page"), F.regexp_replace("norm", "e", "a").alias("norm"))
-    return names.fuzzy_pairs(p.select("p_partkey", "norm"), pages, "p_partkey", "page"), p
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), "p_size").distinct()
+    titles = p.select("title").distinct().withColumn("norm", X.norm_title(F.col("title")))
+    pages = titles.select(F.upper("title").alias("page"), F.regexp_replace("norm", "e", "a").alias("norm"))
+    return names.fuzzy_pairs(titles, pages, "title", "page"), p
 
 
 @query()
@@ -68,12 +69,12 @@ def fuzzy_title_join(spark, sf_dir):
 @query()
 def greedy_assignment(spark, sf_dir):
     pairs, parts = _fuzzy(spark, sf_dir)
-    return names.greedy_pairs(pairs.join(parts.select("p_partkey", "p_size"), "p_partkey"), "p_size", "p_partkey", "page")
+    return names.greedy_pairs(pairs.join(parts, "title"), "p_size", "title", "page")
 
 
 @query()
 def title_code_unique(spark, sf_dir):
-    return names.unique_code(_fuzzy(spark, sf_dir)[0], "p_partkey", "page")
+    return names.unique_code(_fuzzy(spark, sf_dir)[0], "title", "page")
 
 
 # ---- title cards

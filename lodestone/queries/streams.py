@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import alnum
 from ..registry import query
 from ..streaming import grabs
-from .common import table
+from .common import scratch, table
 
 
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
@@ -35,7 +35,7 @@ def stream_session(spark, sf_dir):
     return _finished(grabs.sessions(_stream(spark, sf_dir, "events"), "user_id", "ts", "30 minutes").select("user_id", "n"), "complete")
 
 
-@query("SELECT epoch(ts)::BIGINT // 3600 * 3600 - o * 3600 AS start, count(*) AS n FROM events, range(2) t(o) GROUP BY 1")
+@query("SELECT floor(epoch(ts) / 3600)::BIGINT * 3600 - o * 3600 AS start, count(*) AS n FROM events, range(2) t(o) GROUP BY 1")
 def stream_hop(spark, sf_dir):
     return _finished(grabs.hops(_stream(spark, sf_dir, "events"), "ts", "2 hours", "1 hour").select(F.unix_timestamp("start").alias("start"), "n"), "complete")
 
@@ -43,19 +43,17 @@ def stream_hop(spark, sf_dir):
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id % 50 AS rel FROM events) GROUP BY 1, 2")
 def stream_import_batches(spark, sf_dir):
     e = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.concat_ws("/", "event_type", F.col("event_id") % 50).alias("rel"))
-    batches: list[DataFrame] = []
+    path = scratch(spark, "batches")
 
     def handle(rows: DataFrame, k: int) -> None:
-        batches.append(spark.createDataFrame(rows.groupBy("series", F.split_part("rel", F.lit("/"), F.lit(1)).alias("event_type")).agg(F.count("*").alias("n")).toArrow()))
+        rows.groupBy("series", F.split_part("rel", F.lit("/"), F.lit(1)).alias("event_type")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={k}")
 
     grabs.import_batches(e, handle).trigger(availableNow=True).start().awaitTermination()
-    out = batches[0]
-    for b in batches[1:]:
-        out = out.unionByName(b)
+    out = spark.read.schema("series long, event_type string, n long, batch long").parquet(path)
     return out.groupBy(F.col("series").alias("user_id"), "event_type").agg(F.sum("n").alias("n"))
 
 
-_HIST = "SELECT user_id, epoch(ts)::DOUBLE AS at, CASE event_type WHEN 'purchase' THEN CASE WHEN value > 130 THEN 'imported' ELSE 'seen' END WHEN 'error' THEN CASE WHEN value > 130 THEN 'failed' ELSE 'seen' END ELSE 'seen' END AS kind FROM events"
+_HIST = "SELECT user_id, epoch(ts)::DOUBLE AS \"at\", CASE event_type WHEN 'purchase' THEN CASE WHEN value > 130 THEN 'imported' ELSE 'seen' END WHEN 'error' THEN CASE WHEN value > 130 THEN 'failed' ELSE 'seen' END ELSE 'seen' END AS kind FROM events"
 
 
 def _history(e):
@@ -63,7 +61,7 @@ def _history(e):
     return e.select("user_id", (F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double") + F.date_format("ts", "0.SSSSSS").cast("double")).alias("at"), kind.alias("kind"))
 
 
-_GRAB = f"WITH h AS ({_HIST}), e AS (SELECT user_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at, kind) AS k FROM h WHERE kind != 'seen') WHERE k = 1), s AS (SELECT DISTINCT user_id FROM h)"
+_GRAB = f"WITH h AS ({_HIST}), e AS (SELECT user_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY \"at\", kind) AS k FROM h WHERE kind != 'seen') WHERE k = 1), s AS (SELECT user_id, min(\"at\") AS since FROM h GROUP BY 1)"
 
 
 @query(_GRAB + " SELECT user_id, coalesce(kind, 'stuck') AS status FROM s LEFT JOIN e USING (user_id)")
@@ -71,10 +69,12 @@ def grab_status(spark, sf_dir):
     return grabs.grab_status(_history(table(spark, sf_dir, "events")), "user_id", now=2e9)
 
 
-@query(_GRAB + " SELECT user_id, coalesce(kind, 'waiting') AS status FROM s LEFT JOIN e USING (user_id)")
+@query(_GRAB + " SELECT user_id, coalesce(kind, CASE WHEN since + 172800 <= (SELECT max(\"at\") - 600 FROM h) THEN 'stuck' ELSE 'waiting' END) AS status FROM s LEFT JOIN e USING (user_id)")
 def stream_grab_status(spark, sf_dir):
+    """The last status of each grab: a change leads from waiting to stuck to an end, never back."""
     rows = _finished(grabs.grab_stream(_history(_stream(spark, sf_dir, "events")), "user_id"), "update")
-    return rows.select("user_id", "status")
+    rank = F.array_position(F.array(F.lit("waiting"), F.lit("stuck")), F.col("status"))
+    return rows.groupBy("user_id").agg(F.max_by("status", F.when(rank == 0, 3).otherwise(rank)).alias("status"))
 
 
 @query("""WITH r AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS want FROM orders GROUP BY 1), g AS (SELECT o_custkey, o_orderpriority AS code, CASE o_orderstatus WHEN 'F' THEN 'imported' WHEN 'P' THEN 'stuck' ELSE 'failed' END AS status FROM orders),

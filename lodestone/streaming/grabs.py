@@ -21,26 +21,34 @@ def grab_status(history: DataFrame, key: str, now: float) -> DataFrame:
     return rows.select(key, F.coalesce("end", F.when(now - F.col("since") > STUCK_SECONDS, "stuck").otherwise("waiting")).alias("status"))
 
 
-def grab_stream(history: DataFrame, key: str, kind: str = "long") -> DataFrame:
-    """Stream form: a row (key, status) whenever a grab's status changes; a time-out marks it stuck."""
+def grab_stream(history: DataFrame, key: str, kind: str = "long", late: str = "10 minutes") -> DataFrame:
+    """Stream form: a row (key, status) whenever a grab's status changes. Without an end it is stuck once
+    the watermark is STUCK_SECONDS past its first event; the first end by (at, kind) counts, also when
+    it comes after that. `at` are seconds."""
+    timed = history.withColumn("time", F.timestamp_seconds("at")).withWatermark("time", late)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, since = state.get if state.exists else ("waiting", None)
-        before = status if state.exists else None
-        if state.hasTimedOut:
-            status = "stuck" if status == "waiting" else status
+        before, since, ended = state.get if state.exists else (None, None, None)
+        status = before or "waiting"
         for rows in batches:
-            for r in rows.sort_values(["at", "kind"]).itertuples():
-                since = r.at if since is None else min(since, r.at)
-                if status in ("waiting", "stuck") and r.kind in ("imported", "failed"):
-                    status = r.kind
-        state.update((status, float(since or 0)))
+            least = float(rows["at"].min())
+            since = least if since is None else min(since, least)
+            ends = rows[rows["kind"].isin(["imported", "failed"])]
+            if len(ends):
+                first = min(zip(ends["at"].astype(float), ends["kind"], strict=True))
+                if ended is None or first < (ended, status):
+                    ended, status = first
         if status == "waiting":
-            state.setTimeoutDuration(STUCK_SECONDS * 1000)
+            deadline = int((since + STUCK_SECONDS) * 1000)
+            if state.hasTimedOut or deadline <= state.getCurrentWatermarkMs():
+                status = "stuck"
+            else:
+                state.setTimeoutTimestamp(deadline)
+        state.update((status, since, ended))
         if status != before:
             yield pd.DataFrame({key: [k[0]], "status": [status]})
 
-    return history.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, status string", "status string, since double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, status string", "status string, since double, ended double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def rollup(requests: DataFrame, grabs: DataFrame, key: str) -> DataFrame:
