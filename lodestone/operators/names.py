@@ -21,8 +21,10 @@ def contained(names: DataFrame, key: str, name: str, titles: DataFrame, code: st
     t = titles.select(code, F.trim(name_words(F.col(title))).alias("words")).where(F.length("words") >= least)
     t = t.withColumn("first", F.split_part("words", F.lit(" "), F.lit(1)))
     n = names.select(key, name_words(F.col(name)).alias("text"))
-    first = n.select(key, "text", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("first"))
-    hit = first.join(t, "first").withColumn("at", F.instr(F.col("text"), F.concat(F.lit(" "), "words", F.lit(" "))))
+    first = n.select(key, F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("first"))
+    # texts are not copied per word: candidates first, then one join with the texts
+    met = first.join(t, "first").select(key, code, "words").distinct()
+    hit = n.join(met, key).withColumn("at", F.instr(F.col("text"), F.concat(F.lit(" "), "words", F.lit(" "))))
     return hit.where("at > 0").select(key, code, "words", F.col("at").cast("long").alias("at"))
 
 
