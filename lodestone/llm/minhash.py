@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,16 +96,28 @@ def signatures(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, places binary")
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    """doc_id and the compressed text: what is shuffled of texts."""
+
+    def compress(batches):
+        for batch in batches:
+            texts = [zstandard.compress(x, 3) for x in batch.column(1).fill_null("").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+    return docs.mapInArrow(compress, "doc_id long, text binary")
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def verify(batches):
         for batch in batches:
-            coded = [batch.column(k).cast(pa.large_string()).dictionary_encode() for k in (2, 3)]
+            coded = [batch.column(k).dictionary_encode() for k in (2, 3)]
             sets = []
             for c in coded:
                 own = []
-                for _, hashes, sizes in shingle_sets(c.dictionary, shingle):
+                texts = pa.array([zstandard.decompress(x) for x in c.dictionary.to_pylist()], pa.large_binary()).cast(pa.large_string())
+                for _, hashes, sizes in shingle_sets(texts, shingle):
                     ends = np.cumsum(sizes)
                     own += [hashes[e - n : e] for e, n in zip(ends, sizes, strict=True)]
                 sets.append(own)
@@ -187,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 24, rows: i
     crowd = stored(rows_of.join(crowded, "bucket"), "buckets")
     central = crowd.groupBy("doc_id").agg(F.sum("n").alias("central"))
     pivot = crowd.join(central, "doc_id").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n_shingles"), F.struct("central", -F.col("doc_id"))).alias("pivot"))
-    near = stored(docs.join(crowd.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    near = stored(_compressed(docs).join(crowd.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     # first round: each member against the bucket's most central one
     size = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  a smaller ratio can't reach the similarity
