@@ -174,6 +174,17 @@ def test_minhash(docs, rows):
     assert Counter((r["doc_id"], r["n_shingles"]) for r in got) == Counter((d, len(sets[d, x])) for d, x in rows)
 
 
+def test_candidates_meet_in_the_first_band_whose_hash_they_share(spark):
+    """All bytes of the signatures agree, the hash of the first band doesn't; a third one shares no band but the last."""
+    bands = {1: list(range(100, 124)), 2: [7, *range(101, 124)], 3: [*range(200, 223), 123]}
+    rows = [(bucket, band, d, 50, 3, d, bytes(120), own) for d, own in bands.items() for band, bucket in enumerate(own)]
+    members = spark.createDataFrame(rows, "bucket long, band int, doc_id long, n_shingles long, n long, component long, places binary, bands array<long>")
+    crowded = members.join(members.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
+    for block in (1024, 1):
+        got = minhash._candidates(crowded, percent=85, cells=4, block=block).collect()
+        assert sorted(map(tuple, got)) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_token_files(spark, docs, rows):
     from lodestone.llm.common import fresh_dir
 
