@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 TOKEN = "([a-z][a-z']+)"
+_WORD = re.compile(r"\b[a-z][a-z']+\b")
 # A short list of very common English words; a caller may pass another.
 STOP_WORDS = ("the", "and", "of", "to", "in", "is", "that", "it", "was", "for", "on", "are", "with", "as", "be", "at", "by", "this", "from", "or", "an")
 
 
-def tokens(texts: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), bigrams: bool = False) -> DataFrame:
-    """key and term: lower-case words, stop words removed, then pairs of words that are neighbours."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), 1)
+def _plain(text: str) -> str:
+    """Lower case without accents: NFKD, combining marks left out."""
+    text = text.lower()
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def plain_words(texts: pd.Series) -> pd.Series:
+    """Words of a text in lower case without accents, as the reference cuts them; one with another letter in it is none."""
+    return pd.Series([_WORD.findall(_plain(t or "")) for t in texts])
+
+
+def tokens(texts: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), bigrams: bool = False, plain: bool = False) -> DataFrame:
+    """key and term: lower-case words, stop words removed, then pairs of words that are neighbours.
+    With `plain` accents are stripped first; without, words are those that DuckDB's SQL cuts."""
+    words = plain_words(F.col(text)) if plain else F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), 1)
     rows = texts.select(key, F.posexplode(words).alias("pos", "term"))
     if stop:
         rows = rows.where(~F.col("term").isin(*stop))

@@ -32,10 +32,12 @@ s AS (SELECT doc_id, item_id, sum(d.w * r.w) AS score FROM dtv d JOIN rtv r USIN
 t AS (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 4) DESC, item_id) AS rank, round(score, 4) AS score FROM s)"""
 
 
-def _scored(spark, sf_dir, background=False, stop=False, bigrams=False, max_df=None):
+def _scored(spark, sf_dir, background=False, stop=False, bigrams=False, max_df=None, whole=False):
     words = tfidf.STOP_WORDS if stop else ()
-    docs, refs = table(spark, sf_dir, "documents").where("lang = 'en'"), table(spark, sf_dir, "benchmark")
-    dt, rt = tfidf.tokens(docs, "doc_id", "text", words, bigrams), tfidf.tokens(refs, "item_id", "text", words, bigrams)
+    docs, refs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    if not whole:  # what SQL can tell words of
+        docs = docs.where("lang = 'en'")
+    dt, rt = tfidf.tokens(docs, "doc_id", "text", words, bigrams, whole), tfidf.tokens(refs, "item_id", "text", words, bigrams, whole)
     fit = rt.select(F.concat(F.lit("r"), "item_id").alias("k"), "term")
     n = refs.agg(F.count("*").alias("n"))
     if background:
@@ -71,11 +73,41 @@ def tfidf_maxdf_stopwords(spark, sf_dir):
 @query(_scores_sql(True, True, True, 0.6) + """, c AS (SELECT a.doc_id, a.item_id, a.score, coalesce(b.score, 0) AS nxt FROM (SELECT * FROM t WHERE rank = 1) a LEFT JOIN (SELECT * FROM t WHERE rank = 2) b USING (doc_id))
 SELECT doc_id, item_id, score, round(score - nxt, 4) AS margin, CASE WHEN score >= 0.12 AND round(score - nxt, 4) >= 0.04 AND score >= 1.4 * nxt THEN 'high' ELSE 'low' END AS confidence FROM c""")
 def tfidf_confidence(spark, sf_dir):
-    ranked = tfidf.top(_scored(spark, sf_dir, True, True, True, 0.6), "doc_id", "item_id", 2)
+    return _confidence(spark, sf_dir)
+
+
+def _confidence(spark, sf_dir, whole=False):
+    ranked = tfidf.top(_scored(spark, sf_dir, True, True, True, 0.6, whole), "doc_id", "item_id", 2)
     refs = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
     return tfidf.confidence(ranked, "doc_id", "item_id", references=refs)
 
 
+# ---- the same over all documents, in any language or none, without accents: SQL has no such words
+@query()
+def tfidf_top2_whole(spark, sf_dir):
+    return tfidf.top(_scored(spark, sf_dir, whole=True), "doc_id", "item_id", 2)
+
+
+@query()
+def tfidf_background_idf_whole(spark, sf_dir):
+    return tfidf.top(_scored(spark, sf_dir, background=True, whole=True), "doc_id", "item_id", 2)
+
+
+@query()
+def tfidf_bigrams_whole(spark, sf_dir):
+    return tfidf.top(_scored(spark, sf_dir, bigrams=True, whole=True), "doc_id", "item_id", 2)
+
+
+@query()
+def tfidf_maxdf_stopwords_whole(spark, sf_dir):
+    return tfidf.top(_scored(spark, sf_dir, True, True, True, 0.6, True), "doc_id", "item_id", 2)
+
+
+@query()
+def tfidf_confidence_whole(spark, sf_dir):
+    return _confidence(spark, sf_dir, True)
+
+
 # ---- hopping windows: each turn of a conversation is a cue of 20 to 40 s
 _CUES = "SELECT conv_id, turn * 30.0 AS start, turn * 30.0 + 20 + len(text) % 20 AS \"end\", text FROM conversations"
 _WIN = f"""WITH c AS ({_CUES}), e AS (SELECT conv_id, max("end") AS fe FROM c GROUP BY conv_id),

@@ -1,0 +1,75 @@
+"""Queries without SQL against brute force: they cover all rows, not those that SQL can tell apart."""
+
+from __future__ import annotations
+
+import math
+import re
+import unicodedata
+from collections import Counter, defaultdict
+
+import pytest
+from conftest import SMALL_SF_DIR
+
+import lodestone.queries  # noqa: F401
+from lodestone import registry
+from lodestone.operators import tfidf
+
+DOCS = [(1, "Crème brûlée über Straße, the dog's", "fr"), (2, "creme brulee uber alles", "de"), (3, "CRÈME de la crème and a dog", None), (4, None, "en"), (5, "abc1 x 42", None), (6, "el niño come creme", "es")]
+
+
+def _terms(text, stop, bigrams):
+    text = "".join(c for c in unicodedata.normalize("NFKD", (text or "").lower()) if not unicodedata.combining(c))
+    w = [x for x in re.findall(r"\b[a-z][a-z']+\b", text) if x not in stop]
+    return Counter(w + ([f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] if bigrams else []))
+
+
+def _ranked(docs, refs, background, stop, bigrams, max_df):
+    stop = tfidf.STOP_WORDS if stop else ()
+    d, r = ({k: _terms(t, stop, bigrams) for k, t in x} for x in (docs, refs))
+    fit = [*r.values(), *(d.values() if background else ())]
+    df = Counter(t for c in fit for t in c)
+    idf = {t: math.log((1 + len(fit)) / (1 + n)) + 1 for t, n in df.items() if max_df is None or len(fit) < 10 or n <= max_df * len(fit)}
+
+    def vector(c):
+        x = {t: (1 + math.log(n)) * idf[t] for t, n in c.items() if t in idf}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {t: v / norm for t, v in x.items()}
+
+    rv, out = {k: vector(c) for k, c in r.items()}, defaultdict(list)
+    for k, c in d.items():
+        v = vector(c)
+        for i, w in rv.items():
+            if v.keys() & w.keys():
+                out[k].append((-round(sum(v[t] * w[t] for t in v.keys() & w.keys()), 4), i))
+    return {k: [(i, -s) for s, i in sorted(x)[:2]] for k, x in out.items()}
+
+
+@pytest.fixture(params=["table", "odd"])
+def folder(spark, request, tmp_path):
+    if request.param == "table":
+        return SMALL_SF_DIR
+    spark.createDataFrame(DOCS, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    refs = [(1, "crème brûlée"), (2, "the niño"), (3, "Straße"), (4, "dog's uber")]
+    spark.createDataFrame(refs, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+SETTINGS = {"tfidf_top2": (False, False, False, None), "tfidf_background_idf": (True, False, False, None), "tfidf_bigrams": (False, False, True, None), "tfidf_maxdf_stopwords": (True, True, True, 0.6)}
+
+
+@pytest.mark.parametrize("name", SETTINGS)
+def test_tfidf_covers_all_languages(spark, folder, name):
+    docs, refs = (spark.read.parquet(f"{folder}/{t}.parquet").select(k, "text").collect() for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    want = _ranked(docs, refs, *SETTINGS[name])
+    got = defaultdict(list)
+    for x in sorted(registry.QUERIES[f"{name}_whole"](spark, folder).collect(), key=lambda x: (x["doc_id"], x["rank"])):
+        got[x["doc_id"]].append((x["item_id"], x["score"]))
+    assert got.keys() == want.keys()
+    for k, x in want.items():  # a score at the edge of two roundings may fall to either side
+        assert [s for _, s in got[k]] == pytest.approx([s for _, s in x], abs=1.01e-4)
+        if abs(x[0][1] - x[-1][1]) > 2e-4:
+            assert got[k][0][0] == x[0][0]
+    if name == "tfidf_maxdf_stopwords":
+        first = {k: (x[0][0], pytest.approx(x[0][1], abs=1.01e-4)) for k, x in want.items()}
+        best = {x["doc_id"]: (x["item_id"], x["score"]) for x in registry.QUERIES["tfidf_confidence_whole"](spark, folder).collect()}
+        assert best.keys() == first.keys() and all(best[k][1] == s for k, (_, s) in first.items())
