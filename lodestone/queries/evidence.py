@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cards, names, tfidf
+from ..operators import cards, names, tfidf, vectors
 from ..plans.claims import multi_episode  # noqa: F401
 from ..registry import query
 from ..sources import subtitles
@@ -229,3 +229,9 @@ def embedding_topk(spark, sf_dir):
     times = lambda a, b: add(F.zip_with(a, b, lambda x, y: x * y))
     score = times("v", "r") / (F.sqrt(times("v", "v")) * F.sqrt(times("r", "r")))
     return tfidf.top(e.join(refs, "label").where("vec_id != other").select("vec_id", "other", score.alias("score")), "vec_id", "other", 2, 5).select("vec_id", "other", "score")
+
+
+@query("SELECT e.vec_id, o.vec_id AS other, round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) AS score FROM embeddings e JOIN embeddings o ON e.label = o.label AND o.vec_id != e.vec_id QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) DESC, o.vec_id) <= 2")
+def embedding_topk_whole(spark, sf_dir):
+    """Dense scores of vectors against all other vectors of their label, the two best."""
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", "other", 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ from conftest import SMALL_SF_DIR
 
 import lodestone.queries  # noqa: F401
 from lodestone import registry
-from lodestone.operators import tfidf
+from lodestone.operators import tfidf, vectors
 
 DOCS = [(1, "Crème brûlée über Straße, the dog's", "fr"), (2, "creme brulee uber alles", "de"), (3, "CRÈME de la crème and a dog", None), (4, None, "en"), (5, "abc1 x 42", None), (6, "el niño come creme", "es")]
 
@@ -73,3 +74,22 @@ def test_tfidf_covers_all_languages(spark, folder, name):
         first = {k: (x[0][0], pytest.approx(x[0][1], abs=1.01e-4)) for k, x in want.items()}
         best = {x["doc_id"]: (x["item_id"], x["score"]) for x in registry.QUERIES["tfidf_confidence_whole"](spark, folder).collect()}
         assert best.keys() == first.keys() and all(best[k][1] == s for k, (_, s) in first.items())
+
+
+def test_nearest_searches_all_vectors_of_a_group(spark):
+    """The nearest have high ids; blocks of one size or another give the same; vectors without a cosine give none."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], i % 3) for i in range(90)]
+    rows += [(100, [2.0 * x for x in rows[0][1]], 0), (101, [3.0 * x for x in rows[0][1]], 0), (102, None, 0), (103, [0.0] * 6, 0), (104, [1.0] * 6, None), (105, [1.0, 2.0], 1)]
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+    fit = [r for r in rows if r[0] < 102]
+    want = {i: sorted((-round(cosine(v, w), 5), j) for j, w, h in fit if h == g and j != i)[:2] for i, v, g in fit}
+    assert want[0] == [(-1.0, 100), (-1.0, 101)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for block in (2048, 7):
+        got = defaultdict(list)
+        for r in vectors.nearest(df, "vec_id", "label", "embedding", "other", 2, block=block).collect():
+            got[r["vec_id"]].append((-r["score"], r["other"]))
+        assert got.keys() == want.keys()
+        for i, x in want.items():
+            assert [s for s, _ in sorted(got[i])] == pytest.approx([s for s, _ in x], abs=1.1e-5) and {j for _, j in got[i]} == {j for _, j in x}
