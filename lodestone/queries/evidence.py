@@ -79,7 +79,7 @@ def title_code_unique(spark, sf_dir):
 
 # ---- title cards
 def _lines(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size <= 5").select("p_partkey", X.norm_nospace(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("norm"))
+    p = table(spark, sf_dir, "part").select("p_partkey", X.norm_nospace(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("norm"))
     cut = F.when(F.col("p_partkey") % 3 == 0, F.left("norm", F.lit(12))).otherwise(F.regexp_replace("norm", "l", "i"))
     return p.select(F.col("p_partkey").alias("line"), cut.alias("norm")), p.groupBy("norm").agg(F.min("p_partkey").alias("code"))
 
