@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import CACHES, partitions, small_batches, table, tidy
 from .tokens import Encoder, byte_alphabet, encoder, runs, vocabulary
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -86,6 +86,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+CACHES.append(_codecs)
 
 
 def codec(path: str) -> Codec:
@@ -105,6 +106,7 @@ def encode_decode_digests(docs: DataFrame, tokenizer: str, leaf_chars: int = 1 <
 
 
 def _encode(docs: DataFrame, tokenizer: str, leaf_chars: int, digest: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids"]
     schema = RESULT if digest else "doc_id long, ids binary"
 
@@ -113,6 +115,7 @@ def _encode(docs: DataFrame, tokenizer: str, leaf_chars: int, digest: bool) -> D
         kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.binary()]
         return pa.RecordBatch.from_arrays([keys.cast(pa.int64()), *(pa.array([m[k] for m in made], t) for k, t in enumerate(kinds))], names=names)
 
+    @tidy
     def short(batches):
         c = codec(tokenizer)
         for batch in batches:
@@ -122,6 +125,7 @@ def _encode(docs: DataFrame, tokenizer: str, leaf_chars: int, digest: bool) -> D
                 yield rows(c, batch.column(0).slice(k, len(n)), [ids[e - m : e] for e, m in zip(ends, n, strict=True)])
                 k += len(n)
 
+    @tidy
     def leaf(batches):
         c = codec(tokenizer)
         for batch in batches:

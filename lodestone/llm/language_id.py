@@ -9,6 +9,7 @@ whole texts times the landmarks' matrix, times the learned weights.
 
 It learns from a bounded sample: `per_language` texts of each language, those with the smallest
 hashes, and at most `max_rows` in all; of a learning text only its presence bits reach the driver.
+Rows that repeat doc_id, text and lang are one of them.
 Defined cases: null text or one without a letter: `und`, score 0; no text to learn from: `und`;
 null doc_id or lang: judged like any other, never learned from; repeated rows: each judged; no
 rows: no rows; other columns are not read.
@@ -16,18 +17,17 @@ rows: no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import crc_of_id, table
+from .common import crc_of_id, small_batches, smallest, table, tidy
 
 BUCKETS = 1 << 15
-_LETTER = re.compile(r"[^\W\d_]")
+#: A character of Unicode's category L; numerals that look like letters are none.
+LETTER = r"\p{L}"
 _MULTIPLIERS = ((0x9E3779B1,), (0x85EBCA77, 0xC2B2AE3D), (0x27D4EB2F, 0x165667B1, 0x9E3779B1))
 
 
@@ -103,36 +103,42 @@ class KernelModel:
 
 def fit(labelled: DataFrame, per_language: int = 200, max_rows: int = 4000, landmarks: int = 128, ridge: float = 1e-2) -> KernelModel | None:
     """Learn from labelled (doc_id, text, lang); None if there is nothing to learn from."""
-    usable = labelled.where("lang is not null and doc_id is not null").where(F.regexp_like("text", F.lit(r"\p{L}")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("rank", "lang").limit(max_rows).select("doc_id").distinct()
-
+    small_batches(labelled.sparkSession)
+    usable = labelled.where("lang is not null and doc_id is not null").where(F.regexp_like("text", F.lit(LETTER)))
+    usable = usable.select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    keys = usable.select("doc_id", "lang", "h").distinct()
+    drawn = smallest(keys, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")], per_language)
+    chosen = drawn.orderBy("_rank", "lang").limit(max_rows).select("doc_id", "lang", "h")
+
+    @tidy
     def bits(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
-                got = np.packbits(presence([t.lower() for t in part.column(1).to_pylist()]), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "lang", "bits"])
+                got = np.packbits(presence([t.lower() for t in part.column(2).to_pylist()]), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "lang", "h", "bits"])
 
-    chosen = [r["doc_id"] for r in ids.collect()]  # at most max_rows
-    rows = usable.where(F.col("doc_id").isin(chosen)).select("doc_id", "text", "lang").mapInArrow(bits, "doc_id long, lang string, bits binary").collect() if chosen else []
+    one = usable.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"]).select("doc_id", "lang", "text", "h")
+    rows = one.mapInArrow(bits, "doc_id long, lang string, h long, bits binary").collect()  # at most max_rows
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["bits"])))
-    rows = rows[: 2 * max_rows]
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["h"]))
     return KernelModel(np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]), axis=1), [r["lang"] for r in rows], landmarks, ridge)
 
 
 def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     """doc_id, lang_pred and score of each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x buckets and the weights: a bounded size
 
+    @tidy
     def judge(batches):
         m = sent.value
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
-                texts = [t if t and _LETTER.search(t) else "" for t in part.column(1).to_pylist()]
+                lettered = pc.match_substring_regex(part.column(1), LETTER).to_pylist()
+                texts = [t if known else "" for t, known in zip(part.column(1).to_pylist(), lettered, strict=True)]
                 lang, top = np.full(len(texts), "und", object), np.zeros(len(texts))
                 if m is not None:
                     known = np.array([bool(t) for t in texts])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 from .tokens import encoder, vocabulary, with_end
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
@@ -175,6 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (512, 1024, 2
     the remainders are stored in the shared folder, and only the remainders' ids are shuffled.
     """
 
+    @tidy
     def packed(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         packer, rows = Packer(tiers), _Rows(part << 32, step_tokens)

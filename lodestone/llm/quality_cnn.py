@@ -6,12 +6,14 @@ before. Learned filters (width 12, step 4) run over a chunk, with ReLU and the l
 its places. The largest and the mean value of each filter over the document's chunks go through a
 dense layer into one probability.
 
-It is trained on a bounded sample, `per_class` labelled rows of each class, with at most
-`train_chunks` chunks of each, spread over the whole text; all chunks of a text count in scoring.
+It is trained on a bounded sample of the labelled rows: of each class at most `per_class` rows, in
+order of a hash, as long as their texts take no more than `class_bytes` together; a text that is
+longer than all of that by itself is passed over. All chunks of a text count, in training as in
+scoring, and are worked on in blocks of `BLOCK`.
 Defined cases: null or empty text: one chunk of zero bytes; nothing or only one class to learn
-from: score 0.5 or that class; null doc_id: never learned from; repeated rows: each is scored; a
-document with contradicting labels is left out of training; no rows: no rows; other columns are
-not read.
+from: score 0.5 or that class; null doc_id: never learned from; repeated rows: each is scored, and
+learned from once; a doc_id with several texts: each is a row; a document with contradicting labels
+is left out of training; no rows: no rows; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -22,22 +24,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_of_id, table
+from .common import crc_of_id, row_bytes, small_batches, smallest, table, tidy
 
 CHUNK, STRIDE, WIDTH, STEP, LAGS = 256, 192, 12, 4, 20
 PLACES = (CHUNK - WIDTH) // STEP + 1
 CHANNELS = 8 + LAGS
+BLOCK = 192
 
 
-def chunk_starts(size: int) -> np.ndarray:
-    return np.arange(0, max(1, size - CHUNK + STRIDE), STRIDE) if size > CHUNK else np.zeros(1, np.int64)
+def chunk_counts(sizes: np.ndarray) -> np.ndarray:
+    """How many chunks cover a text of so many bytes: one at least."""
+    return np.maximum(1, -(-(sizes - CHUNK) // STRIDE) + 1)
 
 
-def chunks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The chunks with LAGS bytes before them; zeros outside the text."""
-    padded = np.zeros(LAGS + len(data) + CHUNK, np.uint8)
-    padded[LAGS : LAGS + len(data)] = data
-    return np.lib.stride_tricks.sliding_window_view(padded, LAGS + CHUNK)[starts]
+def chunk_blocks(data: np.ndarray, bounds: np.ndarray, block: int = BLOCK):
+    """(text of each chunk, chunks with LAGS bytes before them) for blocks of all texts' chunks in order;
+    zeros stand outside a text."""
+    counts = chunk_counts(np.diff(bounds))
+    ends = np.cumsum(counts)
+    across = np.arange(-LAGS, CHUNK)
+    padded = np.append(data, np.uint8(0))
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, block):
+        number = np.arange(lo, min(lo + block, ends[-1]))
+        text = np.searchsorted(ends, number, "right")
+        start = bounds[text] + (number - (ends - counts)[text]) * STRIDE
+        at = start[:, None] + across
+        inside = (at >= bounds[text][:, None]) & (at < bounds[text + 1][:, None])
+        yield text, np.where(inside, padded[np.where(inside, at, len(data))], np.uint8(0))
 
 
 def patches(block: np.ndarray) -> np.ndarray:
@@ -68,9 +81,21 @@ class Network:
         top = np.maximum(np.take_along_axis(a, at[:, None], 1)[:, 0] + self.w[1], 0)
         return (top, p, at) if keep else top
 
-    def combined(self, top: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-        """The probability of each document, whose chunks lie one after the other."""
-        return 1 / (1 + np.exp(-self._head(*self._pooled(top, doc, docs)[:1])[0]))
+    def combined(self, largest: np.ndarray, total: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The probability of each document from each filter's largest value, sum and number of chunks."""
+        return 1 / (1 + np.exp(-self._head(np.hstack([largest, total / count[:, None]]))[0]))
+
+    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The probability of each text, whose bytes lie one after the other."""
+        docs = len(bounds) - 1
+        largest, total = np.zeros((docs, self.FILTERS), np.float32), np.zeros((docs, self.FILTERS))
+        for text, block in chunk_blocks(data, bounds):
+            top = self.filtered(block)
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            own = text[first]
+            largest[own] = np.maximum(largest[own], np.maximum.reduceat(top, first))
+            total[own] += np.add.reduceat(top, first, dtype=np.float64)
+        return self.combined(largest, total.astype(np.float32), chunk_counts(np.diff(bounds)).astype(np.float32))
 
     def _pooled(self, top, doc, docs):
         starts = np.searchsorted(doc, np.arange(docs))
@@ -82,102 +107,83 @@ class Network:
         hidden = np.maximum(pooled @ self.w[2] + self.w[3], 0)
         return np.clip((hidden @ self.w[4] + self.w[5])[:, 0], -30, 30), hidden
 
-    def train(self, blocks: list[np.ndarray], labels: np.ndarray, epochs: int, batch: int = 32, rate: float = 3e-3, seed: int = 6) -> Network:
+    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int, batch: int = 32, rate: float = 3e-3, seed: int = 6) -> Network:
         r = np.random.default_rng(seed)
         m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
         for _ in range(epochs):
-            order = r.permutation(len(blocks))
+            order = r.permutation(len(texts))
             for lo in range(0, len(order), batch):
                 own = order[lo : lo + batch]
-                doc = np.repeat(np.arange(len(own)), [len(blocks[k]) for k in own])
-                grads = self._gradients(np.concatenate([blocks[k] for k in own]), doc, labels[own])
+                data = np.frombuffer(b"".join(texts[k] for k in own), np.uint8)
+                bounds = np.cumsum([0, *(len(texts[k]) for k in own)])
                 t += 1
-                for k, g in enumerate(grads):
+                for k, g in enumerate(self._gradients(data, bounds, labels[own])):
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
-    def _gradients(self, block, doc, y):
-        docs = len(y)
-        top, p, at = self.filtered(block, keep=True)
+    def _gradients(self, data, bounds, y):
+        """Two passes over the blocks of chunks, so that no more than a block's patches are held at a time."""
+        docs, f = len(y), self.FILTERS
+        made = [(text, self.filtered(block)) for text, block in chunk_blocks(data, bounds)]
+        doc, top = np.concatenate([text for text, _ in made]), np.concatenate([x for _, x in made])
         pooled, largest, count = self._pooled(top, doc, docs)
         logit, hidden = self._head(pooled)
         d = ((1 / (1 + np.exp(-logit)) - y) / docs).astype(np.float32)[:, None]
         d_hidden = (d @ self.w[4].T) * (hidden > 0)
         d_pooled = d_hidden @ self.w[2].T
-        f = self.FILTERS
         is_top = top == largest[doc]
-        ties = np.add.reduceat(is_top, np.searchsorted(doc, np.arange(docs))).astype(np.float32)
+        ties = np.add.reduceat(is_top, np.searchsorted(doc, np.arange(docs)), dtype=np.float32)
         d_top = (is_top * (d_pooled[:, :f] / ties)[doc] + (d_pooled[:, f:] / count)[doc]) * (top > 0)
-        d_w = np.empty_like(self.w[0])
-        row = np.arange(len(block)) * PLACES
-        for k in range(f):
-            d_w[:, k] = d_top[:, k] @ p[row + at[:, k]]
+        d_w, lo = np.zeros_like(self.w[0]), 0
+        for _, block in chunk_blocks(data, bounds):
+            _, p, at = self.filtered(block, keep=True)
+            row, own = np.arange(len(block)) * PLACES, d_top[lo : lo + len(block)]
+            for k in range(f):
+                d_w[:, k] += own[:, k] @ p[row + at[:, k]]
+            lo += len(block)
         return [d_w, d_top.sum(0), pooled.T @ d_hidden, d_hidden.sum(0), hidden.T @ d, d.sum(0)]
 
 
-def fit(labelled: DataFrame, per_class: int = 800, train_chunks: int = 32, epochs: int = 5) -> Network | float:
+def fit(labelled: DataFrame, per_class: int = 800, class_bytes: int = 6_000_000, epochs: int = 5) -> Network | float:
     """Learn from labelled (doc_id, text, label 0/1). With one class only: its label; with none: 0.5."""
+    small_batches(labelled.sparkSession)
     usable = labelled.where("doc_id is not null and label in (0, 1)")
-    keys = usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = {r["doc_id"]: r["label"] for r in keys.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label").collect()}  # bounded
-    if not ids:
-        return 0.5
-
-    def cut(batches):
-        for batch in batches:
-            blocks = []
-            for text in batch.column(1).to_pylist():
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                starts = chunk_starts(len(data))
-                some = starts[np.unique(np.linspace(0, len(starts) - 1, min(train_chunks, len(starts))).astype(int))]
-                blocks.append(chunks(data, some).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.binary())], names=["doc_id", "block"])
-
-    texts = labelled.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text").dropDuplicates(["doc_id"])
-    rows = sorted(texts.mapInArrow(cut, "doc_id long, block binary").collect(), key=lambda r: r["doc_id"])
-    y = np.array([ids[r["doc_id"]] for r in rows], np.float32)
+    clear = usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
+    # (doc_id, a hash of the text) stands for a text until the sample is drawn
+    print_ = F.xxhash64("text")
+    keys = usable.select("doc_id", print_.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).where(F.col("size") <= class_bytes).distinct().join(clear, "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
+    drawn = smallest(keys, ["label"], order, per_class)
+    so_far = F.sum("size").over(Window.partitionBy("label").orderBy("_rank"))  # at most per_class rows a label
+    chosen = drawn.withColumn("so_far", so_far).where(F.col("so_far") <= class_bytes).select("doc_id", "h", "label")
+    texts = usable.select("doc_id", "text", print_.alias("h")).join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    rows = sorted(texts.select("doc_id", "h", "label", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).collect(), key=lambda r: (r["doc_id"], r["h"]))  # bounded by per_class and class_bytes
+    y = np.array([r["label"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
-        return float(y[0])
-    return Network().train([np.frombuffer(r["block"], np.uint8).reshape(-1, LAGS + CHUNK) for r in rows], y, epochs)
+        return float(y[0]) if len(y) else 0.5
+    return Network().train([bytes(r["text"]) for r in rows], y, epochs)
 
 
-def score(docs: DataFrame, model: Network | float) -> DataFrame:
-    """All columns of docs as a struct `doc`, and score: the probability of label 1 of each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # the network's weights
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+def score(docs: DataFrame, model: Network | float, texts: bool = True) -> DataFrame:
+    """The columns of docs but text as a struct `doc`, the text where `texts` asks for it, and score:
+    the probability of label 1 of each whole text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)  # the network's weights
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text")
     kind = nested.schema["doc"].dataType.simpleString()
 
+    @tidy
     def run(batches):
         m = sent.value
         for batch in batches:
-            if isinstance(m, float):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, m))], names=["doc", "score"])
-                continue
-            out = np.empty(batch.num_rows)
-            tops, sizes, first, waiting = [], [], 0, 0
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                starts = chunk_starts(len(data))
-                own = [m.filtered(chunks(data, starts[a : a + 256])) for a in range(0, len(starts), 256)] if len(starts) > 64 else None
-                tops.append(chunks(data, starts) if own is None else np.concatenate(own))
-                sizes.append(len(starts))
-                waiting += len(starts) if own is None else 0
-                if waiting > 256 or k + 1 == batch.num_rows:
-                    # the short texts' chunks are filtered together
-                    raw = [i for i, x in enumerate(tops) if x.dtype == np.uint8]
-                    if raw:
-                        made = m.filtered(np.concatenate([tops[i] for i in raw]))
-                        edges = np.cumsum([0, *(sizes[i] for i in raw)])
-                        for i, a, b in zip(raw, edges, edges[1:], strict=False):
-                            tops[i] = made[a:b]
-                    out[first : k + 1] = m.combined(np.concatenate(tops), np.repeat(np.arange(len(tops)), sizes), len(tops))
-                    tops, sizes, first, waiting = [], [], k + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc", "score"])
-
-    return nested.mapInArrow(run, f"doc {kind}, score double")
+            made = np.full(batch.num_rows, m) if isinstance(m, float) else m.scores(*row_bytes(batch.column(1))).astype(np.float64)
+            cols = [batch.column(0), *[batch.column(1)] * texts, pa.array(made)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", *["text"] * texts, "score"])
+
+    return nested.mapInArrow(run, f"doc {kind}, {'text string, ' * texts}score double")
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -194,4 +200,4 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
-    return score(docs.select("doc_id", "text"), model).select("doc.doc_id", "score").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs.select("doc_id", "text"), model, texts=False).select("doc.doc_id", "score").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

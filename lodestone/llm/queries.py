@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from .bpe import op5_bpe
 from .embeddings import OP1_SQL, op1_embeddings
 from .language_id import op7_language_id
 from .minhash import op6_minhash
 from .packing import op3_packing
+from .pipeline import run as pipeline
 from .quality_cnn import op8_quality_cnn
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .repeats import op10_repeats
@@ -17,12 +16,6 @@ from .url_filter import op4_url_filter
 
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_quality_rules": op2_quality_rules,

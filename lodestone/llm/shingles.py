@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .common import CACHES
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -23,13 +25,14 @@ _OF_LOWER = _OF_BYTE[_LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+CACHES.append(_powers)
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0, ..., base ** (n - 1) modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16) * 5 // 4, base, np.uint64)
+        steps = np.full(max(n, 1 << 16) * 9 // 8, base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.cumprod(steps)
     return have[:n]
@@ -78,7 +81,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
-def shingle_sets(texts: pa.Array, size: int = 5, part: int = 4_000_000):
+def shingle_sets(texts: pa.Array, size: int = 5, part: int = 2_000_000):
     """For runs of rows: (first row, sorted distinct hashes of all rows one after the other, number of each row).
 
     Words are lower-cased (A-Z). A text of fewer than `size` words but one has its whole sequence as

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, partitions, table
+from .common import fresh_dir, partitions, small_batches, table, tidy
 from .tokens import encoder, vocabulary, with_end
 
 
@@ -42,6 +42,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     shards too); encoding runs behind it, so each text is encoded once and ids aren't shuffled.
     """
 
+    @tidy
     def write(batches):
         enc = encoder(tokenizer)
         kind = "<u2" if enc.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
@@ -76,6 +77,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("kind", pa.string())]),
         )
 
+    small_batches(docs.sparkSession)
     tie = F.xxhash64("text")
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")
@@ -115,6 +117,7 @@ def read_token_files(spark: SparkSession, folder: str, index: dict, with_ids: bo
     shards = index["shards"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
+    @tidy
     def read(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():

@@ -3,8 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenizer certainly cuts (changes between letters,
 numbers, other characters and white space); pieces repeat a lot, so each distinct piece is
 encoded once by the tokenizers library and texts are put together by array lookups. A text with
-characters for which the cuts aren't certain goes to the library whole. Nothing is cached
-beyond `cache_pieces` pieces in a worker.
+characters for which the cuts aren't certain goes to the library whole. What is known of pieces
+takes about `cache_bytes` in a worker at most (one batch's pieces more), and goes when a task ends.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
+from .common import CACHES
+
 UNSURE, LETTER, NUMBER, OTHER, WHITE = range(5)
 
 
@@ -48,9 +50,9 @@ class Encoder:
     #: Characters up to here have stable classes, compose with nothing and lower-case to one character.
     LAST_SURE = 0x12F
     #: Bytes of text that are worked on at once.
-    PART = 6_000_000
+    PART = 2_000_000
 
-    def __init__(self, path: str, cache_pieces: int = 4_000_000):
+    def __init__(self, path: str, cache_bytes: int = 96_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -60,13 +62,14 @@ class Encoder:
         #: Byte-level with spaces kept in front of words, or words in lower case without white space.
         self.spaced = self.tok.normalizer is None
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache_pieces = cache_pieces
+        self.cache_bytes = cache_bytes
         self.to_shown = {b: ord(c) for b, c in enumerate(byte_alphabet())}
         self.classes = np.array([_class_of(c) for c in range(self.LAST_SURE + 1)], np.uint8)
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
+        self.size = 0
         self.ids = np.empty(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)  # piece k has ids[at[k]:at[k + 1]]
 
@@ -80,11 +83,13 @@ class Encoder:
 
     def _learn(self, pieces: np.ndarray) -> np.ndarray:
         """Numbers of the pieces, new ones encoded first."""
-        if len(self.known) + len(pieces) > self.cache_pieces and self.known:
+        if self.size > self.cache_bytes:
             self._reset()
         known = self.known
         new = [p for p in pieces if p not in known]
         if new:
+            # a dictionary entry with its number, and the text as Python holds it
+            self.size += 200 * len(new) + sum(map(len, new))
             got = [self._piece_ids(p) for p in new]
             n, k = int(self.at[len(known)]), len(known)
             lengths = np.fromiter(map(len, got), np.int64, len(got))
@@ -213,12 +218,15 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary; it lives as long as the worker does."""
+    """This worker's encoder for a vocabulary, as long as a task lasts."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+CACHES.append(_encoders)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with end_id behind each text's, and the counts with it."""
     out = np.full(len(ids) + len(counts), end_id, np.uint32)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from conftest import SF_DIR, SMALL_SF_DIR
 from pyspark.sql import functions as F
 
@@ -174,15 +175,49 @@ def test_minhash(docs, rows):
     assert Counter((r["doc_id"], r["n_shingles"]) for r in got) == Counter((d, len(sets[d, x])) for d, x in rows)
 
 
-def test_candidates_meet_in_the_first_band_whose_hash_they_share(spark):
-    """All bytes of the signatures agree, the hash of the first band doesn't; a third one shares no band but the last."""
-    bands = {1: list(range(100, 124)), 2: [7, *range(101, 124)], 3: [*range(200, 223), 123]}
-    rows = [(bucket, band, d, 50, 3, d, bytes(120), own) for d, own in bands.items() for band, bucket in enumerate(own)]
-    members = spark.createDataFrame(rows, "bucket long, band int, doc_id long, n_shingles long, n long, component long, places binary, bands array<long>")
-    crowded = members.join(members.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
-    for block in (1024, 1):
-        got = minhash._candidates(crowded, percent=85, cells=4, block=block).collect()
-        assert sorted(map(tuple, got)) == [(1, 2), (1, 3), (2, 3)]
+def _minhash_links(rows, percent):
+    sets = {k: v for k, v in _sets(rows).items() if k[0] is not None and v}
+    keys = list(sets)
+    return [(a[0], b[0]) for i, a in enumerate(keys) for b in keys[i + 1 :] if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+
+
+def test_minhash_with_two_texts_under_one_id(spark):
+    """Either text of document 12 links it: 20 is near one, 30 near the other."""
+    text = lambda start, end: " ".join(f"w{i}" for i in range(start, end))
+    rows = [(12, text(0, 200)), (12, text(1000, 1200)), (20, text(1003, 1203)), (30, text(2, 202)), (30, text(2, 202)), (40, text(5000, 5100))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == {12: 12, 20: 12, 30: 12, 40: 40}
+
+
+def test_minhash_of_a_large_group_of_near_copies(spark):
+    """Copies of one text with words changed here and there: many pairs lie just below or above the similarity."""
+    r = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(300):
+        words = list(base)
+        for k in r.integers(0, 120, r.integers(1, 5)):
+            words[k] = f"x{d}_{k}"
+        rows.append((d, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent=85).collect()
+    want = _components(range(300), _minhash_links(rows, 85))
+    assert len(set(want.values())) > 3
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
+def test_links_of_a_bucket_whatever_its_blocks(spark):
+    """Five texts in a row, each near the next; a sixth shares only its last band with them. Pairs that share
+    no bucket as their first band aren't verified, and blocks of any size find links for the same components."""
+    text = lambda k: " ".join(f"w{i}" for i in range(6 * k, 6 * k + 200))
+    texts = {k: text(k) for k in range(6)}
+    bands = {k: list(range(100, 124)) for k in range(5)} | {5: [*range(200, 223), 123]}
+    packed = {k: zstandard.compress(t.encode()) for k, t in texts.items()}
+    rows = [(bucket, k, max(0, k - 3), 196, bytes(120), own, packed[k]) for k, own in bands.items() for bucket in own if bucket in (100, 105, 123)]
+    members = spark.createDataFrame(rows, "bucket long, node long, component long, n_shingles long, places binary, bands array<long>, text binary")
+    for block in (500_000, 300):
+        got = [tuple(r) for r in minhash._joining_links(members, percent=85, shingle=5, block=block).collect()]
+        assert len(got) < 12
+        assert set(_components(range(6), [*got, (0, 1), (1, 2), (2, 3)]).values()) == {0}
 
 
 def test_token_files(spark, docs, rows):
@@ -247,6 +282,74 @@ def test_quality_on_held_out_rows(spark):
     assert auc > 0.85
 
 
+def test_quality_scores_do_not_depend_on_the_batch():
+    """Texts scored together and in blocks, against a plain loop over the chunks of one text at a time."""
+    net = quality_cnn.Network(seed=1)
+    texts = [b"", b"abc", b"y" * 256, b"word " * 100, bytes(range(256)) * 400, "\u017c\u00f3\u0142w ".encode() * 3000]
+    plain = []
+    for t in texts:
+        starts = [0] if len(t) <= quality_cnn.CHUNK else range(0, len(t) - quality_cnn.CHUNK + quality_cnn.STRIDE, quality_cnn.STRIDE)
+        tops = []
+        for a in starts:
+            own = bytes(quality_cnn.LAGS) + t
+            own = own[a : a + quality_cnn.LAGS + quality_cnn.CHUNK].ljust(quality_cnn.LAGS + quality_cnn.CHUNK, b"\0")
+            tops.append(net.filtered(np.frombuffer(own, np.uint8)[None])[0])
+        tops = np.array(tops)
+        x = np.maximum(np.concatenate([tops.max(0), tops.mean(0)]) @ net.w[2] + net.w[3], 0) @ net.w[4] + net.w[5]
+        plain.append(1 / (1 + np.exp(-np.clip(x[0], -30, 30))))
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert np.allclose(net.scores(data, bounds), plain, atol=1e-5)
+
+
+def test_gradients_of_the_network():
+    """Against differences of the loss."""
+    net = quality_cnn.Network(seed=2)
+    r = np.random.default_rng(0)
+    texts = [bytes(r.integers(97, 101, n, dtype=np.uint8)) for n in (30, 700, 5000)]
+    data, bounds, y = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array([0, 1, 1], np.float32)
+
+    def loss():
+        p = net.scores(data, bounds)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    grads = net._gradients(data, bounds, y)
+    for k in (2, 4, 5):
+        at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
+        before, step = net.w[k][at], 1e-2
+        net.w[k][at] = before + step
+        high = loss()
+        net.w[k][at] = before - step
+        low = loss()
+        net.w[k][at] = before
+        assert abs((high - low) / (2 * step) - grads[k][at]) < 0.05 * abs(grads[k][at]) + 1e-3
+
+
+def test_language_scores_do_not_depend_on_the_batch(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat with the hat", "en"), ("le chat est sur la table avec le chapeau", "fr"), ("the dog and the fox in the wood", "en"), ("la maison et le jardin dans la rue", "fr")] * 3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [*(t for _, t, _ in rows[:4]), "THE Cat " * 5000, "\u00bd\u00b2\u2167", "12 34", "\u00e9", ""]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[k][0] for k in (5, 6, 8)] == ["und"] * 3 and got[4][0] == "en" and got[7][0] in ("en", "fr")
+    for k, t in enumerate(texts):
+        if got[k][0] != "und":
+            grams = {t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+            alone = np.zeros((1, language_id.BUCKETS), np.uint8)
+            for g in grams:  # one n-gram at a time
+                alone |= np.zeros_like(alone) if len(g) == 0 else _only(g)
+            s = model.score(alone)[0]
+            assert got[k][0] == model.langs[int(s.argmax())] and abs(got[k][1] - s.max()) < 1e-6
+
+
+def _only(gram):
+    """The bucket of one n-gram alone: those of the text itself less those of its shorter parts."""
+    from lodestone.llm.language_id import presence
+
+    whole = presence([gram])
+    for part in {gram[i : i + n] for n in range(1, len(gram)) for i in range(len(gram) - n + 1)}:
+        whole |= presence([part])
+    return whole
+
+
 def test_models_take_odd_rows(spark):
     odd = spark.createDataFrame([(*r, "x", 1, None, 0.5, "y") for r in ODD], SCHEMA)
     langs = language_id.predict(odd, language_id.fit(odd.where("doc_id is not null"))).collect()
