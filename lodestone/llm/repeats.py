@@ -11,17 +11,21 @@ Phrases. Neighbouring windows with one trigger form a phrase: their bytes, overl
 phrase by length - 1. Each window lies in exactly one phrase, so the parse of a document is its list
 of phrases, and equal windows have the same trigger at the same place in their phrases.
 
-Dictionary and parse. Phrase occurrences are ordered by trigger, phrase and corpus position. A
-phrase's first occurrence stands for it in the dictionary; all windows of its later ones are repeated.
-
-Suffixes. What is left are windows of different phrases with one trigger, mostly at the ends of
-copied passages. The dictionary's suffixes (to `length` bytes) of those phrases are ordered by
-the fingerprint of their first `length` bytes and corpus position; all but the first of a run are
-repeated. Only equality of these prefixes matters here, so fingerprints replace alphabetical order.
+Parse. A window never leaves its phrase, so of the parse's suffixes only the first phrase matters:
+its suffix array, cut off there, is the list of occurrences in order of phrase and corpus position.
+A phrase's first occurrence stands for it in the dictionary; all windows of its later ones are
+repeated. Phrases are told apart by 64 bits of their own hash and 32 of their trigger's.
+
+Dictionary. What is left are equal windows of different phrases. They have the trigger in common and,
+on the side of the window's middle where it lies, half the bytes around it (its context). Phrases
+that share trigger and a context with another one go, as bytes, to a cell of that context, and
+there the suffix array of the dictionary, to `length` bytes, is built by prefix doubling over the
+bytes themselves. Neighbours in it that agree in `length` bytes form a run, which the parse puts
+into corpus order; all but the first are repeated.
 
 Before anything is shuffled, phrases that a batch of texts has already had are settled there, so
 a passage that a third of the documents hold is sent about once per batch. Occurrences travel as
-compressed columns, one block per batch and cell of triggers; a cell is resolved by array sorts.
+compressed columns, one block per batch and cell; numbers of cells follow from measured bytes.
 
 Defined cases: null text: empty; texts shorter than `length`: nothing is removed; null doc_id:
 last in corpus order; rows that repeat a doc_id and text are one document, and each gets its
@@ -37,26 +41,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table
+from .common import Scratch, compressed, partitions, row_bytes, small_batches, stored, table, tidy
 from .shingles import _BASE, _INVERSE, _OF_BYTE, mix, powers
+from .tokens import runs
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
-#: A place is a position and, in its low bits, a number of windows.
-BITS = 7
+#: A place is a position and, in its low bits, the trigger's offset (7 bits) and a number of windows (7 bits).
+BITS = 14
+COUNT = (1 << 7) - 1
 
 
 def parts(texts: pa.Array, length: int, part: int):
     """(rows, positions in their texts, data, bounds) of strings of about `part` bytes together; longer
     texts come in parts that overlap by length - 1."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
+    data, offsets = row_bytes(texts)
     n = len(texts)
-    if not n or texts.buffers()[2] is None:
-        return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8)
     row = 0
     while row < n:
         size = offsets[row + 1] - offsets[row]
@@ -84,8 +84,9 @@ class Hashes:
 
 
 def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
-    """First window, number of windows, hashes of trigger and phrase, and two short hashes of the
-    context before and behind the trigger (0: it would leave the text) of each phrase in data.
+    """First window, number of windows, the trigger's offset from the first window, hashes of trigger and
+    phrase, and hashes of the context before and behind the trigger (0: it would leave the text) of
+    each phrase in data.
 
     Equal windows agree in half the bytes around the trigger at least on one of its sides, so
     phrases without an equal context share no window.
@@ -93,7 +94,7 @@ def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
     n = len(data)
     windows = n - length + 1
     if windows < 1:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 4
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 4
     hashes = Hashes(data)
     grams = n - trigger + 1
     h = mix((hashes.total[trigger:] - hashes.total[:-trigger]) * hashes.inverse[:grams])
@@ -118,7 +119,7 @@ def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
     before, behind = place - half, place + trigger + half
     left = np.where(before >= bounds[doc], hashes.spans(np.maximum(before, 0), half + trigger) | np.uint64(1), np.uint64(0))
     right = np.where(behind <= bounds[doc + 1], hashes.spans(np.minimum(place, n - half - trigger), half + trigger) | np.uint64(1), np.uint64(0))
-    return starts, count, h[place], hashes.spans(starts, count + length - 1), left, right
+    return starts, count, place - starts, h[place], hashes.spans(starts, count + length - 1), left, right
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
@@ -139,16 +140,15 @@ def unpacked(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
 
 
 PHRASE = ["u4", "u2", "u2", "u8", "i8", "i8"]  # trigger, contexts, phrase, document, place
-SUFFIX = ["u8", "i8", "i8"]  # window, document, place
 BLOCK = "cell int, block binary, doc_order long, place long"
 
 
-def blocks(cell: np.ndarray, columns: list[np.ndarray], cells: int) -> pa.RecordBatch:
-    """A row per cell with its rows' columns; documents as differences."""
+def blocks(cell: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row per cell with its rows' columns."""
     order = np.argsort(cell, kind="stable")
-    edges = np.searchsorted(cell[order], np.arange(cells + 1))
     columns = [c[order] for c in columns]
-    got = [(k, packed([c[a:b] for c in columns])) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) != 0, [True]])).tolist() if len(cell) else [0]
+    got = [(int(cell[order[a]]), packed([c[a:b] for c in columns])) for a, b in zip(edges, edges[1:], strict=False)]
     nothing = pa.nulls(len(got), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary()), nothing, nothing], names=["cell", "block", "doc_order", "place"])
 
@@ -172,6 +172,23 @@ def later(keys: list[np.ndarray], docs: np.ndarray, places: np.ndarray) -> np.nd
     return out
 
 
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of all suffixes of data by their first `length` bytes (fewer where data ends): prefix doubling.
+    Equal ranks mean equal bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        word = word << np.uint64(8) | padded[k : k + len(data)]
+    size, rank = 8, np.unique(word, return_inverse=True)[1].astype(np.uint64)
+    while size < length:
+        step = min(size, length - size)
+        behind = np.zeros(len(rank), np.uint64)
+        behind[: max(0, len(rank) - step)] = rank[step:] + np.uint64(1)
+        rank = np.unique(rank << np.uint64(32) | behind, return_inverse=True)[1].astype(np.uint64)
+        size += step
+    return rank
+
+
 def _with_order(docs: DataFrame) -> DataFrame:
     """doc (all columns but text), text and doc_order: a document's rank in the corpus, doc_id itself where that will do."""
     names = [c for c in docs.columns if c != "text"]
@@ -179,39 +196,47 @@ def _with_order(docs: DataFrame) -> DataFrame:
     clear = nested.groupBy("id").count().where("id is null or count > 1").isEmpty()
     if clear:
         return nested.withColumnRenamed("id", "doc_order")
-    # some ids are null or repeated: number the different (doc_id, text) in corpus order
-    keyed = nested.withColumn("tie", F.xxhash64("text"))
-    ranks = keyed.select("id", "tie").distinct().orderBy(F.col("id").asc_nulls_last(), "tie").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, tie long, doc_order long")
-    ranks = ranks.withColumnRenamed("id", "rank_id").withColumnRenamed("tie", "rank_tie")
-    return keyed.join(ranks, F.col("id").eqNullSafe(F.col("rank_id")) & (F.col("tie") == F.col("rank_tie"))).select("doc", "text", "doc_order")
+    # some ids are null or repeated: number the different (doc_id, text) in corpus order, by ranges
+    tie = F.coalesce(F.xxhash64("text"), F.lit(0))
+    n = partitions(docs.sparkSession)
+    ranged = nested.select(F.col("id").alias("_id"), tie.alias("_tie")).distinct().repartitionByRange(n, F.col("_id").asc_nulls_last(), "_tie").sortWithinPartitions(F.col("_id").asc_nulls_last(), "_tie")
+    # partition number in the high bits, row number in the low ones: rising in corpus order
+    ranks = stored(ranged.withColumn("doc_order", F.monotonically_increasing_id()), "order")
+    return nested.withColumn("tie", tie).join(ranks, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("doc", "text", "doc_order")
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 2_500_000, cells: int | None = None, as_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part: int = 2_000_000, cell_bytes: int = 4_000_000, as_text: bool = False) -> DataFrame:
     """Each row of docs as a struct `doc`, with n_bytes, the removed runs (`spans`, in bytes) and `kept` bytes.
 
-    docs needs doc_id and text. Phrase occurrences are shuffled once, in blocks by trigger; texts,
-    compressed, once for the suffix step and once for the result. `cells` (four times the shuffle
-    partitions) should leave a cell a few hundred megabytes of phrases at most. With as_text, `kept` is
-    a string, without the characters that a run cuts.
+    docs needs doc_id and text. Phrase occurrences are shuffled once, in blocks by trigger, a cell for
+    each `cell_bytes` of text; the bytes of phrases that stay open, once; texts, compressed, once for
+    the suffix step (those with open phrases) and once for the result. With as_text, `kept` is a
+    string, without the characters that a run cuts.
     """
-    assert length - trigger + 1 < 1 << BITS
+    across, half = length - trigger, (length - trigger) // 2
+    assert across + 1 <= COUNT and length >= 8
     spark = docs.sparkSession
-    cells = cells or 4 * partitions(spark)
+    small_batches(spark)
+    scratch = Scratch(spark)
     docs = _with_order(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = int(max(partitions(spark), size // cell_bytes + 1))
 
+    @tidy
     def occurrences(batches):
         for batch in batches:
             key = batch.column(0).to_numpy()
             for rows, base, data, bounds in parts(batch.column(1), length, part):
-                start, count, trig, phrase, left, right = phrases(data, bounds, length, trigger)
+                start, count, offset, trig, phrase, left, right = phrases(data, bounds, length, trigger)
                 k = np.searchsorted(bounds, start, "right") - 1
-                doc, place = key[rows[k]], base[k] + start - bounds[k] << BITS | count
+                doc, place = key[rows[k]], base[k] + start - bounds[k] << BITS | offset << 7 | count
                 again = later([phrase], doc, place)
                 new = ~again
                 yield settled(doc[again], place[again])
                 short = trig[new].astype(np.uint32)
-                yield blocks((short % np.uint32(cells)).astype(np.int32), [short, left[new].astype(np.uint16), right[new].astype(np.uint16), phrase[new], doc[new], place[new]], cells)
+                yield blocks((short % np.uint32(cells)).astype(np.int32), [short, left[new].astype(np.uint16), right[new].astype(np.uint16), phrase[new], doc[new], place[new]])
 
+    @tidy
     def resolve(cell: pa.Table) -> pa.Table:
         trig, left, right, phrase, doc, place = unpacked(cell.column("block").to_pylist(), PHRASE)
         again = later([phrase, trig], doc, place)
@@ -219,61 +244,98 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part:
         first = np.flatnonzero(~again)
         first = first[np.lexsort((phrase[first], trig[first]))]
         first = first[np.concatenate([[True], (np.diff(trig[first]) != 0) | (np.diff(phrase[first]) != 0)])] if len(first) else first
-        shared = np.zeros(len(first), bool)
-        for side in (left, right):
+        route = trig[first].astype(np.int64) << 32
+        for side, shift in ((left, 16), (right, 0)):
             both = trig[first].astype(np.uint64) << np.uint64(16) | side[first]
             _, at, n = np.unique(both, return_inverse=True, return_counts=True)
-            shared |= (n[at] > 1) & (side[first] != 0)
-        first = first[shared]
+            route |= np.where(n[at] > 1, side[first].astype(np.int64), 0) << shift
+        is_open = route & 0xFFFFFFFF != 0
+        first, route = first[is_open], route[is_open]
         rows = np.concatenate([np.flatnonzero(again), first])
-        return pa.table({"doc_order": doc[rows], "place": place[rows], "open": np.arange(len(rows)) >= len(rows) - len(first)})
+        return pa.table({"doc_order": doc[rows], "place": place[rows], "route": pa.array(np.concatenate([np.zeros(len(rows) - len(first), np.int64), route]), mask=np.arange(len(rows)) < len(rows) - len(first))})
 
-    sent = stored(docs.select("doc_order", "text").mapInArrow(occurrences, BLOCK), "phrases")
-    resolved = stored(sent.where("cell is not null").select("cell", "block").groupBy("cell").applyInArrow(resolve, "doc_order long, place long, open boolean"), "resolved")
-    coarse = sent.where("cell is null").select("doc_order", "place").unionByName(resolved.where("not open").select("doc_order", "place"))
+    sent = scratch.stored(docs.select("doc_order", "text").mapInArrow(occurrences, BLOCK), "phrases")
+    resolved = scratch.stored(sent.where("cell is not null").select("cell", "block").groupBy("cell").applyInArrow(resolve, "doc_order long, place long, route long"), "resolved")
+    coarse = sent.where("cell is null").select("doc_order", "place").unionByName(resolved.where("route is null").select("doc_order", "place"))
+    left_open = resolved.where("route is not null")
+    waiting = left_open.agg(F.sum(F.col("place").bitwiseAND(COUNT) + length - 1)).first()[0] or 0
+    suffix_cells = int(max(partitions(spark), 3 * waiting // cell_bytes + 1))
 
-    def compress(batches):
+    @tidy
+    def pack_texts(batches):
         for batch in batches:
-            texts = [zstandard.compress(x, 3) for x in batch.column(1).fill_null("").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_order", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), compressed(batch.column(1))], names=["doc_order", "text"])
 
-    small = docs.select("doc_order", "text").mapInArrow(compress, "doc_order long, text binary")
-    open_of = resolved.where("open").groupBy("doc_order").agg(F.collect_list("place").alias("places"))
+    small = docs.select("doc_order", "text").mapInArrow(pack_texts, "doc_order long, text binary")
+    open_of = left_open.groupBy("doc_order").agg(F.collect_list(F.struct("place", "route")).alias("places"))
 
-    def suffixes(batches):
+    @tidy
+    def dictionary(batches):
+        """The bytes of open phrases, each side's windows to the cell of trigger and context."""
         for batch in batches:
-            got: list[list] = [[], [], []]
-            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(zstandard.decompress(text), np.uint8)
-                places = np.array(places, np.int64)
-                start, count = places >> BITS, places & (1 << BITS) - 1
-                for a, n in zip(start.tolist(), count.tolist(), strict=True):
-                    span = data[a : a + n + length - 1]
-                    got[0].append(Hashes(span).spans(np.arange(n), length))
-                    got[1].append(np.full(n, doc))
-                    got[2].append(np.arange(a, a + n) << BITS | 1)
-            window, doc, place = (np.concatenate(x) for x in got)
-            again = later([window], doc, place)
-            yield settled(doc[again], place[again])
-            new = ~again
-            yield blocks((window[new] % np.uint64(cells)).astype(np.int32), [window[new], doc[new], place[new]], cells)
-
+            got: list[list] = [[], [], [], []]
+            listed = batch.column(2)
+            for k in range(batch.num_rows):
+                data = np.frombuffer(zstandard.decompress(batch.column(1)[k].as_py()), np.uint8)
+                place, route = (x.to_numpy() for x in listed[k].values.flatten())
+                start, offset, count = place >> BITS, place >> 7 & COUNT, place & COUNT
+                on_left = np.clip(offset - half + 1, 0, count)  # windows that hold all of the left context
+                for from_, n, ctx, side in ((start, on_left, route >> 16 & 0xFFFF, 1), (start + on_left, count - on_left, route & 0xFFFF, 0)):
+                    some = (n > 0) & (ctx != 0)
+                    a, m = from_[some], n[some]
+                    got[0].append(mix((route[some] >> 32 << 17 | side << 16 | ctx[some]).view(np.uint64)) % np.uint64(suffix_cells))
+                    got[1].append(np.full(len(a), batch.column(0)[k].as_py()))
+                    got[2].append(a << BITS | m)
+                    got[3].append(data[runs(a, m + length - 1)])
+            cell, doc, place, data = (np.concatenate(x) for x in got)
+            cell = cell.astype(np.int64)
+            width = (place & COUNT) + length - 1
+            at = np.cumsum(width) - width
+            order = np.argsort(cell, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) != 0, [True]])).tolist() if len(cell) else [0]
+            cells_of, blobs = [], []
+            for a, b in zip(edges, edges[1:], strict=False):
+                own = order[a:b]
+                cells_of.append(int(cell[own[0]]))
+                blobs.append(packed([np.array([b - a]), doc[own], place[own], data[runs(at[own], width[own])]]))
+            yield pa.RecordBatch.from_arrays([pa.array(cells_of, pa.int64()), pa.array(blobs, pa.binary())], names=["cell", "block"])
+
+    @tidy
     def order_suffixes(cell: pa.Table) -> pa.Table:
-        window, doc, place = unpacked(cell.column("block").to_pylist(), SUFFIX)
-        again = later([window], doc, place)
-        return pa.table({"doc_order": doc[again], "place": place[again]})
-
-    windows = stored(small.join(open_of, "doc_order").select("doc_order", "text", "places").mapInArrow(suffixes, BLOCK), "suffixes")
-    fine = windows.where("cell is not null").select("cell", "block").groupBy("cell").applyInArrow(order_suffixes, "doc_order long, place long")
-    fine = fine.unionByName(windows.where("cell is null").select("doc_order", "place"))
-    marks = coarse.unionByName(fine).groupBy("doc_order").agg(F.collect_set("place").alias("marks"))
+        docs_of, places, texts = [], [], []
+        for blob in cell.column("block").to_pylist():
+            raw = zstandard.decompress(blob)
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            docs_of.append(np.frombuffer(raw, np.int64, n, 8))
+            places.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
+            texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 16 * n))
+        doc, place, data = (np.concatenate(x) for x in (docs_of, places, texts))
+        count = place & COUNT
+        width = count + length - 1
+        at = runs(np.cumsum(width) - width, count)  # where each window starts in the dictionary
+        own = np.repeat(np.arange(len(doc)), count)
+        position = runs(place >> BITS, count)
+        rank = suffix_ranks(data, length)[at]
+        again = later([rank], doc[own], position << BITS)
+        # neighbouring windows of one phrase go as one place
+        hit = np.flatnonzero(again)
+        head = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)]) if len(hit) else np.empty(0, bool)
+        first = hit[head]
+        n = np.diff(np.append(np.flatnonzero(head), len(hit)))
+        return pa.table({"doc_order": doc[own[first]], "place": position[first] << BITS | n})
+
+    entries = small.join(open_of, "doc_order").select("doc_order", "text", "places").mapInArrow(dictionary, "cell long, block binary")
+    fine = scratch.stored(entries.groupBy("cell").applyInArrow(order_suffixes, "doc_order long, place long"), "suffixes")
+    marks = stored(coarse.unionByName(fine).groupBy("doc_order").agg(F.collect_set("place").alias("marks")), "marks")
+    scratch.clear()
     out_type = docs.schema["doc"].dataType.simpleString()
 
+    @tidy
     def squeeze(batches):
         for batch in batches:
-            texts = [zstandard.compress(x, 3) for x in batch.column(1).fill_null("").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["doc", "text", "doc_order"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), compressed(batch.column(1)), batch.column(2)], names=["doc", "text", "doc_order"])
 
+    @tidy
     def cut_out(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
@@ -281,16 +343,16 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part:
             for packed_text, marked in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = zstandard.decompress(packed_text)
                 sizes.append(len(text))
-                runs = []
+                found = []
                 if marked.is_valid:
                     places = np.sort(marked.values.to_numpy())
                     a = places >> BITS
-                    b = np.maximum.accumulate(a + (places & (1 << BITS) - 1) + length - 1)
+                    b = np.maximum.accumulate(a + (places & COUNT) + length - 1)
                     new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
-                    runs = list(zip(a[new].tolist(), b[np.append(new[1:] - 1, len(b) - 1)].tolist(), strict=True))
-                edges = [0, *(x for run in runs for x in run), len(text)]
-                spans.append([{"start": x, "end": y} for x, y in runs])
-                kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if runs else text)
+                    found = list(zip(a[new].tolist(), b[np.append(new[1:] - 1, len(b) - 1)].tolist(), strict=True))
+                edges = [0, *(x for run in found for x in run), len(text)]
+                spans.append([{"start": x, "end": y} for x, y in found])
+                kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if found else text)
             if as_text:
                 kept = [x.decode("utf-8", "ignore") for x in kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string() if as_text else pa.binary())], names=["doc", "n_bytes", "spans", "kept"])

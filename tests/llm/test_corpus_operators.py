@@ -93,6 +93,33 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def _embedding_rows(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    return sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=repr)
+
+
+def test_embeddings_with_several_vectors_under_one_id(spark):
+    got = _embedding_rows(spark, [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (9, [1.0, 0.0, 0.0], 1)])
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (9, 0, 9, True)], key=repr)
+
+
+def test_embeddings_with_repeated_ids_equal_sql(spark):
+    """Vectors of small numbers, ids that repeat with the same or another vector, and pairs at the limit itself."""
+    import duckdb
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    rows = [(int(r.integers(0, 60)), [float(x) for x in r.integers(-3, 4, 2 + int(k % 7 == 0))], int(r.integers(0, 2))) for k in range(120)]
+    rows += [(200, [1.0, 0.0], 3), (201, [49.0, float(np.sqrt(2401 / 0.9604 - 2401))], 3), (None, [1.0, 1.0], 1)]
+    embeddings_table = pd.DataFrame(rows, columns=["vec_id", "embedding", "label"])  # noqa: F841  DuckDB reads it
+    sql = embeddings.OP1_SQL.replace("list_cosine_similarity(a.v, b.v) >= 0.98", "len(a.v) = len(b.v) AND list_cosine_similarity(CASE WHEN len(a.v) = len(b.v) THEN a.v ELSE b.v END, b.v) >= 0.98")
+    want = duckdb.sql(sql.replace("FROM embeddings", "FROM (SELECT vec_id::BIGINT AS vec_id, embedding::FLOAT[] AS embedding, label FROM embeddings_table)"))
+    names = [d[0] for d in want.description]
+    want = [dict(zip(names, x, strict=True)) for x in want.fetchall()]
+    want = sorted(((x["vec_id"], x["n_links"], x["component_id"], True if x["vec_id"] is None else x["kept"]) for x in want), key=repr)
+    assert _embedding_rows(spark, rows) == want
+
+
 def test_quality_rules(docs, rows):
     got = sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules.scores(docs).collect()), key=repr)
     want = []
@@ -236,9 +263,8 @@ def test_token_files(spark, docs, rows):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
 
 
-def test_repeats(docs, rows):
-    order = sorted({r for r in rows}, key=lambda r: (r[0] is None, r[0] or 0))
-    same_id = {d for d, n in Counter(d for d, _ in order).items() if n > 1}
+def _repeats_wanted(order):
+    """(doc_id, bytes, removed, runs, digest) of each (doc_id, text), which come in corpus order."""
     seen, want = set(), {}
     for d, text in order:
         b = (text or "").encode()
@@ -251,11 +277,44 @@ def test_repeats(docs, rows):
         spans = len(re.findall(rb"\x01+", bytes(cut)))
         kept = bytes(c for c, gone in zip(b, cut, strict=True) if not gone)
         want[d, text] = (d, len(b), sum(cut), spans, hashlib.sha256(kept).hexdigest())
+    return want
+
+
+def _repeats_found(docs, **how):
     removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
-    got = repeats.repeated_spans(docs).select("doc.doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256)).collect()
-    free = lambda x: [tuple(r) for r in x if r[0] not in same_id or r[1] < 100]
-    assert len(got) == len(rows)
-    assert sorted(free(got), key=repr) == sorted(free([want[r] for r in rows]), key=repr)
+    got = repeats.repeated_spans(docs, **how).select("doc.doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256)).collect()
+    return sorted(map(tuple, got), key=repr)
+
+
+def test_repeats(spark, docs, rows):
+    ranked = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).distinct().collect()
+    order = [(r["doc_id"], r["text"]) for r in sorted(ranked, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))]
+    want = _repeats_wanted(order)
+    assert _repeats_found(docs) == sorted([want[r] for r in rows], key=repr)
+
+
+def test_repeats_of_one_id_with_several_long_texts(spark):
+    """Shared passages at odd places, between texts of one id, within a text, and in cells of a few bytes."""
+    r = np.random.default_rng(7)
+    shared = ["".join(map(chr, r.integers(97, 103, n))) for n in (150, 400, 99, 100, 1000)]
+    own = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    rows = [(int(k // 2), own(int(r.integers(0, 60))) + shared[k % 5] + own(int(r.integers(0, 300))) + shared[(k * 3) % 5][: int(r.integers(50, 1000))] + "\u017c" * int(r.integers(0, 80))) for k in range(40)]
+    rows += [(None, shared[1]), (None, shared[4] * 2), (3, rows[6][1]), (3, rows[6][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranked = df.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).distinct().collect()
+    order = [(x["doc_id"], x["text"]) for x in sorted(ranked, key=lambda x: (x["doc_id"] is None, x["doc_id"] or 0, x["h"]))]
+    want = _repeats_wanted(order)
+    for how in ({}, {"cell_bytes": 500}, {"part": 300}):
+        assert _repeats_found(df.repartition(3), **how) == sorted([want[x] for x in rows], key=repr), how
+
+
+def test_suffix_ranks_order_suffixes():
+    data = np.frombuffer(b"abracadabra" * 30 + b"abrac", np.uint8)
+    rank = repeats.suffix_ranks(data, 100)
+    raw = data.tobytes()
+    want = sorted(range(len(raw)), key=lambda i: raw[i : i + 100])
+    assert [raw[i : i + 100] for i in np.argsort(rank, kind="stable")] == [raw[i : i + 100] for i in want]
+    assert all((rank[i] == rank[i + 11]) == (raw[i : i + 100] == raw[i + 11 : i + 111]) for i in range(200))
 
 
 def test_url_rules(spark):
