@@ -4,7 +4,9 @@ Rules are host/path strings that fit a host, its subdomains and all paths with t
 longest that fits wins. URLs that rules decide are the labelled ones: a bounded sample of them
 (`sample_rows`, those with the smallest hashes) trains gradient-boosted trees on lexical features:
 lengths, path depth, digit ratio, character entropy, parameter counts, and statistics of suffixes
-(of the host and of the last path part), which are counted over all labelled URLs.
+(of the host and of the last path part), which are counted over all labelled URLs. URLs that train
+the trees get the statistics of the labelled URLs outside their own fold, one of `FOLDS`, so that
+no URL's label is among its features.
 
 Defined cases: null url or one without `://`: host and path empty, no rule, the trees' verdict;
 no labelled URL or only one kind: that verdict for all (allow if there is none); null page_id and
@@ -13,10 +15,8 @@ repeated rows: kept as they are; no rows: no rows; other columns are not read.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,64 +43,74 @@ def matched(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def _features(batches):
-    """Lexical features of a batch of URLs."""
-    for batch in batches:
-        rows = []
-        for url, host, path in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            url = url or ""
-            counts = np.array(list(_counts(url).values()), float)
-            share = counts / max(1, len(url))
-            query = url.partition("?")[2].partition("#")[0]
-            rows.append([len(url), len(host), host.count(".") + bool(host), path.rstrip("/").count("/"), len(path),
-                         sum(map(str.isdigit, path)) / max(1, len(path)), float(-(share * np.log2(share)).sum()) if len(url) else 0.0,
-                         query.count("&") + bool(query), float("#" in url), float(url.startswith("https"))])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names, "features"])
-
-
-def _counts(text: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for c in text:
-        out[c] = out.get(c, 0) + 1
-    return out
+FOLDS = 5
+
+
+def _count(text: Column, what: str) -> Column:
+    """How many characters of `text` are among `what`."""
+    return (F.length(text) - F.length(F.translate(text, what, ""))).cast("double")
+
+
+def lexical(url: Column, host: Column, path: Column) -> Column:
+    """The values of FEATURES for a URL."""
+    url = F.coalesce(url, F.lit(""))
+    n = F.length(url)
+    share = F.transform(F.array_distinct(F.split(url, "")), lambda c: F.when(c != "", (n - F.length(F.replace(url, c, F.lit("")))) / n))
+    entropy = F.aggregate(share, F.lit(0.0), lambda a, x: a - F.coalesce(x * F.log2(x), F.lit(0.0)))
+    query = F.regexp_extract(url, r"(?s)^[^?]*\?([^#]*)", 1)
+    some = lambda x: (x != "").cast("double")
+    values = [
+        n, F.length(host), _count(host, ".") + some(host), _count(F.regexp_replace(path, "/+$", ""), "/"), F.length(path),
+        F.when(path == "", 0.0).otherwise(_count(path, "0123456789") / F.length(path)), F.when(n == 0, 0.0).otherwise(entropy),
+        _count(query, "&") + some(query), url.contains("#").cast("double"), url.startswith("https").cast("double"),
+    ]
+    return F.array(*[v.cast("double") for v in values])
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """page_id, host, path, rule and verdict of each row of pages (page_id, url), and the trees' block score."""
     host, path = host_path(F.col("url"))
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    kind = urls.schema["page_id"].dataType.simpleString()
-    urls = urls.mapInArrow(_features, f"page_id {kind}, url string, host string, path string, features array<double>")
+    urls = urls.withColumn("features", lexical(F.col("url"), F.col("host"), F.col("path")))
     urls = urls.withColumn("match", matched(F.col("host"), F.col("path"), rules))
     urls = urls.withColumn("top", F.substring_index("host", ".", -1)).withColumn("ending", F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})/?$", 1))
-    urls = stored(urls, "urls")
+    urls = stored(urls.withColumn("h", F.xxhash64("url")).withColumn("fold", F.pmod("h", F.lit(FOLDS))), "urls")
     block = (F.col("match.verdict") == "block").cast("double")
     labelled = urls.where("match is not null")
     total = labelled.agg(F.count("*").alias("n"), F.sum(block).alias("b")).first()
-    plain = urls.select("page_id", "host", "path", F.col("match.rule").alias("rule"))
+    ruled = [F.col("page_id"), F.col("host"), F.col("path"), F.col("match.rule").alias("rule")]
     if not total["n"] or total["b"] in (0, total["n"]):
         own = F.lit("block" if total["n"] and total["b"] else "allow")
-        return plain.join(plain.limit(0).select("page_id"), "page_id", "left_anti").select("page_id", "host", "path", "rule", own.alias("verdict"), F.lit(None).cast("double").alias("score"))
+        return urls.select(*ruled, own.alias("verdict"), F.lit(None).cast("double").alias("score"))
     prior = total["b"] / total["n"]
 
-    def rate(column: str) -> DataFrame:
-        """How often labelled URLs with this suffix are blocked, drawn to the mean where there are few."""
-        return labelled.groupBy(column).agg(((F.sum(block) + 20 * prior) / (F.count("*") + 20)).alias(f"{column}_rate"))
-
-    full = urls.join(rate("top"), "top", "left").join(rate("ending"), "ending", "left")
-    rates = [F.coalesce(f"{c}_rate", F.lit(prior)) for c in ("top", "ending")]
-    full = full.select("page_id", "host", "path", "match", F.xxhash64("url").alias("h"), array_to_vector(F.concat("features", F.array(*rates))).alias("x"))
-    sample = full.where("match is not null").orderBy("h", "x").limit(sample_rows).select("x", block.alias("label"))
-    sample = stored(sample.coalesce(1), "labelled")
+    def rated(rows: DataFrame, column: str, apart: bool) -> DataFrame:
+        """With how often labelled URLs of the row's suffix are blocked, drawn to the mean where there are
+        few; `apart`: those of the row's own fold left out."""
+        kinds = labelled.groupBy(column, "fold").agg(F.count("*").alias("n"), F.sum(block).alias("b"))
+        if apart:
+            folds = labelled.sparkSession.range(FOLDS).select(F.col("id").cast(rows.schema["fold"].dataType).alias("of"))
+            kinds = kinds.crossJoin(F.broadcast(folds)).where("of != fold").groupBy(column, F.col("of").alias("fold")).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        else:
+            kinds = kinds.groupBy(column).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        key = [column, "fold"] if apart else [column]
+        rate = kinds.select(*key, ((F.col("b") + 20 * prior) / (F.col("n") + 20)).alias(f"{column}_rate"))
+        return rows.join(rate, key, "left").withColumn(f"{column}_rate", F.coalesce(f"{column}_rate", F.lit(prior)))
+
+    def full(rows: DataFrame, apart: bool) -> DataFrame:
+        for column in ("top", "ending"):
+            rows = rated(rows, column, apart)
+        return rows.withColumn("x", array_to_vector(F.concat("features", F.array("top_rate", "ending_rate"))))
+
+    drawn = stored(labelled.select("h", "fold", "top", "ending", "features", "match").orderBy("h", "features").limit(sample_rows), "drawn")
+    sample = stored(full(drawn, True).select("x", block.alias("label")).coalesce(1), "labelled")
     if sample.select("label").distinct().count() < 2:
-        return full.select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.verdict", F.lit("block" if prior >= 0.5 else "allow")).alias("verdict"), F.lit(prior).alias("score"))
+        return urls.select(*ruled, F.coalesce("match.verdict", F.lit("block" if prior >= 0.5 else "allow")).alias("verdict"), F.lit(prior).alias("score"))
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2).fit(sample)
-    scored = model.setProbabilityCol("p").transform(full)
-    from pyspark.ml.functions import vector_to_array
-
+    scored = model.setProbabilityCol("p").transform(full(urls, False))
     score = vector_to_array("p")[1]
     verdict = F.coalesce("match.verdict", F.when(score >= 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", F.col("match.rule").alias("rule"), verdict.alias("verdict"), score.alias("score"))
+    return scored.select(*ruled, verdict.alias("verdict"), score.alias("score"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

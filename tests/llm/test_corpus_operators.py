@@ -328,6 +328,52 @@ def test_url_rules(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+#: DuckDB SQL for what rules decide: host, path, rule and, where a rule fits, the verdict.
+RULED_SQL = r"""WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+p AS (SELECT page_id, CASE WHEN pos = 0 THEN '' ELSE substr(url, pos + 3) END AS rest FROM u),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM p),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'), ('block', 'example.org', '/en/1', 'example.org/en/1'), ('allow', 'com', '/fr/', 'com/fr/'), ('block', 'com', '/de/', 'com/de/')) v(verdict, own, prefix, rule)),
+m AS (SELECT page_id, max_by(rule, len(rule)) AS rule, max_by(verdict, len(rule)) AS verdict FROM h JOIN r ON (host = own OR host LIKE '%.' || own) AND starts_with(path, prefix) GROUP BY page_id)
+SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN m USING (page_id)"""
+
+
+def test_url_rules_equal_sql(spark, duck):
+    got = url_filter.op4_url_filter(spark, SF_DIR)
+    ruled = got.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")))
+    assert sorted(map(tuple, ruled.collect()), key=repr) == sorted(duck.execute(RULED_SQL).fetchall(), key=repr)
+
+
+def test_lexical_features_of_urls(spark):
+    import math
+
+    urls = ["https://a.b.com/x/y9//?q=1&r=2#t", "http://host", "", None, "plain text?a#b", "h://x/" + "z1" * 3000, "s://\u00e9\u4e2d.org/\u00e9"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, url string")
+    host, path = url_filter.host_path(F.col("url"))
+    got = {r["k"]: r["x"] for r in df.select("k", url_filter.lexical(F.col("url"), host, path).alias("x")).collect()}
+    for k, u in enumerate(urls):
+        u = u or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        query = u.partition("?")[2].partition("#")[0]
+        n = Counter(u)
+        want = [len(u), len(host), host.count(".") + bool(host), path.rstrip("/").count("/"), len(path), sum(c in "0123456789" for c in path) / max(1, len(path)),
+                -sum(c / len(u) * math.log2(c / len(u)) for c in n.values()), query.count("&") + bool(query), "#" in u, u.startswith("https")]
+        assert np.allclose(got[k], np.array(want, float)), u
+
+
+def test_url_trees_learn_what_the_rules_say(spark):
+    """Paths with digits are blocked by a rule on hosts that it knows; trees carry that to other hosts."""
+    rules = (("block", "evil.net/"), ("allow", "good.net/"))
+    rows = [(k, f"https://evil.net/p{k}{k * 7919}/{k * 104729}?a={k}&b={k}") for k in range(150)] + [(1000 + k, f"http://good.net/about/page-{'abc'[k % 3] * (k % 9)}") for k in range(150)]
+    rows += [(2000, "https://other.eu/p55432123/99887766?a=1&b=2"), (2001, "http://other.eu/about/page-abc"), (None, "https://other.eu/p1234567/7654321?a=3&b=9"), (2001, "http://other.eu/about/page-abc")]
+    got = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in got if r["page_id"]) == [(2000, "block"), (2001, "allow"), (2001, "allow")]
+    assert [r["verdict"] for r in got if r["page_id"] is None] == ["block"]
+    only = url_filter.url_verdicts(spark.createDataFrame(rows[:150] + rows[-1:], "page_id long, url string"), rules)
+    assert {r["verdict"] for r in only.collect()} == {"block"}  # one kind of label only
+
+
 def test_language_id_on_held_out_rows(spark):
     held = queries.QUERIES["op7_language_id"](spark, SF_DIR).where("held_out").join(spark.read.parquet(f"{SF_DIR}/documents.parquet").where("length(text) > 40"), "doc_id")
     right, n = held.agg(F.avg(F.expr("cast(lang = lang_pred as double)")), F.count("*")).first()
