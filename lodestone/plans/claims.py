@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 KIND_ORDER = ("join", "split", "rename", "aside", "review", "ok")
 
 
@@ -14,7 +16,7 @@ def classify(expected: Column, found: Column, words: Column, high: Column) -> Co
     same = F.array_sort(expected) == F.array_sort(found)
     once = F.size(F.array_distinct(found)) == F.size(found)
     return (
-        F.when(words == 0, "NO_TEXT").when(F.size(found) == 0, "NO_MATCH").when(~high, "LOW_CONFIDENCE")
+        F.when(F.size(found) == 0, F.when(words == 0, "NO_TEXT").otherwise("NO_MATCH")).when(~high, "LOW_CONFIDENCE")
         .when(expected == found, "OK").when(same & once, "OK_ORDER_DIFFERS").otherwise("MISMATCH")
     )
 
@@ -42,9 +44,20 @@ def plan_kind(won: Column, named: Column, held: Column, found: Column) -> Column
     )
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Rows numbered from 1 in an order: sorted by ranges in parallel and written once, so that ranges stay
+    as they are; each range comes after the rows of those before it (one count a range). `order` is unique."""
+    ranged = stored(rows.orderBy(order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    part, at = F.shiftright("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1) + 1
+    ranged = ranged.select("*", part.alias("_part"), at.alias("_at")).drop("_row")
+    sizes = ranged.groupBy("_part").agg(F.max("_at").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+
+
 def plan_order(items: DataFrame, kind: str = "kind", path: str = "path") -> DataFrame:
     """Items with ids in path order, then sorted by kind and path: ids come before the sort."""
-    ids = items.withColumn("id", F.row_number().over(Window.orderBy(path)))
+    ids = numbered(items, path, "id").withColumn("id", F.col("id").cast("int"))
     rank = F.lit(len(KIND_ORDER))
     for k, name in enumerate(KIND_ORDER):
         rank = F.when(F.col(kind) == name, k).otherwise(rank)
@@ -92,8 +105,7 @@ def swaps(rows: DataFrame, group: str, named: str, holds: str, path: str) -> Dat
 def rename_ops(renames: DataFrame, src: str, dst: str) -> DataFrame:
     """Moves in two passes, so that swaps and chains never overwrite: all to temporary names, then all
     to their targets. ordinal orders the whole table."""
-    n = Window.orderBy(src)
-    rows = renames.withColumn("k", F.row_number().over(n).cast("long"))
+    rows = numbered(renames, src, "k")
     total = rows.agg(F.count("*").alias("total"))
     temp = F.concat(F.col(src), F.lit(".tmp"))
     first = rows.select(F.col("k").alias("ordinal"), F.lit("move").alias("op"), F.col(src).alias("src"), temp.alias("dst"))
@@ -110,10 +122,22 @@ def undo_ops(ops: DataFrame) -> DataFrame:
 
 
 def free_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Names made unique: the second of a name is `name (1).ext`, the third `name (2).ext`."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 2)
-    return rows.withColumn("free", F.when(k == 0, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), k.cast("string"), F.lit(")"), ext)))
+    """Names made unique: the first of a name keeps it, the others are `name (n).ext` with the smallest
+    numbers that no row is named with. The f-th free number is f and the number of taken ones that
+    have fewer than f free ones below them; a running count gives it, without lists of names."""
+    parted = r"^(.*?)(\.[^./]*)?$"
+    numbered = r"^(.*) \(([1-9][0-9]{0,17})\)(\.[^./]*)?$"
+    per = Window.partitionBy(name)
+    ranked = rows.withColumn("_f", F.row_number().over(per.orderBy(order)) - 1)
+    one = ranked.where("_f = 0").select(F.concat(F.regexp_extract(name, numbered, 1), F.regexp_extract(name, numbered, 3)).alias(name), F.regexp_extract(name, numbered, 2).try_cast("long").alias("t")).where("t is not null").distinct()
+    below = one.withColumn("_v", F.col("t") - F.row_number().over(per.orderBy("t"))).select(name, "_v")
+    asks = ranked.where("_f > 0").select(F.struct(*rows.columns).alias("_row"), name, F.col("_f").cast("long").alias("_v"), F.lit(0).alias("_kind"))
+    both = asks.unionByName(below.select(F.lit(None).cast(asks.schema["_row"].dataType).alias("_row"), name, "_v", F.lit(1).alias("_kind")))
+    taken = F.sum("_kind").over(per.orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    number = both.withColumn("_n", F.col("_v") + taken).where("_kind = 0")
+    stem, ext = F.regexp_extract(name, parted, 1), F.regexp_extract(name, parted, 2)
+    made = number.select("_row.*", F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext).alias("free"))
+    return ranked.where("_f = 0").drop("_f").withColumn("free", F.col(name)).unionByName(made)
 
 
 def multi_episode(style: str, season: Column, numbers: Column) -> Column:
@@ -122,7 +146,7 @@ def multi_episode(style: str, season: Column, numbers: Column) -> Column:
     s = F.concat(F.lit("S"), two(season))
     e = F.transform(numbers, lambda x: F.concat(F.lit("E"), two(x)))
     if style == "extend":
-        return F.concat(s, F.get(e, F.lit(0)), F.array_join(F.transform(F.slice(numbers, 2, 1000), lambda x: F.concat(F.lit("-"), two(x))), ""))
+        return F.concat(s, F.get(e, F.lit(0)), F.array_join(F.transform(F.slice(numbers, F.lit(2), F.greatest(F.size(numbers) - 1, F.lit(0))), lambda x: F.concat(F.lit("-"), two(x))), ""))
     if style == "duplicate":
         return F.array_join(F.transform(e, lambda x: F.concat(s, x)), ".")
     if style == "repeat":

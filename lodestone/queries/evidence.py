@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cards, names, tfidf, vectors
-from ..plans.claims import multi_episode  # noqa: F401
+from ..operators import cards, names, references, tfidf, vectors
 from ..registry import query
 from ..sources import subtitles
 from .common import table
@@ -157,7 +156,7 @@ def _listing(spark, sf_dir):
 
 @query(f"SELECT p_partkey FROM ({_LIST}) WHERE p_partkey % 5 NOT IN (1, 2) AND p_partkey % 4 != 2 AND NOT (p_partkey % 4 = 1 AND size < 157286400)")
 def video_listing(spark, sf_dir):
-    return subtitles.list_videos(_listing(spark, sf_dir)).select("p_partkey")
+    return subtitles.list_videos(_listing(spark, sf_dir), F.concat(F.lit("/tv/"), "p_brand")).select("p_partkey")
 
 
 @query(f"SELECT split_part(path, '/', 3) AS show, bool_or(regexp_matches(lower(path), '/season [0-9]+/')) AS seasons FROM ({_LIST}) GROUP BY 1")
@@ -206,18 +205,22 @@ def candidate_pool(spark, sf_dir):
 
 
 # ---- checks of references by the dialogue of others
-@query("""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z'']+')) AS term FROM benchmark), df AS (SELECT term, count(DISTINCT item_id) AS df FROM t GROUP BY term), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1 AS idf FROM df),
+_FLAG = """WITH r AS (SELECT item_id, text, item_id % 4 = 0 AS flagged, CASE WHEN item_id % 8 = 0 THEN item_id + 1 END AS target FROM benchmark),
+t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z'']+')) AS term FROM r), tt AS (SELECT t.* FROM t JOIN r USING (item_id) WHERE NOT flagged), n AS (SELECT count(*) AS n FROM r WHERE NOT flagged),
+idf AS (SELECT term, ln((1 + n) / (1 + count(DISTINCT item_id))) + 1 AS idf FROM tt, n GROUP BY term, n HAVING n < 10 OR count(DISTINCT item_id) <= 0.6 * n),
 x AS (SELECT item_id, term, (1 + ln(count(*))) * any_value(idf) AS x FROM t JOIN idf USING (term) GROUP BY 1, 2), v AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM x),
-s AS (SELECT a.item_id, b.item_id AS other, sum(a.w * b.w) AS score FROM v a JOIN v b USING (term) WHERE a.item_id != b.item_id GROUP BY 1, 2)
-SELECT item_id, CASE WHEN max(score) >= 0.35 THEN 'removed' WHEN max(score) < 0.25 THEN 'verified' ELSE 'flagged' END AS verdict FROM s GROUP BY 1""")
+s AS (SELECT a.item_id, b.item_id AS other, sum(a.w * b.w) AS score FROM v a JOIN r f ON f.item_id = a.item_id AND f.flagged JOIN v b USING (term) JOIN r g ON g.item_id = b.item_id AND NOT g.flagged GROUP BY 1, 2),
+b AS (SELECT item_id, max(score) AS best FROM s GROUP BY 1)
+SELECT r.item_id, CASE WHEN coalesce(best, 0) >= 0.35 THEN 'removed' WHEN g.item_id IS NOT NULL AND coalesce(score, 0) < 0.15 AND coalesce(best, 0) < 0.25 THEN 'verified' ELSE 'flagged' END AS verdict
+FROM r LEFT JOIN b USING (item_id) LEFT JOIN r g ON g.item_id = r.target AND NOT g.flagged LEFT JOIN s ON s.item_id = r.item_id AND s.other = r.target WHERE r.flagged"""
+
+
+@query(_FLAG)
 def verify_flagged(spark, sf_dir):
-    """A flagged reference that is like another one is removed; one that is like none is verified."""
-    refs = table(spark, sf_dir, "benchmark")
-    t = tfidf.tokens(refs, "item_id")
-    v = tfidf.fit(t, "item_id", refs.agg(F.count("*").alias("n"))).vectors(t, "item_id")
-    s = tfidf.scores(v, v.withColumnRenamed("item_id", "other"), "item_id", "other").where("item_id != other")
-    top = F.max("score")
-    return s.groupBy("item_id").agg(F.when(top >= 0.35, "removed").when(top < 0.25, "verified").otherwise("flagged").alias("verdict"))
+    """Every fourth passage is flagged; half of these say that they are another one's."""
+    k = F.col("item_id")
+    refs = table(spark, sf_dir, "benchmark").select("item_id", "text", (k % 4 == 0).alias("flagged"), F.when(k % 8 == 0, k + 1).alias("target"))
+    return references.verify_flagged(refs, "item_id")
 
 
 @query("SELECT e.vec_id, o.vec_id AS other, round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) AS score FROM embeddings e JOIN embeddings o ON e.label = o.label AND o.vec_id < 20 AND o.vec_id != e.vec_id QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) DESC, o.vec_id) <= 2")

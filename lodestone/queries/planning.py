@@ -51,7 +51,7 @@ def _files(spark, sf_dir):
 
 
 _STATUS = f"""WITH f AS ({_FILES}), g AS (SELECT l_orderkey, expected, coalesce(found, []) AS found, words, high FROM f)
-SELECT l_orderkey, CASE WHEN words = 0 THEN 'NO_TEXT' WHEN len(found) = 0 THEN 'NO_MATCH' WHEN NOT high THEN 'LOW_CONFIDENCE' WHEN expected = found THEN 'OK'
+SELECT l_orderkey, CASE WHEN len(found) = 0 THEN CASE WHEN words = 0 THEN 'NO_TEXT' ELSE 'NO_MATCH' END WHEN NOT high THEN 'LOW_CONFIDENCE' WHEN expected = found THEN 'OK'
  WHEN list_sort(expected) = list_sort(found) AND len(list_distinct(found)) = len(found) THEN 'OK_ORDER_DIFFERS' ELSE 'MISMATCH' END AS status FROM g"""
 
 

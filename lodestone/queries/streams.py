@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import alnum
 from ..registry import query
@@ -14,11 +13,18 @@ from .common import scratch, table
 
 
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now, and read its last state from memory."""
-    name = f"lodestone_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all that is there now; its batches are files in the shared folder, as is its state."""
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, "stream")
+
+    def keep(rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={k}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
+    if mode == "complete":  # each batch has all rows so far
+        out = out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch")
+    return out.drop("batch")
 
 
 def _stream(spark, sf_dir, name):
@@ -46,10 +52,10 @@ def stream_import_batches(spark, sf_dir):
     path = scratch(spark, "batches")
 
     def handle(rows: DataFrame, k: int) -> None:
-        rows.groupBy("series", F.split_part("rel", F.lit("/"), F.lit(1)).alias("event_type")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={k}")
+        rows.groupBy("series", F.split_part("rel", F.lit("/"), F.lit(1)).alias("event_type")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/out/batch={k}")
 
-    grabs.import_batches(e, handle).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema("series long, event_type string, n long, batch long").parquet(path)
+    grabs.import_batches(e, handle, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("series long, event_type string, n long, batch long").parquet(f"{path}/out")
     return out.groupBy(F.col("series").alias("user_id"), "event_type").agg(F.sum("n").alias("n"))
 
 

@@ -141,7 +141,7 @@ for _t in ("script", "style"):
 for _t in ("table", "div", "nav"):
     _H = f"regexp_replace({_H}, '(?is)<{_t}\\b[^>]*class=\"[^\"]*navbox.*?</{_t}>', ' ', 'g')"
 _H = f"regexp_replace({_H}, '(?i)<br\\s*/?>|</p>|</dd>|</li>', chr(10), 'g')"
-_H = "trim(regexp_replace(" + _UN.format(f"regexp_replace({_H}, '<[^>]+>', ' ', 'g')") + ", '[ \\t]+', ' ', 'g'))"
+_H = "trim(regexp_replace(" + f"replace(replace({_UN}, '&copy;', '©'), '&middot;', '·')".format(f"regexp_replace({_H}, '<[^>]+>', ' ', 'g')") + ", '[ \\t]+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, {_H} AS body FROM pages")
@@ -246,15 +246,19 @@ def transcript_gate(spark, sf_dir):
     return _pages(spark, sf_dir).select("conv_id", X.transcript_gate(F.col("page"), 150, 5).alias("reason"))
 
 
-@query("SELECT doc_id, CASE WHEN len(text) <= 3000 THEN text ELSE text[1:1000] || chr(10) || '…' || chr(10) || substring(text, (len(text) // 2 - 500) + 1, 1000) || chr(10) || '…' || chr(10) || right(text, 1000) END AS excerpt FROM documents")
+@query("SELECT doc_id, CASE WHEN len(text) <= 3000 THEN text ELSE text[1:1000] || ' … ' || substring(text, (len(text) // 2 - 500) + 1, 1000) || ' … ' || right(text, 1000) END AS excerpt FROM documents")
 def excerpt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.excerpt(F.col("text"), 3000).alias("excerpt"))
 
 
-@query("SELECT p_partkey, format('S01E{:02d}', p_partkey) AS code, p_retailprice AS confidence, p_name AS reason FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 != 0 THEN format('S01E{:02d}', p_partkey) END AS code, CASE WHEN p_partkey % 3 != 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE round(p_retailprice, 2) END END AS confidence, CASE WHEN p_partkey % 3 != 0 THEN p_name END AS reason FROM part""")
 def llm_reply_parse(spark, sf_dir):
-    reply = F.concat(F.lit("<think>maybe {1}</think>Sure: "), F.to_json(F.struct(X.episode_code(F.lit(1), F.col("p_partkey")).alias("code"), F.col("p_retailprice").alias("confidence"), F.col("p_name").alias("reason"))), F.lit(" done"))
-    code, confidence, reason = X.model_reply(reply)
+    """A third of the answers name an episode that isn't a candidate; half have no number for their confidence."""
+    k = F.col("p_partkey")
+    sure = F.when(k % 2 == 0, "high").otherwise((F.col("p_retailprice") + 0.0001).cast("string"))
+    reply = F.concat(F.lit("<think>maybe {1}</think>Sure: "), F.to_json(F.struct(F.lower(X.episode_code(F.lit(1), k)).alias("episode"), sure.alias("confidence"), F.col("p_name").alias("reason"))), F.lit(" done"))
+    candidates = F.array(F.when(k % 3 != 0, X.episode_code(F.lit(1), k)).otherwise("S99E99"))
+    code, confidence, reason = X.model_reply(reply, candidates)
     return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), confidence.alias("confidence"), reason.alias("reason"))
 
 

@@ -11,7 +11,8 @@ from ..functions.text import clean_cue, timestamp_seconds
 VIDEO = ("mkv", "mp4", "avi", "m4v", "mov", "wmv", "ts", "mpg", "mpeg", "webm", "flv")
 SUBTITLES = ("srt", "vtt", "ass", "ssa")
 SMALL_SAMPLE = 150 * 1024 * 1024
-EXTRAS = ("extras", "featurettes", "trailers", "behind the scenes", "deleted scenes", "interviews", "scenes", "shorts", "other", "sample", "samples")
+# Folders whose videos are no episodes.
+EXTRAS = ("extras", "featurettes", "behind the scenes")
 ASS_FIELDS = ("layer", "start", "end", "style", "name", "marginl", "marginr", "marginv", "effect", "text")
 
 
@@ -34,15 +35,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decoded("content").alias("text"))
 
 
-def list_videos(files: DataFrame, backup: str = ".backup") -> DataFrame:
-    """files (path, size) -> the videos: no hidden or backup folders, no extras, no small samples."""
-    parts = F.split(F.lower("path"), "/")
-    name = F.element_at(parts, -1)
-    folders = F.slice(parts, 1, F.size(parts) - 1)
+def list_videos(files: DataFrame, root: Column, backup: str = ".backup") -> DataFrame:
+    """files (path, size) below a series' folder `root` -> its videos: nothing hidden, nothing in the
+    backup folder right below the root, no extras, no small samples."""
+    parts = F.split(F.substring("path", F.length(root) + 2, F.length("path")), "/")
+    name = F.lower(F.element_at(parts, -1))
     ext = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)
-    hidden = F.exists(parts, lambda x: x.startswith(".")) | F.array_contains(folders, backup.lower())
+    hidden = F.exists(parts, lambda x: x.startswith(".")) | (F.get(parts, F.lit(0)) == backup)
     small = name.contains("sample") & (F.col("size") < SMALL_SAMPLE)
-    return files.where(ext.isin(*VIDEO) & ~hidden & ~F.arrays_overlap(folders, F.array(*map(F.lit, EXTRAS))) & ~small)
+    return files.where(ext.isin(*VIDEO) & ~hidden & ~F.exists(parts, lambda x: F.lower(x).isin(*EXTRAS)) & ~small)
 
 
 def subtitle_format(ext: Column, raw: Column) -> Column:
@@ -63,7 +64,7 @@ def parse_ass(files: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """key, start, end and text of each dialogue line, its fields in the order that the first Format line with a text states."""
     lines = F.split(F.col(raw), r"\r?\n")
     formats = F.filter(lines, lambda x: x.startswith("Format:") & x.contains("Text"))
-    named = F.transform(F.split(F.substring(F.get(formats, F.lit(0)), 8, 100000), ","), lambda x: F.lower(F.trim(x)))
+    named = F.transform(F.split(F.substring(F.get(formats, F.lit(0)), F.lit(8), F.length(F.get(formats, F.lit(0)))), ","), lambda x: F.lower(F.trim(x)))
     fields = F.when(F.size(formats) > 0, named).otherwise(F.array(*map(F.lit, ASS_FIELDS)))
     said = F.filter(lines, lambda x: x.startswith("Dialogue:"))
     rows = files.select(key, fields.alias("f"), F.explode(said).alias("d"))

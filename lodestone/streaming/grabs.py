@@ -66,9 +66,12 @@ def queue_match(queue: DataFrame, by_id: DataFrame, by_title: DataFrame, by_epis
     return rows.select("item", F.coalesce("grab_by_id", "grab_by_title", "grab_by_episode").alias("grab"))
 
 
-def import_batches(imports: DataFrame, handle: Callable[[DataFrame, int], None]):
-    """Each micro-batch is one scan: what arrives while one runs waits for the next; repeated files count once."""
-    return imports.writeStream.foreachBatch(lambda rows, k: handle(rows.dropDuplicates(["series", "rel"]), k))
+def import_batches(imports: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, time: str | None = None, late: str = "7 days"):
+    """Each micro-batch is one scan: what arrives while one runs waits for the next. A file (series, rel) counts
+    once, whatever batches it comes in: state remembers it, for `late` if there is a column of times."""
+    keys = ["series", "rel"]
+    once = imports.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if time else imports.dropDuplicates(keys)
+    return once.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
 def sessions(events: DataFrame, key: str, time: str, gap: str, late: str = "10 minutes") -> DataFrame:
