@@ -259,7 +259,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part:
     coarse = sent.where("cell is null").select("doc_order", "place").unionByName(resolved.where("route is null").select("doc_order", "place"))
     left_open = resolved.where("route is not null")
     waiting = left_open.agg(F.sum(F.col("place").bitwiseAND(COUNT) + length - 1)).first()[0] or 0
-    suffix_cells = int(max(partitions(spark), 3 * waiting // cell_bytes + 1))
+    suffix_cells = int(max(partitions(spark), 4 * waiting // cell_bytes + 1))
 
     @tidy
     def pack_texts(batches):
@@ -325,7 +325,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part:
         return pa.table({"doc_order": doc[own[first]], "place": position[first] << BITS | n})
 
     entries = small.join(open_of, "doc_order").select("doc_order", "text", "places").mapInArrow(dictionary, "cell long, block binary")
-    fine = scratch.stored(entries.groupBy("cell").applyInArrow(order_suffixes, "doc_order long, place long"), "suffixes")
+    fine = scratch.stored(entries.repartition(suffix_cells, "cell").groupBy("cell").applyInArrow(order_suffixes, "doc_order long, place long"), "suffixes")
     marks = stored(coarse.unionByName(fine).groupBy("doc_order").agg(F.collect_set("place").alias("marks")), "marks")
     scratch.clear()
     out_type = docs.schema["doc"].dataType.simpleString()
