@@ -4,18 +4,47 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zipfile
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.find_spark_home import _find_spark_home
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-TOKEN = "([a-z][a-z']+)"
+#: A word: two or more letters or apostrophes that begin with a letter, between characters that no word has.
+WORD = r"(?U)\b([a-z][a-z']+)\b"
 _WORD = re.compile(r"\b[a-z][a-z']+\b")
-# A short list of very common English words; a caller may pass another.
-STOP_WORDS = ("the", "and", "of", "to", "in", "is", "that", "it", "was", "for", "on", "are", "with", "as", "be", "at", "by", "this", "from", "or", "an")
+#: Reference vectors of up to this many rows are broadcast (about 100 bytes each); beyond it, joined by shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+@cache
+def english_stop_words() -> tuple[str, ...]:
+    """The English list that Spark ML's StopWordsRemover has, read from Spark's own library."""
+    jar = next((Path(_find_spark_home()) / "jars").glob("spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as z:
+        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+
+
+@cache
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks, and the letters they are made of."""
+    pairs = []
+    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
+        if len(base) == 1 and base.isascii():
+            pairs.append((chr(cp), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_accents(c: Column) -> Column:
+    """Latin letters without their marks, whether these are part of a character or follow it."""
+    return F.regexp_replace(F.translate(c, *_accents()), r"\p{M}+", "")
 
 
 def _plain(text: str) -> str:
@@ -26,22 +55,22 @@ def _plain(text: str) -> str:
 
 @F.pandas_udf(ArrayType(StringType()))
 def plain_words(texts: pd.Series) -> pd.Series:
-    """Words of a text in lower case without accents, as the reference cuts them; one with another letter in it is none."""
+    """Words of a text in lower case without accents in any script; one with another letter in it is none."""
     return pd.Series([_WORD.findall(_plain(t or "")) for t in texts])
 
 
-def tokens(texts: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), bigrams: bool = False, plain: bool = False) -> DataFrame:
-    """key and term: lower-case words, stop words removed, then pairs of words that are neighbours.
-    With `plain` accents are stripped first; without, words are those that DuckDB's SQL cuts."""
-    words = plain_words(F.col(text)) if plain else F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), 1)
-    rows = texts.select(key, F.posexplode(words).alias("pos", "term"))
+def counts(texts: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), bigrams: bool = False, plain: bool = False) -> DataFrame:
+    """key, term and n, how often a text has it: words in lower case without Latin accents, stop words
+    removed, then pairs of neighbours. With `plain`, characters of all scripts are decomposed, in Python.
+    Pairs are made within the row, and a text's terms are counted in its own task before the shuffle."""
+    words = plain_words(F.col(text)) if plain else F.regexp_extract_all(without_accents(F.lower(F.coalesce(F.col(text), F.lit("")))), F.lit(WORD), 1)
+    rows = texts.select(key, words.alias("w"))
     if stop:
-        rows = rows.where(~F.col("term").isin(*stop))
-    if not bigrams:
-        return rows.select(key, "term")
-    after = F.lead("term").over(Window.partitionBy(key).orderBy("pos"))
-    terms = F.array(F.col("term"), F.when(after.isNotNull(), F.concat_ws(" ", "term", after)))
-    return rows.select(key, terms.alias("terms")).select(key, F.explode("terms").alias("term")).where("term is not null")
+        rows = rows.withColumn("w", F.filter("w", lambda x: ~x.isin(*stop)))
+    if bigrams:
+        pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        rows = rows.withColumn("w", F.concat("w", pairs))
+    return rows.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 @dataclass
@@ -50,28 +79,38 @@ class Weights:
 
     idf: DataFrame
 
-    def vectors(self, tokens: DataFrame, key: str) -> DataFrame:
-        """key, term, w: 1 + ln tf times idf, scaled to length one; unknown terms don't count."""
-        tf = tokens.groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-        raw = tf.join(self.idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
+    def weighted(self, counts: DataFrame, key: str) -> DataFrame:
+        """key, term, x: 1 + ln n times idf; unknown terms don't count."""
+        return counts.join(self.idf, "term").select(key, "term", ((1 + F.log("n")) * F.col("idf")).alias("x"))
+
+    def vectors(self, counts: DataFrame, key: str) -> DataFrame:
+        """key, term, w: weights scaled to length one."""
+        raw = self.weighted(counts, key)
         norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
         return raw.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def fit(tokens: DataFrame, key: str, n_docs: DataFrame, max_df: float | None = None) -> Weights:
-    """Smoothed idf over `tokens`; n_docs has one row and column n, the number of texts.
-    With max_df and ten texts or more, terms in a larger share of them are left out."""
-    df = tokens.select(key, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    rows = df.crossJoin(F.broadcast(n_docs))  # one row
+def fit(counts: DataFrame, n_docs: DataFrame, max_df: float | None = None) -> Weights:
+    """Smoothed idf over texts' terms (a row for each text and term); n_docs has one row and column n, the
+    number of texts. With max_df and ten texts or more, terms in a larger share of them are left out."""
+    rows = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))  # one row
     if max_df is not None:
         rows = rows.where((F.col("n") < 10) | (F.col("df") <= max_df * F.col("n")))
     return Weights(rows.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
 
 
-def scores(queries: DataFrame, references: DataFrame, key: str, ref: str) -> DataFrame:
-    """key, ref and the cosine of each pair that shares a term."""
-    pairs = queries.select(key, "term", F.col("w").alias("qw")).join(references.select(ref, "term", F.col("w").alias("rw")), "term")
-    return pairs.groupBy(key, ref).agg(F.sum(F.col("qw") * F.col("rw")).alias("score"))
+def scores(weighted: DataFrame, references: DataFrame, key: str, ref: str) -> DataFrame:
+    """key, ref and the cosine of each pair that shares a term, from weights (key, term, x) of any length and
+    reference vectors (ref, term, w). A text's own length comes out of the same aggregate, as its
+    product with itself. Terms meet by a broadcast of the references if these are few."""
+    held = references.select("term", F.struct(F.col(ref), "w").alias("r")).groupBy("term").agg(F.collect_list("r").alias("refs"))  # as many as there are references
+    small = references.count() <= BROADCAST_ROWS
+    met = weighted.join(F.broadcast(held) if small else held, "term", "left")
+    own = F.struct(F.lit(None).cast(references.schema[ref].dataType).alias(ref), F.col("x").alias("w"))
+    pairs = met.select(key, "x", F.explode(F.array_append(F.coalesce("refs", F.array().cast(held.schema["refs"].dataType)), own)).alias("r"))
+    sums = pairs.groupBy(key, f"r.{ref}").agg(F.sum(F.col("x") * F.col("r.w")).alias("s"))
+    norm = F.max(F.when(F.col(ref).isNull(), F.sqrt("s"))).over(Window.partitionBy(key))
+    return sums.withColumn("_norm", norm).where(F.col(ref).isNotNull()).select(key, ref, (F.col("s") / F.col("_norm")).alias("score"))
 
 
 def top(scored: DataFrame, key: str, ref: str, k: int, digits: int = 4) -> DataFrame:
@@ -80,15 +119,15 @@ def top(scored: DataFrame, key: str, ref: str, k: int, digits: int = 4) -> DataF
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(key, ref, "rank", F.round("score", digits).alias("score"))
 
 
-def confidence(ranked: DataFrame, key: str, ref: str, min_score: float = 0.12, min_margin: float = 0.04, min_ratio: float = 1.4, few: tuple[int, float] = (5, 0.35), references: DataFrame | None = None) -> DataFrame:
-    """Best reference, score, margin to the second and a label. With fewer references than few[0],
-    a score of few[1] is needed. `references` has one row and column n."""
-    first = ranked.where("rank = 1").select(key, ref, "score")
-    second = ranked.where("rank = 2").select(key, F.col("score").alias("next"))
-    rows = first.join(second, key, "left").withColumn("next", F.coalesce("next", F.lit(0.0)))
-    least = F.lit(min_score)
-    if references is not None:
-        rows = rows.crossJoin(F.broadcast(references))
-        least = F.when(F.col("n") < few[0], few[1]).otherwise(min_score)
-    high = (F.col("score") >= least) & (F.round(F.col("score") - F.col("next"), 4) >= min_margin) & (F.col("score") >= min_ratio * F.col("next"))
-    return rows.select(key, ref, "score", F.round(F.col("score") - F.col("next"), 4).alias("margin"), F.when(high, "high").otherwise("low").alias("confidence"))
+def sure(score: Column, second: Column, margin: Column, references: Column, min_score: float = 0.12, min_margin: float = 0.04, min_ratio: float = 1.4, few: tuple[int, float] = (5, 0.35)) -> Column:
+    """Is a best match good enough, and far enough from the second? With fewer references than few[0] it has to be plainly the same."""
+    least = F.when(references < few[0], F.greatest(F.lit(min_score), F.lit(few[1]))).otherwise(min_score)
+    return (score >= least) & (margin >= min_margin) & (score >= min_ratio * second)
+
+
+def confidence(ranked: DataFrame, key: str, ref: str, references: DataFrame, **limits) -> DataFrame:
+    """Best reference, score, margin to the second and a label. `references` has one row and column n."""
+    by_rank = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
+    rows = ranked.where("rank <= 2").groupBy(key).agg(F.min_by(ref, "rank").alias(ref), by_rank(1).alias("score"), F.coalesce(by_rank(2), F.lit(0.0)).alias("next")).crossJoin(F.broadcast(references))
+    margin = F.round(F.col("score") - F.col("next"), 4)
+    return rows.select(key, ref, "score", margin.alias("margin"), F.when(sure(F.col("score"), F.col("next"), margin, F.col("n"), **limits), "high").otherwise("low").alias("confidence"))

@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import cards, names, references, tfidf, vectors
 from ..registry import query
 from ..sources import subtitles
-from .common import table
+from .common import table, terms_sql
 
 # titles are pairs of words of the benchmark passages; names are lines of documents
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -205,8 +205,7 @@ def candidate_pool(spark, sf_dir):
 
 
 # ---- checks of references by the dialogue of others
-_FLAG = """WITH r AS (SELECT item_id, text, item_id % 4 = 0 AS flagged, CASE WHEN item_id % 8 = 0 THEN item_id + 1 END AS target FROM benchmark),
-t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z'']+')) AS term FROM r), tt AS (SELECT t.* FROM t JOIN r USING (item_id) WHERE NOT flagged), n AS (SELECT count(*) AS n FROM r WHERE NOT flagged),
+_FLAG = f"WITH r AS (SELECT item_id, text, item_id % 4 = 0 AS flagged, CASE WHEN item_id % 8 = 0 THEN item_id + 1 END AS target FROM benchmark), {terms_sql('t', 'item_id', 'r')}" + """, tt AS (SELECT t.* FROM t JOIN r USING (item_id) WHERE NOT flagged), n AS (SELECT count(*) AS n FROM r WHERE NOT flagged),
 idf AS (SELECT term, ln((1 + n) / (1 + count(DISTINCT item_id))) + 1 AS idf FROM tt, n GROUP BY term, n HAVING n < 10 OR count(DISTINCT item_id) <= 0.6 * n),
 x AS (SELECT item_id, term, (1 + ln(count(*))) * any_value(idf) AS x FROM t JOIN idf USING (term) GROUP BY 1, 2), v AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM x),
 s AS (SELECT a.item_id, b.item_id AS other, sum(a.w * b.w) AS score FROM v a JOIN r f ON f.item_id = a.item_id AND f.flagged JOIN v b USING (term) JOIN r g ON g.item_id = b.item_id AND NOT g.flagged GROUP BY 1, 2),

@@ -6,26 +6,18 @@ from pyspark.sql import functions as F
 
 from ..operators import decode, tfidf, windows
 from ..registry import query
-from .common import table
+from .common import stored, table, terms_sql
 
 # ---- documents against benchmark passages
-_STOP = ", ".join(f"'{w}'" for w in tfidf.STOP_WORDS)
 
 
-def _tokens_sql(name: str, key: str, source: str, stop: bool, bigrams: bool) -> str:
-    base = f"{name}0 AS (SELECT {key}, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT {key}, regexp_extract_all(lower(text), '[a-z][a-z'']+') AS w FROM {source}))"
-    base += f", {name}1 AS (SELECT * FROM {name}0" + (f" WHERE term NOT IN ({_STOP})" if stop else "") + ")"
-    if not bigrams:
-        return base + f", {name} AS (SELECT {key}, term FROM {name}1)"
-    return base + f", {name} AS (SELECT {key}, term FROM {name}1 UNION ALL SELECT {key}, term || ' ' || nxt FROM (SELECT {key}, term, lead(term) OVER (PARTITION BY {key} ORDER BY pos) AS nxt FROM {name}1) WHERE nxt IS NOT NULL)"
-
 
 def _scores_sql(background: bool = False, stop: bool = False, bigrams: bool = False, max_df: float | None = None) -> str:
     fit = "SELECT 'r' || item_id AS k, term FROM rt" + (" UNION ALL SELECT 'd' || doc_id AS k, term FROM dt" if background else "")
-    n = "(SELECT count(*) FROM benchmark)" + (" + (SELECT count(*) FROM documents WHERE lang = 'en')" if background else "")
+    n = "(SELECT count(*) FROM benchmark)" + (" + (SELECT count(*) FROM documents)" if background else "")
     cap = f" WHERE n < 10 OR df <= {max_df} * n" if max_df else ""
     vec = lambda t, k: f"{t}x AS (SELECT {k}, term, (1 + ln(count(*))) * any_value(idf) AS x FROM {t} JOIN idf USING (term) GROUP BY {k}, term), {t}v AS (SELECT {k}, term, x / sqrt(sum(x * x) OVER (PARTITION BY {k})) AS w FROM {t}x)"
-    return f"""WITH {_tokens_sql('rt', 'item_id', 'benchmark', stop, bigrams)}, {_tokens_sql('dt', 'doc_id', "(SELECT * FROM documents WHERE lang = 'en')", stop, bigrams)},
+    return f"""WITH {terms_sql('rt', 'item_id', 'benchmark', stop, bigrams)}, {terms_sql('dt', 'doc_id', 'documents', stop, bigrams)},
 f AS ({fit}), df AS (SELECT term, count(DISTINCT k) AS df, {n} AS n FROM f GROUP BY term), idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM df{cap}),
 {vec('rt', 'item_id')}, {vec('dt', 'doc_id')},
 s AS (SELECT doc_id, item_id, sum(d.w * r.w) AS score FROM dtv d JOIN rtv r USING (term) GROUP BY doc_id, item_id),
@@ -33,18 +25,17 @@ t AS (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY ro
 
 
 def _scored(spark, sf_dir, background=False, stop=False, bigrams=False, max_df=None, whole=False):
-    words = tfidf.STOP_WORDS if stop else ()
+    words = tfidf.english_stop_words() if stop else ()
     docs, refs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    if not whole:  # what SQL can tell words of
-        docs = docs.where("lang = 'en'")
-    dt, rt = tfidf.tokens(docs, "doc_id", "text", words, bigrams, whole), tfidf.tokens(refs, "item_id", "text", words, bigrams, whole)
-    fit = rt.select(F.concat(F.lit("r"), "item_id").alias("k"), "term")
+    dt, rt = tfidf.counts(docs, "doc_id", "text", words, bigrams, whole), tfidf.counts(refs, "item_id", "text", words, bigrams, whole)
     n = refs.agg(F.count("*").alias("n"))
+    known = rt.select("term")
     if background:
-        fit = fit.unionByName(dt.select(F.concat(F.lit("d"), "doc_id").alias("k"), "term"))
+        dt = stored(dt, "terms")  # for the weights and for the scores
+        known = known.unionByName(dt.select("term"))
         n = n.unionByName(docs.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
-    weights = tfidf.fit(fit, "k", n, max_df)
-    return tfidf.scores(weights.vectors(dt, "doc_id"), weights.vectors(rt, "item_id"), "doc_id", "item_id")
+    weights = tfidf.fit(known, n, max_df)
+    return tfidf.scores(weights.weighted(dt, "doc_id"), weights.vectors(rt, "item_id"), "doc_id", "item_id")
 
 
 _TOP2 = " SELECT doc_id, item_id, rank, score FROM t WHERE rank <= 2"
@@ -78,11 +69,10 @@ def tfidf_confidence(spark, sf_dir):
 
 def _confidence(spark, sf_dir, whole=False):
     ranked = tfidf.top(_scored(spark, sf_dir, True, True, True, 0.6, whole), "doc_id", "item_id", 2)
-    refs = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
-    return tfidf.confidence(ranked, "doc_id", "item_id", references=refs)
+    return tfidf.confidence(ranked, "doc_id", "item_id", table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n")))
 
 
-# ---- the same over all documents, in any language or none, without accents: SQL has no such words
+# ---- the same with characters of all scripts decomposed, in Python
 @query()
 def tfidf_top2_whole(spark, sf_dir):
     return tfidf.top(_scored(spark, sf_dir, whole=True), "doc_id", "item_id", 2)
@@ -144,12 +134,12 @@ def _window_scores(spark, sf_dir):
     w = windows.window_words(windows.cue_windows(_cues(spark, sf_dir), "conv_id"), "conv_id").where("not silent")
     w = w.select(F.concat_ws("/", "conv_id", "win").alias("k"), "text")
     refs = table(spark, sf_dir, "benchmark")
-    qt, rt = tfidf.tokens(w, "k"), tfidf.tokens(refs, "item_id")
-    weights = tfidf.fit(rt, "item_id", refs.agg(F.count("*").alias("n")))
-    return tfidf.scores(weights.vectors(qt, "k"), weights.vectors(rt, "item_id"), "k", "item_id")
+    rt = tfidf.counts(refs, "item_id")
+    weights = tfidf.fit(rt, refs.agg(F.count("*").alias("n")))
+    return tfidf.scores(weights.weighted(tfidf.counts(w, "k"), "k"), weights.vectors(rt, "item_id"), "k", "item_id")
 
 
-@query(_WORDS + f""", q AS (SELECT conv_id || '/' || win AS k, text FROM y WHERE words >= 8), {_tokens_sql('rt', 'item_id', 'benchmark', False, False)}, {_tokens_sql('qt', 'k', 'q', False, False)},
+@query(_WORDS + f""", q AS (SELECT conv_id || '/' || win AS k, text FROM y WHERE words >= 8), {terms_sql('rt', 'item_id', 'benchmark')}, {terms_sql('qt', 'k', 'q')},
 df AS (SELECT term, count(DISTINCT item_id) AS df FROM rt GROUP BY term), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1 AS idf FROM df),
 rx AS (SELECT item_id, term, (1 + ln(count(*))) * any_value(idf) AS x FROM rt JOIN idf USING (term) GROUP BY 1, 2), rv AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM rx),
 qx AS (SELECT k, term, (1 + ln(count(*))) * any_value(idf) AS x FROM qt JOIN idf USING (term) GROUP BY 1, 2), qv AS (SELECT k, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS w FROM qx),

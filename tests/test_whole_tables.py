@@ -26,7 +26,7 @@ def _terms(text, stop, bigrams):
 
 
 def _ranked(docs, refs, background, stop, bigrams, max_df):
-    stop = tfidf.STOP_WORDS if stop else ()
+    stop = tfidf.english_stop_words() if stop else ()
     d, r = ({k: _terms(t, stop, bigrams) for k, t in x} for x in (docs, refs))
     fit = [*r.values(), *(d.values() if background else ())]
     df = Counter(t for c in fit for t in c)
