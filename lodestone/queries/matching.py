@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decode, tfidf, windows
+from ..operators import decode, match, tfidf, windows
 from ..registry import query
 from .common import stored, table, terms_sql
 
@@ -233,3 +233,23 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS U
 def merge_intervals(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("start", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double") + F.date_format("ts", "0.SSSSSS").cast("double"))
     return windows.merge_intervals(e.select("user_id", "start", (F.col("start") + 7200).alias("end")), "user_id", 300).withColumns({"start": F.round("start", 3), "end": F.round("end", 3)})
+
+
+# ---- the whole match of files: conversations as files, benchmark passages as references
+@query()
+def match_file(spark, sf_dir):
+    """Segments of every conversation; held against a plain loop over the reference's steps in tests."""
+    cues = _cues(spark, sf_dir)
+    spoken = cues.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return match.segments(cues, table(spark, sf_dir, "benchmark").select("item_id", "text"), "conv_id", "item_id", background=spoken, stop=tfidf.english_stop_words())
+
+
+@query(f"""WITH c AS (SELECT conv_id, string_agg(text, ' ') AS text FROM conversations GROUP BY 1), {terms_sql('rt', 'item_id', 'benchmark')}, {terms_sql('qt', 'conv_id', 'c')},
+df AS (SELECT term, count(DISTINCT item_id) AS df FROM rt GROUP BY term), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1 AS idf FROM df),
+rx AS (SELECT item_id, term, (1 + ln(count(*))) * any_value(idf) AS x FROM rt JOIN idf USING (term) GROUP BY 1, 2), rv AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM rx),
+qx AS (SELECT conv_id, term, (1 + ln(count(*))) * any_value(idf) AS x FROM qt JOIN idf USING (term) GROUP BY 1, 2), qv AS (SELECT conv_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY conv_id)) AS w FROM qx),
+s AS (SELECT conv_id, item_id, sum(q.w * r.w) AS score FROM qv q JOIN rv r USING (term) GROUP BY 1, 2),
+t AS (SELECT conv_id, item_id, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 4) DESC, item_id) AS rank, round(score, 4) AS score FROM s)
+SELECT conv_id, item_id, rank, score FROM t WHERE rank <= 5""")
+def segment_scores(spark, sf_dir):
+    return match.whole(_cues(spark, sf_dir), table(spark, sf_dir, "benchmark"), "conv_id", "item_id")
