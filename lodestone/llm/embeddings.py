@@ -96,7 +96,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, per_cell: int = 20
     single = stored(single.select("unit", "label", "v", "weight", "p", "head", "owner"), "heads")
 
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
-    sizes = single.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(max_pivots).collect()
+    # labels are cells of their own, so the largest one says how many pivots are of use
+    sizes = single.groupBy(F.size("v").alias("n"), "label").count().groupBy("n").agg(F.max("count").alias("count"))
+    sizes = sizes.orderBy(F.desc("count"), "n").limit(max_pivots).collect()
     pivots, left = {}, max_pivots
     for r in sizes:
         wanted = min(left, r["count"] // per_cell + 1)
