@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers all of them."""
 
-from . import evidence, matching, planning, rules, state, streams, text
+from . import evidence, library, matching, planning, rules, state, streams, text
 
-__all__ = ["evidence", "matching", "planning", "rules", "state", "streams", "text"]
+__all__ = ["evidence", "library", "matching", "planning", "rules", "state", "streams", "text"]
