@@ -146,19 +146,23 @@ class Network:
         return [d_w, d_top.sum(0), pooled.T @ d_hidden, d_hidden.sum(0), hidden.T @ d, d.sum(0)]
 
 
-def fit(labelled: DataFrame, per_class: int = 800, class_bytes: int = 6_000_000, epochs: int = 5) -> Network | float:
-    """Learn from labelled (doc_id, text, label 0/1). With one class only: its label; with none: 0.5."""
-    small_batches(labelled.sparkSession)
-    usable = labelled.where("doc_id is not null and label in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, class_bytes: int = 6_000_000, epochs: int = 5) -> Network | float:
+    """Learn from docs (doc_id, text) and labels (doc_id, label 0/1). With one class only: its label; with none: 0.5.
+
+    Texts are looked up by the keys of the sample once it is drawn; before that only a hash and the size
+    of each text is joined with the labels."""
+    small_batches(docs.sparkSession)
+    usable = labels.select(F.col("doc_id").cast("long"), "label").where("doc_id is not null and label in (0, 1)")
     clear = usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     # (doc_id, a hash of the text) stands for a text until the sample is drawn
-    print_ = F.xxhash64("text")
-    keys = usable.select("doc_id", print_.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).where(F.col("size") <= class_bytes).distinct().join(clear, "doc_id")
+    texts_of = docs.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).where(F.col("size") <= class_bytes)
+    keys = texts_of.join(clear, "doc_id").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
     drawn = smallest(keys, ["label"], order, per_class)
     so_far = F.sum("size").over(Window.partitionBy("label").orderBy("_rank"))  # at most per_class rows a label
     chosen = drawn.withColumn("so_far", so_far).where(F.col("so_far") <= class_bytes).select("doc_id", "h", "label")
-    texts = usable.select("doc_id", "text", print_.alias("h")).join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    texts = docs.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])  # per_class rows a class
     rows = sorted(texts.select("doc_id", "h", "label", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).collect(), key=lambda r: (r["doc_id"], r["h"]))  # bounded by per_class and class_bytes
     y = np.array([r["label"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
@@ -186,14 +190,10 @@ def score(docs: DataFrame, model: Network | float, texts: bool = True) -> DataFr
     return nested.mapInArrow(run, f"doc {kind}, {'text string, ' * texts}score double")
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").join(labels.select(F.col("doc_id").cast("long"), F.col(label).alias("label")), "doc_id")
-
-
 def learn(docs: DataFrame, labels: DataFrame) -> Network | float:
     """Train on rows outside the held-out third."""
     held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
-    return fit(labelled_documents(docs, labels.where(~held_out)))
+    return fit(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
 
 
 def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -460,7 +460,7 @@ def test_models_take_odd_rows(spark):
     langs = language_id.predict(odd, language_id.fit(odd.where("doc_id is not null"))).collect()
     assert len(langs) == len(ODD) and all(0 <= r["score"] <= 1 for r in langs)
     assert all(r["lang_pred"] == "und" for r in langs if r["doc_id"] in (1, 2, 3))
-    for model in (quality_cnn.fit(quality_cnn.labelled_documents(odd, spark.createDataFrame([(4, 1), (8, 0), (10, 1), (None, 0), (13, None)], "doc_id long, quality int"))), 0.5):
+    for model in (quality_cnn.fit(odd, spark.createDataFrame([(4, 1), (8, 0), (10, 1), (12, 0), (None, 0), (13, None)], "doc_id long, label int")), 0.5):
         scored = quality_cnn.score(odd, model).collect()
         assert len(scored) == len(ODD) and all(0 <= r["score"] <= 1 for r in scored)
 
