@@ -185,13 +185,17 @@ def resolve_partial(confident: Column, named: Column, weak: Column, candidates:
 
 def absorbed(segments: DataFrame, key: str, runtime: float, limit: float = 1.4) -> DataFrame:
     """Weak segments behind a card-confirmed one fold into it while it stays within 1.4 runtimes: a fold over
-    a file's segments in order, since each step depends on how far the last one has grown."""
+    a file's segments in order, since each step depends on how far the last one has grown. The fold
+    carries the segment that is growing and puts it out when the next one starts."""
     rows = segments.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "code", "card", "weak"))).alias("x"))
-    joined = F.aggregate(
-        "x", F.slice("x", 1, 0),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & s["weak"] & F.element_at(a, -1)["card"] & (s["end"] - F.element_at(a, -1)["start"] <= limit * runtime),
-            F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), s["end"].alias("end"), F.element_at(a, -1)["code"].alias("code"), F.lit(True).alias("card"), F.lit(False).alias("weak")))),
-        ).otherwise(F.array_append(a, s)),
-    )
+    plain = lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "code", "card", "weak")])
+
+    def step(a: Column, s: Column) -> Column:
+        last = a["last"]
+        folds = s["weak"] & last["card"] & (s["end"] - last["start"] <= limit * runtime)
+        grown = F.struct(last["start"].alias("start"), s["end"].alias("end"), last["code"].alias("code"), F.lit(True).alias("card"), F.lit(False).alias("weak"))
+        return F.when(folds, F.struct(grown.alias("last"), a["out"].alias("out"))).otherwise(F.struct(plain(s).alias("last"), F.array_append(a["out"], last).alias("out")))
+
+    first = F.struct(plain(F.get("x", F.lit(0))).alias("last"), F.slice("x", 1, 0).alias("out"))
+    joined = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), first, step, lambda a: F.array_append(a["out"], a["last"]))
     return rows.select(key, F.explode(joined).alias("s")).select(key, "s.start", "s.end", "s.code", "s.card")

@@ -12,19 +12,26 @@ from pyspark.sql.types import DoubleType
 from ..functions.text import name_words, norm_title
 
 
+#: Up to this many titles are broadcast (about 100 bytes each); beyond it, candidates are joined with the texts again.
+BROADCAST_TITLES = 500_000
+
+
 def contained(names: DataFrame, key: str, name: str, titles: DataFrame, code: str, title: str, least: int = 8) -> DataFrame:
     """key, code, title words and position of each title that a name contains as whole words.
 
-    The join is on words, not a test of all pairs: a name's words meet the first word of a title,
-    and the rest of the title is compared in place.
+    A name's words meet the first word of a title, and the rest of the title is compared in place, not with
+    all titles. With few titles that happens where the name is, by a broadcast; else only keys and
+    candidates are joined, and then with the names once.
     """
     t = titles.select(code, F.trim(name_words(F.col(title))).alias("words")).where(F.length("words") >= least)
     t = t.withColumn("first", F.split_part("words", F.lit(" "), F.lit(1)))
     n = names.select(key, name_words(F.col(name)).alias("text"))
-    first = n.select(key, F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("first"))
-    # texts are not copied per word: candidates first, then one join with the texts
-    met = first.join(t, "first").select(key, code, "words").distinct()
-    hit = n.join(met, key).withColumn("at", F.instr(F.col("text"), F.concat(F.lit(" "), "words", F.lit(" "))))
+    if t.count() <= BROADCAST_TITLES:
+        met = n.select(key, "text", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("first")).join(F.broadcast(t), "first")
+    else:
+        first = n.select(key, F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("first"))
+        met = n.join(first.join(t, "first").select(key, code, "words").distinct(), key)
+    hit = met.withColumn("at", F.instr(F.col("text"), F.concat(F.lit(" "), "words", F.lit(" "))))
     return hit.where("at > 0").select(key, code, "words", F.col("at").cast("long").alias("at"))
 
 

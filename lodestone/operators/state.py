@@ -56,6 +56,15 @@ def upper_median(values: Column) -> Column:
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
 
 
+def upper_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The upper middle value of each key, from counts per value and their running sums: groups of any size are
+    reduced to their distinct values before they meet."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    total = n.groupBy(key).agg(F.sum("n").alias("total"))
+    below = F.sum("n").over(Window.partitionBy(key).orderBy(value))
+    return n.withColumn("below", below).join(total, key).where(F.col("below") > F.floor(F.col("total") / 2)).groupBy(key).agg(F.min(value).alias("middle"))
+
+
 def usual(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """The most frequent value of each key, ties by value."""
     n = rows.groupBy(*key, value).agg(F.count("*").alias("n"))
@@ -94,4 +103,7 @@ def integrity_verdict(duration: Column, decoded: Column, errors: Column, audio:
 
 def spaced(times: Column, gap: float) -> Column:
     """Times in order without those less than `gap` after the last one that is kept."""
-    return F.aggregate(F.sort_array(times), F.slice(times, 1, 0), lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.array_append(kept, t)).otherwise(kept))
+    nothing = F.slice(times, 1, 0)
+    first = F.struct(F.get(nothing, F.lit(0)).alias("last"), nothing.alias("kept"))
+    add = lambda a, t: F.struct(t.alias("last"), F.array_append(a["kept"], t).alias("kept"))
+    return F.aggregate(F.sort_array(times), first, lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= gap), add(a, t)).otherwise(a), lambda a: a["kept"])

@@ -121,7 +121,7 @@ def by_release_name(files: DataFrame, verdicts: DataFrame) -> DataFrame:
     flagged = F.array(made(F.lit(0.0), F.coalesce("duration", F.lit(0.0)), F.col("_code"), "low"))
     segments = F.when(settles, shared).when(flags, flagged).otherwise(F.col("segments"))
     evidence = F.when(settles | flags, "release name")
-    return rows.withColumn("segments", segments).withColumn("evidence", evidence).drop("verdict", "_code")
+    return rows.withColumns({"segments": segments, "evidence": evidence}).drop("verdict", "_code")
 
 
 def after_apply(items: DataFrame, applied: DataFrame, targets: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def even_sample(spark, sf_dir):
 SELECT event_type, count(DISTINCT user_id) AS files FROM c GROUP BY 1 HAVING count(DISTINCT user_id) >= 3""")
 def recurring_offsets(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    mid = e.groupBy("event_type").agg(S.upper_median(F.collect_list("value")).alias("mid"))
+    mid = S.upper_medians(e, "event_type", "value").withColumnRenamed("middle", "mid")
     near = e.join(F.broadcast(mid), "event_type").where(F.abs(F.col("value") - F.col("mid")) <= 8)  # one row a type
     return near.groupBy("event_type").agg(F.count_distinct("user_id").alias("files")).where("files >= 3")
 
