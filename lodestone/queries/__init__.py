@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers all of them."""
 
-from . import evidence, library, matching, memory, planning, plans, rules, state, streams, text
+from . import evidence, fetch, library, matching, memory, planning, plans, rules, state, streams, text
 
-__all__ = ["evidence", "library", "matching", "memory", "planning", "plans", "rules", "state", "streams", "text"]
+__all__ = ["evidence", "fetch", "library", "matching", "memory", "planning", "plans", "rules", "state", "streams", "text"]
