@@ -17,6 +17,8 @@ LANGUAGES = {
 }
 TEXT_CODECS = ("subrip", "ass", "ssa", "mov_text", "webvtt", "text")
 IMAGE_CODECS = ("hdmv_pgs_subtitle", "dvd_subtitle", "dvb_subtitle", "xsub")
+# Words of a site's name that say what it is, not what it is about.
+SITE_WORDS = r"(?i)\b(wiki|fandom|encyclopedia|database)\b"
 # What a decoder's warning says when it points at damage.
 DAMAGE = (
     r"(?i)corrupt|invalid|non[- ]?monoton|out of order|concealing|missing|"
@@ -110,7 +112,7 @@ def transcript_page(title: Column) -> Column:
 
 def same_show(site: Column, series: Column) -> Column:
     """Is a site, by its name without words for `wiki`, about a series?"""
-    a = norm_episode(F.regexp_replace(F.coalesce(site, F.lit("")), r"(?i)\b(wiki|fandom|encyclopedia|database)\b", ""))
+    a = norm_episode(F.regexp_replace(F.coalesce(site, F.lit("")), SITE_WORDS, ""))
     b = norm_episode(F.regexp_replace(F.coalesce(series, F.lit("")), r"\(\d{4}\)", ""))
     return (a != "") & (b != "") & (F.replace(a, F.lit(" "), F.lit("")) == F.replace(b, F.lit(" "), F.lit("")))
 
