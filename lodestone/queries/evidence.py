@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cards, names, references, tfidf, vectors
+from ..operators import cards, names, references, tfidf, vectors, views
 from ..registry import query
 from ..sources import subtitles
 from .common import table, terms_sql
@@ -138,9 +138,16 @@ def card_absorption(spark, sf_dir):
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, min(event_id) FILTER (event_type = 'view') OVER (PARTITION BY user_id) AS hit FROM events) WHERE hit IS NULL OR event_id <= hit + 1200")
 def settle_filter(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    hit = e.where("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("hit"))
-    return e.join(hit, "user_id", "left").where("hit is null or event_id <= hit + 1200").select("user_id", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return views.settled(e, e.where("event_type = 'view'"), "user_id", "event_id", 1200).select("user_id", "event_id")
+
+
+@query("""WITH h AS (SELECT user_id, coalesce(min(event_id) FILTER (event_type = 'view') + 300, min(event_id) + 2000) AS u FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
+SELECT e.user_id, event_id FROM events e LEFT JOIN h USING (user_id) WHERE u IS NULL OR event_id <= u""")
+def settle_after_partial(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    hits = e.where("event_type in ('view', 'click')").select("user_id", "event_id", (F.col("event_type") == "click").alias("partial"))
+    return views.settled(e, hits, "user_id", "event_id", 300, 2000).select("user_id", "event_id")
 
 
 # ---- listings: a part is a file
@@ -159,9 +166,9 @@ def video_listing(spark, sf_dir):
     return subtitles.list_videos(_listing(spark, sf_dir), F.concat(F.lit("/tv/"), "p_brand")).select("p_partkey")
 
 
-@query(f"SELECT split_part(path, '/', 3) AS show, bool_or(regexp_matches(lower(path), '/season [0-9]+/')) AS seasons FROM ({_LIST}) GROUP BY 1")
+@query(f"SELECT split_part(path, '/', 3) AS show, bool_or(regexp_matches(lower(path), '/season [0-9]+/')) AS seasons, bool_or(p_partkey % 5 > 2) AS flat FROM ({_LIST}) GROUP BY 1")
 def folder_layout(spark, sf_dir):
-    return _listing(spark, sf_dir).groupBy(F.split_part("path", F.lit("/"), F.lit(3)).alias("show")).agg(F.bool_or(F.lower("path").rlike("/season [0-9]+/")).alias("seasons"))
+    return views.layouts(_listing(spark, sf_dir), "path", 2)
 
 
 @query("""WITH f AS (SELECT p_name AS video, p_name || CASE p_partkey % 5 WHEN 0 THEN '.en.srt' WHEN 1 THEN '.srt' WHEN 2 THEN '.de.srt' WHEN 3 THEN '.en.forced.srt' ELSE '.nfo' END AS path, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS rank FROM part)
@@ -174,11 +181,7 @@ def sidecar_choice(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'small' THEN 0 WHEN starts_with(lower(p_name), 'small') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name), 'small') ORDER BY 3, 2, 1 LIMIT 50")
 def folder_search(spark, sf_dir):
-    """All words of a search must occur; exact names first, then those that begin with it; the 50 best."""
-    words, name = ["small"], F.lower("p_name")
-    fit = F.forall(F.array(*map(F.lit, words)), lambda w: name.contains(w))
-    rank = F.when(name == " ".join(words), 0).when(name.startswith(" ".join(words)), 1).otherwise(2)
-    return table(spark, sf_dir, "part").where(fit).select("p_partkey", "p_name", rank.alias("rank")).orderBy("rank", "p_name", "p_partkey").limit(50)
+    return views.found_folders(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "small", 50)
 
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 'env' END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END, 'default') AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'env' WHEN o_orderkey % 3 = 0 THEN 'file' ELSE 'default' END AS origin FROM orders")
@@ -191,17 +194,15 @@ def settings_precedence(spark, sf_dir):
 @query("SELECT item_id, source FROM (SELECT item_id, 'manual' AS source FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT item_id, 'cached' FROM benchmark WHERE item_id % 3 != 0)")
 def reference_priority(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    both = b.where("item_id % 3 = 0").select("item_id", F.lit("manual").alias("source"), F.lit(2).alias("p")).unionByName(b.select("item_id", F.lit("cached").alias("source"), F.lit(1).alias("p")))
-    return both.groupBy("item_id").agg(F.max_by("source", "p").alias("source"))
+    return views.by_priority("item_id", "source", ("manual", b.where("item_id % 3 = 0")), ("cached", b))
 
 
 @query("""WITH p AS (SELECT event_id, list_distinct(list_concat([event_type], list_concat([['click', 'error', 'view'][1 + event_id % 3]], ['purchase', 'signup', 'view']))) AS pool0, event_type FROM events)
 SELECT event_id, [x FOR x IN list_transform(list_filter(list_zip(c, range(1, 6)), lambda z: list_position(c, z[1]) = z[2]), lambda z: z[1]) IF x != 'signup'][1:3] AS pool FROM (SELECT event_id, [event_type, ['click', 'error', 'view'][1 + event_id % 3], 'purchase', 'signup', 'view'] AS c FROM events)""")
 def candidate_pool(spark, sf_dir):
-    """Candidates of several sources in order, each once, those already claimed left out, the first three."""
     near = F.get(F.array(*map(F.lit, ("click", "error", "view"))), (F.col("event_id") % 3).cast("int"))
-    pool = F.array_distinct(F.array("event_type", near, F.lit("purchase"), F.lit("signup"), F.lit("view")))
-    return table(spark, sf_dir, "events").select("event_id", F.slice(F.filter(pool, lambda x: x != "signup"), 1, 3).alias("pool"))
+    sources = [F.array("event_type"), F.array(near), F.array(*map(F.lit, ("purchase", "signup", "view")))]
+    return table(spark, sf_dir, "events").select("event_id", views.pool(sources, F.array(F.lit("signup")), 3).alias("pool"))
 
 
 # ---- checks of references by the dialogue of others

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import views
 from ..plans import claims as P
 from ..registry import query
 from .common import table
@@ -140,10 +141,7 @@ def ref_swaps(spark, sf_dir):
 u AS (SELECT a, min(b) AS b FROM p GROUP BY a HAVING count(*) = 1) SELECT u.a, u.b FROM u JOIN u v ON u.b = v.a WHERE u.a < u.b""")
 def card_swaps(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), (F.min("l_partkey") % 50).alias("named"), (F.max("l_partkey") % 50).alias("holds"))
-    a = li.select(F.col("l_orderkey").alias("a"), "s", F.col("named").alias("x"), F.col("holds").alias("y"))
-    b = li.select(F.col("l_orderkey").alias("b"), "s", F.col("named").alias("y"), F.col("holds").alias("x"))
-    only = a.join(b, ["s", "x", "y"]).where("a != b").groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
-    return only.join(only.select(F.col("a").alias("b")), "b", "left_semi").where("a < b").select("a", "b")
+    return views.only_swaps(li, "l_orderkey", "s", "named", "holds")
 
 
 # ---- operation tables
@@ -235,5 +233,4 @@ def set_cover(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderpriority NOT LIKE '%URGENT%' AND o_orderpriority NOT LIKE '%HIGH%' AS soft FROM orders")
 def soft_hard(spark, sf_dir):
-    reasons = F.filter(F.array("o_orderpriority"), lambda x: x.rlike("URGENT|HIGH"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.size(reasons) == 0).alias("soft"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", views.soft(F.array("o_orderpriority"), "URGENT|HIGH").alias("soft"))

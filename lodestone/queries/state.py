@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import state as S
+from ..operators import views as V
 from ..registry import query
 from .common import table
 
@@ -89,14 +90,14 @@ def recurring_offsets(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def missing_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return V.missing(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 200000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0)")
 def worklist_anti(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     have, missed = (li.where(c).select(F.col("l_partkey").alias("p_partkey")) for c in ("l_quantity > 45", "l_discount = 0"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(have, "p_partkey", "left_anti").join(missed, "p_partkey", "left_anti")
+    return V.missing(table(spark, sf_dir, "part"), have, "p_partkey", missed)
 
 
 @query("""SELECT date_part('year', o_orderdate)::BIGINT AS season, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS have, count(*) FILTER (o_orderstatus = 'O') AS missing,
@@ -146,26 +147,24 @@ def json_members(spark, sf_dir):
 @query("""WITH k AS (SELECT o_orderkey, sha1(o_custkey || '|' || o_orderpriority) AS key FROM orders WHERE o_orderkey % 2 = 0), s AS (SELECT key, max(o_orderkey) AS result FROM (SELECT o_orderkey, sha1(o_custkey || '|' || o_orderpriority) AS key FROM orders WHERE o_orderkey % 2 = 1) GROUP BY key)
 SELECT o_orderkey, result FROM k JOIN s USING (key)""")
 def identity_follow(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("key", F.sha1(F.concat_ws("|", "o_custkey", "o_orderpriority")))
-    known = o.where("o_orderkey % 2 = 1").groupBy("key").agg(F.max("o_orderkey").alias("result"))
-    return o.where("o_orderkey % 2 = 0").join(known, "key").select("o_orderkey", "result")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", V.cache_key("o_custkey", "o_orderpriority").alias("key"), F.col("o_orderkey").cast("string").alias("path"))
+    return V.followed(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "result"), "key", "path", "result").select("o_orderkey", "result")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 AND o_orderstatus != 'F' THEN 'F' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 10 = 0 AND o_orderstatus != 'F' THEN o_orderstatus END AS was FROM orders")
 def accepted_override(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    accepted = o.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit(True).alias("accepted"))
-    changed = F.col("accepted") & (F.col("o_orderstatus") != "F")
-    return o.join(accepted, "o_orderkey", "left").select("o_orderkey", F.when(changed, "F").otherwise(F.col("o_orderstatus")).alias("status"), F.when(changed, F.col("o_orderstatus")).alias("was"))
+    """The key stands for a file's size and date."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", V.cache_key("o_orderkey", "o_custkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    return V.accepted(o, o.where("o_orderkey % 10 = 0"), "key", "status", "F").select("o_orderkey", "status", "was")
 
 
 @query("SELECT l_shipmode, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, l_quantity::BIGINT AS bytes FROM lineitem) GROUP BY 1")
 def bucket_sums(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("l_shipmode")).agg(F.count("*").alias("files"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
+    return V.bucket_sums(table(spark, sf_dir, "lineitem").withColumn("size", F.col("l_quantity").cast("long")), F.concat("l_returnflag", "l_linestatus").alias("l_shipmode"))
 
 
 @query("SELECT o_orderkey, sum(greatest(l_quantity::BIGINT, 0)) + greatest(200, 0.05 * sum(l_quantity)) > 300 AS short FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def free_space(spark, sf_dir):
     need = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("need"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey").join(need, "o_orderkey")
-    return rows.select("o_orderkey", (F.col("need") + F.greatest(F.lit(200.0), 0.05 * F.col("need")) > 300).alias("short"))
+    return rows.select("o_orderkey", V.too_little_room(F.col("need"), F.lit(300), 200, 0.05).alias("short"))

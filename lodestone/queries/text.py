@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.views import cache_key
 from ..registry import query
 from ..sources import subtitles
 from .common import table
@@ -264,4 +265,4 @@ def llm_reply_parse(spark, sf_dir):
 
 @query("SELECT o_orderkey, sha1(o_orderkey || '|' || o_orderstatus) AS key FROM orders")
 def cache_keys(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha1(F.concat_ws("|", "o_orderkey", "o_orderstatus")).alias("key"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", cache_key("o_orderkey", "o_orderstatus").alias("key"))

@@ -106,3 +106,26 @@ def test_problem_lists_and_summaries(spark):
     got = library.problem_list(spark.createDataFrame(rows, "file int, t double, level string, message string"), "file")
     lines = {r["file"]: (r["errors"], r["line"]) for r in got.select("file", "errors", library.summary(F.col("errors"), F.col("problems"), F.array().cast("array<string>")).alias("line")).collect()}
     assert lines == {1: (4, "4 errors while decoding around 0:00, 0:02, 1:01:40 (e.g. bad block 7)"), 2: (1, "1 error while decoding around 0:05 (e.g. x)")}
+
+
+def test_frames_that_differ_from_the_last_one_kept(spark):
+    from lodestone.operators import views
+
+    r = random.Random(1)
+    rows = [(f, t, [r.randint(0, 9) for _ in range(4)]) for f in range(3) for t in range(50)]
+    got = {(x["f"], x["t"]) for x in views.kept_frames(spark.createDataFrame(rows, "f int, t int, v array<int>"), "f", "t", "v").collect()}
+    want, last = set(), {}
+    for f, t, v in rows:
+        if f not in last or sum(abs(a - b) for a, b in zip(v, last[f], strict=True)) / 4 >= 3:
+            last[f] = v
+            want.add((f, t))
+    assert got == want
+
+
+def test_results_follow_files(spark):
+    from lodestone.operators import views
+
+    files = spark.createDataFrame([("a", "k1"), ("b", "k2"), ("c", "k3")], "path string, key string")
+    results = spark.createDataFrame([("old", "k1", 1), ("b", None, 2), ("c", "k9", 3)], "path string, key string, r int")
+    assert {x["path"]: x["r"] for x in views.followed(files, results, "key", "path", "r").collect()} == {"a": 1, "b": 2}
+    assert [x["key"] for x in views.pruned(results, files, "key").where("key is not null").collect()] == ["k9"]
