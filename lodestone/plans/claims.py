@@ -113,11 +113,44 @@ def rename_ops(renames: DataFrame, src: str, dst: str) -> DataFrame:
     return first.unionByName(second)
 
 
+def operations(moves: DataFrame, cuts: DataFrame, parts: DataFrame, present: DataFrame, parked: str = "parked/") -> DataFrame:
+    """The operations of a plan in order (ordinal, op, src, dst, start, end), which never overwrite anything.
+
+    moves: (src, dst); cuts: (src, dst, start, end), pieces of a file; parts: (src, dst, place), files joined into
+    one; present: (path), what is there now. First whatever stands at a target and isn't touched itself is
+    parked; then all sources go to temporary names; pieces are cut and parts joined from there, and what they
+    were made of is parked; last, moved files go to their targets.
+    """
+    text = lambda c: F.col(c) if isinstance(c, str) else c
+    temp = lambda c: F.concat(text(c), F.lit(".tmp"))
+    none = F.lit(None).cast("double")
+    row = lambda d, phase, op, src, dst, start=none, end=none, place=F.lit(0): d.select(F.lit(phase).alias("phase"), F.lit(op).alias("op"), text(src).alias("src"), text(dst).alias("dst"), start.cast("double").alias("start"), end.cast("double").alias("end"), place.cast("long").alias("place"))  # noqa: E731, B008
+    sources = moves.select("src").unionByName(cuts.select("src")).unionByName(parts.select("src")).distinct()
+    targets = moves.select(F.col("dst").alias("path")).unionByName(cuts.select(F.col("dst").alias("path"))).unionByName(parts.select(F.col("dst").alias("path"))).distinct()
+    stands = present.select("path").distinct().join(targets, "path", "left_semi").join(sources.withColumnRenamed("src", "path"), "path", "left_anti")
+    consumed = cuts.select("src").unionByName(parts.select("src")).distinct()
+    rows = row(stands, 0, "move", "path", F.concat(F.lit(parked), "path"))
+    rows = rows.unionByName(row(sources, 1, "move", "src", temp("src")))
+    rows = rows.unionByName(row(cuts, 2, "cut", temp("src"), "dst", F.col("start"), F.col("end")))
+    rows = rows.unionByName(row(parts, 2, "join", temp("src"), "dst", place=F.col("place")))
+    rows = rows.unionByName(row(consumed, 3, "move", temp("src"), F.concat(F.lit(parked), "src")))
+    rows = rows.unionByName(row(moves, 4, "move", temp("src"), "dst"))
+    order = F.struct("phase", "dst", "place", "src")
+    return numbered(rows.withColumn("_order", order), "_order", "ordinal").select("ordinal", "op", "src", "dst", "start", "end")
+
+
+def undo_conflicts(undo: DataFrame, present: DataFrame) -> DataFrame:
+    """Steps of an undo whose target is taken by a file that no step moves away: src, dst."""
+    leaves = undo.select(F.col("src").alias("dst")).distinct()
+    taken = present.select(F.col("path").alias("dst")).distinct().join(leaves, "dst", "left_anti")
+    return undo.join(taken, "dst", "left_semi").select("src", "dst")
+
+
 def undo_ops(ops: DataFrame) -> DataFrame:
     """The operations that take others back: last first, source and target exchanged; what was created is parked."""
     most = ops.agg(F.max("ordinal").alias("most"))
     rows = ops.crossJoin(F.broadcast(most))
-    created = F.col("op") == "create"
+    created = F.col("op").isin("create", "cut", "join")  # what the operation made
     return rows.select((F.col("most") - F.col("ordinal") + 1).alias("ordinal"), F.lit("move").alias("op"), F.col("dst").alias("src"), F.when(created, F.concat(F.lit("parked/"), "dst")).otherwise(F.col("src")).alias("dst"))
 
 

@@ -123,3 +123,17 @@ def download_progress(spark, sf_dir):
     size = F.when(F.col("l_quantity") > 5, F.col("l_quantity")).otherwise(0.0)
     pct, state = M.progress(size, F.col("l_quantity") * F.col("l_tax") * 10, F.when(n == 2, "paused").when(n == 3, "odd").otherwise("downloading"), F.when(n == 0, "importBlocked").when(n == 1, "downloading"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pct.alias("pct"), state.alias("state"))
+
+
+@query("""WITH g AS (SELECT o_orderkey AS k, o_custkey AS c, 200000 - o_orderkey % 9 * 25000 AS age, CASE WHEN o_orderkey % 5 != 0 THEN o_orderkey END AS d FROM orders),
+s AS (SELECT *, d % 11 = 0 AS imported, d % 7 = 0 AS failed, d % 3 = 0 AS queued, c % 2 = 0 AS here, CASE WHEN c % 5 = 0 THEN 5000 ELSE 0 END AS gone FROM g)
+SELECT k AS "grab", CASE WHEN coalesce(imported, false) THEN 'imported' WHEN coalesce(failed, false) THEN 'failed' WHEN d IS NULL AND age > 1800 THEN 'failed' WHEN d IS NOT NULL AND age >= 300 AND NOT queued AND here THEN 'imported' WHEN d IS NOT NULL AND age >= 300 AND NOT queued AND gone >= 1800 THEN 'failed' WHEN age > 172800 THEN 'stuck' ELSE 'waiting' END AS status FROM s""")
+def settled_grabs(spark, sf_dir):
+    """Grabs of many ages: in the history, never seen, still queued, gone with and without files."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders")
+    now = F.lit(1_000_000)
+    grabs = o.select(k.alias("grab"), (now - 200000 + k % 9 * 25000).alias("at"), F.when(k % 5 != 0, k).alias("download"), F.array(k).alias("episodes"), F.when(c % 5 == 0, now - 5000).alias("gone_since"))
+    history = o.where("o_orderkey % 11 = 0").select(k.alias("download"), F.lit("imported").alias("kind")).unionByName(o.where("o_orderkey % 7 = 0").select(k.alias("download"), F.lit("failed").alias("kind")))
+    queue, have = o.where("o_orderkey % 3 = 0").select(k.alias("download")), o.where("o_custkey % 2 = 0").select(k.alias("episode"))
+    return M.settled_grabs(grabs, history, queue, have, now).select("grab", "status")

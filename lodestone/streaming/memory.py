@@ -161,3 +161,28 @@ def latest_version(spark, path: str, schema: str) -> DataFrame:
     last = whole.inputFiles()
     version = max(int(f.split("version=")[1].split("/")[0]) for f in last)
     return whole.where(F.col("version") == version).drop("version")
+
+
+def settled_grabs(grabs: DataFrame, history: DataFrame, queue: DataFrame, have: DataFrame, now: Column, unseen: float = 1800, fresh: float = 300, gone: float = 900, stuck: float = 48 * 3600) -> DataFrame:
+    """grab, status, reason and gone_since of waiting grabs (grab, at, download, episodes, gone_since).
+
+    The history (download, kind: imported or failed) settles a grab first. One that never got a download within
+    `unseen` seconds didn't happen. One older than `fresh` that has left the queue (download) is over: imported
+    if all its episodes have files (have: episode), else failed once it has been gone for `gone` seconds. What
+    is still there after `stuck` seconds is stuck.
+    """
+    ended = history.groupBy("download").agg(F.bool_or(F.col("kind") == "imported").alias("_imported"), F.bool_or(F.col("kind") == "failed").alias("_failed"))
+    rows = grabs.join(ended, "download", "left").join(queue.select("download").distinct().withColumn("_queued", F.lit(True)), "download", "left")
+    held = grabs.select("grab", F.explode("episodes").alias("episode")).join(have.select("episode").distinct().withColumn("_has", F.lit(1)), "episode", "left")
+    rows = rows.join(held.groupBy("grab").agg(F.count("*").alias("_n"), F.count("_has").alias("_have")), "grab", "left")
+    no, age = F.lit(False), now - F.col("at")
+    left = F.col("download").isNotNull() & (age >= fresh) & F.col("_queued").isNull()
+    here = left & (F.coalesce("_n", F.lit(0)) > 0) & (F.col("_n") == F.col("_have"))
+    since = F.when(left & ~here, F.coalesce("gone_since", now))
+    made = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).alias("reason"))
+    verdict = (
+        F.when(F.coalesce("_imported", no), made("imported", None)).when(F.coalesce("_failed", no), made("failed", "download"))
+        .when(F.col("download").isNull() & (age > unseen), made("failed", "not seen")).when(here, made("imported", None))
+        .when(now - since >= gone, made("failed", "gone")).when(age > stuck, made("stuck", "two days")).otherwise(made("waiting", None))
+    )
+    return rows.withColumn("_v", verdict).select("grab", F.col("_v.status").alias("status"), F.col("_v.reason").alias("reason"), F.when(F.col("_v.status") == "waiting", since).alias("gone_since"))

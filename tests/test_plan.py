@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import SMALL_SF_DIR
 
-from lodestone.plans import build
+from lodestone.plans import build, claims
 from lodestone.queries.plans import plan_input
 
 RANK = {"manual": 3, "high": 2, "ai": 1, "low": 0}
@@ -98,3 +98,35 @@ def test_plan_equals_plain_loop(spark, splits):
     want = _plain([r.asDict(recursive=True) for r in files.collect()], eps, {r["file"]: r["codes"] for r in overrides.collect()}, splits)
     assert got == want
     assert {x[0] for x in want.values()} >= {"ok", "review", "aside", "rename"}
+
+
+def _run(files, ops):
+    """Carry operations out on a set of names; nothing may be overwritten."""
+    files = set(files)
+    for op, src, dst in ops:
+        assert src in files, (op, src)
+        if op == "join":
+            files.add(dst)
+            continue
+        assert dst not in files, (op, src, dst)
+        files.add(dst)
+        if op == "move":
+            files.discard(src)
+    return files
+
+
+def test_operations_never_overwrite(spark):
+    """A swap, a chain, a split, a join, and a file that stands in the way."""
+    moves = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("x", "stands")], "src string, dst string")
+    cuts = spark.createDataFrame([("long", "p1", 0.0, 10.0), ("long", "p2", 10.0, 20.0)], "src string, dst string, start double, end double")
+    parts = spark.createDataFrame([("q1", "whole", 1), ("q2", "whole", 2)], "src string, dst string, place int")
+    present = ["a", "b", "c", "d", "x", "stands", "long", "q1", "q2", "other"]
+    there = spark.createDataFrame([(p,) for p in present], "path string")
+    rows = claims.operations(moves, cuts, parts, there).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in rows] == list(range(1, len(rows) + 1))
+    end = _run(present, [(r["op"], r["src"], r["dst"]) for r in rows])
+    assert end == {"a", "b", "d", "e", "stands", "parked/stands", "p1", "p2", "parked/long", "whole", "parked/q1", "parked/q2", "other"}
+    assert [r["src"] for r in rows if r["op"] == "join"] == ["q1.tmp", "q2.tmp"]
+    undo = claims.undo_ops(spark.createDataFrame([(1, "move", "a", "b"), (2, "create", "n", "m")], "ordinal long, op string, src string, dst string"))
+    clash = claims.undo_conflicts(undo, spark.createDataFrame([("a",), ("z",)], "path string")).collect()
+    assert [tuple(r) for r in clash] == [("b", "a")]
