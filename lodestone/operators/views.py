@@ -118,3 +118,26 @@ def kept_frames(frames: DataFrame, key: str, time: str, values: str, least: floa
     step = lambda a, f: F.when(far(a["v"], f["v"]), F.struct(f["v"].alias("v"), F.array_append(a["kept"], f["t"]).alias("kept"))).otherwise(a)
     kept = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), first, step)["kept"]
     return rows.select(key, F.explode(kept).alias(time))
+
+
+def json_rows(table: DataFrame, key: str, raw: str, element: str) -> DataFrame:
+    """key, place (from 0) and the fields of each element of a JSON array; a document that can't be read has none."""
+    rows = table.select(key, F.posexplode(F.from_json(raw, f"array<{element}>")).alias("place", "x"))
+    return rows.select(key, F.col("place").cast("long").alias("place"), "x.*")
+
+
+def json_length(raw: Column) -> Column:
+    return F.coalesce(F.json_array_length(raw), F.lit(0)).cast("long")
+
+
+def imported_settings(remote: DataFrame, names: dict[str, str], series_type: str = "standard") -> DataFrame:
+    """name, value and note of settings taken over from another system (name, value, type): under our names, with a
+    note on templates with tokens that we don't have, and on series of another type; names we don't know are out."""
+    from ..functions.naming import TOKENS
+
+    ours = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    bare = lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, r":.*$", ""), "[^A-Za-z0-9]", ""))
+    tokens = F.array_distinct(F.regexp_extract_all(F.col("value"), F.lit(r"\{([^{}]*)\}"), 1))
+    unknown = F.filter(tokens, lambda t: ~bare(t).isin(*TOKENS) & (bare(t) != ""))
+    note = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(F.transform(unknown, lambda t: F.concat(F.lit("{"), t, F.lit("}"))), ", "))).when(F.col("type") != series_type, F.concat(F.col("type"), F.lit(" series")))
+    return remote.select(F.try_element_at(ours, F.col("name")).alias("name"), "value", note.alias("note")).where("name is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import part_of
 from ..storage import stored
 
 KIND_ORDER = ("join", "split", "rename", "aside", "review", "ok")
@@ -88,6 +89,14 @@ def join_groups(parts: DataFrame, key: str, runtime: Column) -> DataFrame:
     return rows.select(key, "parts", "sources", (whole & (F.col("duration") <= 1.6 * F.col("runtime"))).alias("selected"))
 
 
+def story_neighbours(episodes: DataFrame, group: list[str], number: str, title: str, within: int = 1) -> DataFrame:
+    """Pairs a, b of episode numbers of a group, at most `within` apart, whose titles are one but for their part markers."""
+    key, part = part_of(F.col(title))
+    rows = episodes.select(*group, F.col(number).alias("a"), key.alias("_key"), part.alias("_part")).where("_part is not null and _key != ''")
+    other = rows.select(*group, F.col("a").alias("b"), "_key", F.col("_part").alias("_other"))
+    return rows.join(other, [*group, "_key"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("a") - F.col("b")) <= within) & (F.col("_part") != F.col("_other"))).select(*group, "a", "b")
+
+
 def story_parts(start: Column, end: Column, codes: Column) -> Column:
     """A segment shared evenly by several episodes: array of (code, start, end)."""
     n = F.size(codes)

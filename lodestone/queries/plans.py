@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import views as V
 from ..plans import build as B
+from ..plans import claims as P
 from ..registry import query
 from .common import table
 
@@ -66,3 +68,29 @@ def wiki_discovery(spark, sf_dir):
     place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     c = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("series"), place.alias("place"), F.concat(F.lit("w"), place).alias("site"), (F.col("l_quantity") * 2).cast("long").alias("mapped"), F.lit(100).alias("episodes"), (F.col("l_partkey") % 9 == 0).alias("same_name"))
     return B.accepted_wikis(c)
+
+
+@query("""WITH p AS (SELECT p_size, p_partkey AS a, p_name, p_partkey % 3 + 1 AS part FROM part WHERE p_partkey % 4 != 0)
+SELECT x.p_size, x.a, y.a AS b FROM p x JOIN p y ON x.p_size = y.p_size AND x.p_name = y.p_name AND x.a != y.a AND abs(x.a - y.a) <= 400 AND x.part != y.part""")
+def story_parts_near(spark, sf_dir):
+    k = F.col("p_partkey")
+    title = F.concat("p_name", F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit(" Part "), k % 3 + 1)).when(k % 4 == 2, F.concat(F.lit(" (pt. "), k % 3 + 1, F.lit(")"))).otherwise(F.concat(F.lit(", Part "), F.get(F.array(*map(F.lit, ("One", "II", "three"))), (k % 3).cast("int")))))
+    return P.story_neighbours(table(spark, sf_dir, "part").select("p_size", "p_partkey", title.alias("title")), ["p_size"], "p_partkey", "title", 400)
+
+
+@query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) - 1)::BIGINT AS place, l_partkey AS code, l_returnflag AS flag, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem")
+def json_items(spark, sf_dir):
+    x = F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("code"), F.col("l_returnflag").alias("flag"))))
+    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(x).alias("raw"))
+    rows = V.json_rows(docs, "l_orderkey", "raw", "struct<code:long,flag:string>")
+    return rows.join(docs.select("l_orderkey", V.json_length(F.col("raw")).alias("n")), "l_orderkey")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'naming_format' ELSE 'season_folder_format' END AS name, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'unknown: {Air-Date}' WHEN p_partkey % 5 = 0 THEN 'anime series' END AS note FROM part WHERE p_partkey % 3 != 2")
+def settings_import(spark, sf_dir):
+    k = F.col("p_partkey")
+    value = F.concat(F.lit("{Series Title} S{season:00}"), F.when((k % 3 == 0) & (k % 2 == 0), " {Air-Date}").otherwise(""))
+    name = F.when(k % 3 == 0, "standardEpisodeFormat").when(k % 3 == 1, "seasonFolderFormat").otherwise("other")
+    remote = table(spark, sf_dir, "part").select(name.alias("name"), value.alias("value"), F.when(k % 5 == 0, "anime").otherwise("standard").alias("type"), "p_partkey")
+    out = V.imported_settings(remote.withColumn("value", F.concat("value", F.lit("|"), "p_partkey")), {"standardEpisodeFormat": "naming_format", "seasonFolderFormat": "season_folder_format"})
+    return out.select(F.regexp_extract("value", r"\|(\d+)$", 1).cast("long").alias("p_partkey"), "name", "note")
