@@ -14,7 +14,8 @@ of phrases, and equal windows have the same trigger at the same place in their p
 Parse. A window never leaves its phrase, so of the parse's suffixes only the first phrase matters:
 its suffix array, cut off there, is the list of occurrences in order of phrase and corpus position.
 A phrase's first occurrence stands for it in the dictionary; all windows of its later ones are
-repeated. Phrases are told apart by 64 bits of their own hash and 32 of their trigger's.
+repeated. Phrases are told apart by their bytes within a batch of texts, and across batches by a hash
+modulo the prime 2 ** 61 - 1 and 32 bits of their trigger's hash.
 
 Dictionary. What is left are equal windows of different phrases. They have the trigger in common and,
 on the side of the window's middle where it lies, half the bytes around it (its context). Phrases
@@ -41,8 +42,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, compressed, partitions, row_bytes, small_batches, stored, table, tidy
-from .shingles import _BASE, _INVERSE, _OF_BYTE, mix, powers
+from .common import CACHES, Scratch, compressed, partitions, row_bytes, small_batches, stored, table, tidy
+from .shingles import mix
 from .tokens import runs
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -71,17 +72,79 @@ def parts(texts: pa.Array, length: int, part: int):
             row = end
 
 
+_OF_BYTE = np.random.default_rng(20).integers(1, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 61) - 1
+_P = np.uint64(_PRIME)
+_X = 0x123456789ABCDEF7 % _PRIME
+_powers: dict[tuple[int, int], np.ndarray] = {}
+CACHES.append(_powers)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2 ** 61 - 1."""
+    half, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    s31, s30, s61 = np.uint64(31), np.uint64(30), np.uint64(61)
+    a0, a1, b0, b1 = a & half, a >> s31, b & half, b >> s31
+    middle = a1 * b0 + a0 * b1
+    x = (a1 * b1 << np.uint64(1)) + (middle >> s30) + ((middle & low30) << s31) + a0 * b0
+    x = (x & _P) + (x >> s61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def powers(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
+    """base ** 0, ..., base ** (n - 1) modulo 2 ** 64 or 2 ** 61 - 1."""
+    have = _powers.get((base, modulus))
+    if have is None or len(have) < n:
+        size = max(n, 1 << 16) * 9 // 8
+        if modulus == 1 << 64:
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            have = np.cumprod(steps)
+        else:
+            have = np.ones(1, np.uint64)
+            while len(have) < size:
+                have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), modulus)))])
+        _powers[base, modulus] = have
+    return have[:n]
+
+
 class Hashes:
-    """Hashes of any span of data in constant time."""
+    """Hashes of any span of data in constant time.
+
+    spans: a polynomial modulo 2 ** 64, for triggers and contexts: spans that only hash alike are
+    compared further on. exact: one modulo 2 ** 61 - 1, for whole phrases: two different ones of n
+    bytes agree with a probability of n / 2 ** 61 at most, however they are made.
+    """
 
     def __init__(self, data: np.ndarray):
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_OF_BYTE[data] * powers(_BASE, len(data)), out=self.total[1:])
         self.inverse = powers(_INVERSE, len(data) + 1)
+        assert len(data) < 1 << 23  # sums of bytes times halves of powers stay below 2 ** 64
+        self.halves = np.zeros((2, len(data) + 1), np.uint64)
+        value, power = data.astype(np.uint64) + np.uint64(1), powers(_X, len(data), _PRIME)
+        np.cumsum(value * (power & np.uint64((1 << 31) - 1)), out=self.halves[0, 1:])
+        np.cumsum(value * (power >> np.uint64(31)), out=self.halves[1, 1:])
 
     def spans(self, starts: np.ndarray, size) -> np.ndarray:
         return mix((self.total[starts + size] - self.total[starts]) * self.inverse[starts] + np.asarray(size).astype(np.uint64))
 
+    def exact(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        low, high = self.halves[:, starts + size] - self.halves[:, starts]
+        value = (low % _P + times(high % _P, np.uint64(1 << 31))) % _P
+        shifted = times(value, powers(pow(_X, -1, _PRIME), len(self.total), _PRIME)[starts])
+        return mix(shifted ^ mix(size.astype(np.uint64)))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] equals data[b : b + size], for each row."""
+    if not len(a):
+        return np.empty(0, bool)
+    differs = data[runs(a, size)] != data[runs(b, size)]
+    return ~np.logical_or.reduceat(differs, np.cumsum(size) - size)
+
 
 def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
     """First window, number of windows, the trigger's offset from the first window, hashes of trigger and
@@ -119,7 +182,7 @@ def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
     before, behind = place - half, place + trigger + half
     left = np.where(before >= bounds[doc], hashes.spans(np.maximum(before, 0), half + trigger) | np.uint64(1), np.uint64(0))
     right = np.where(behind <= bounds[doc + 1], hashes.spans(np.minimum(place, n - half - trigger), half + trigger) | np.uint64(1), np.uint64(0))
-    return starts, count, place - starts, h[place], hashes.spans(starts, count + length - 1), left, right
+    return starts, count, place - starts, h[place], hashes.exact(starts, count + length - 1), left, right
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
@@ -158,8 +221,8 @@ def settled(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(docs), pa.array(places)], names=["cell", "block", "doc_order", "place"])
 
 
-def later(keys: list[np.ndarray], docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Marks each row with a row of the same keys at an earlier document or place."""
+def later(keys: list[np.ndarray], docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks each row with a row of the same keys at an earlier document or place; and the first row of each row's keys."""
     order = np.lexsort((places, docs, *keys))
     a, b = order[:-1], order[1:]
     same = np.ones(len(b), bool)
@@ -167,9 +230,9 @@ def later(keys: list[np.ndarray], docs: np.ndarray, places: np.ndarray) -> np.nd
         same &= k[a] == k[b]
     new = np.concatenate([[True], ~same]) if len(order) else np.empty(0, bool)
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    out = np.zeros(len(order), bool)
-    out[order] = (docs[head] != docs[order]) | (places[head] >> BITS != places[order] >> BITS)
-    return out
+    out, first = np.zeros(len(order), bool), np.empty(len(order), np.int64)
+    out[order], first[order] = (docs[head] != docs[order]) | (places[head] >> BITS != places[order] >> BITS), head
+    return out, first
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -230,7 +293,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part:
                 start, count, offset, trig, phrase, left, right = phrases(data, bounds, length, trigger)
                 k = np.searchsorted(bounds, start, "right") - 1
                 doc, place = key[rows[k]], base[k] + start - bounds[k] << BITS | offset << 7 | count
-                again = later([phrase], doc, place)
+                again, first = later([phrase], doc, place)
+                rows_again = np.flatnonzero(again)
+                again[rows_again] = same_bytes(data, start[rows_again], start[first[rows_again]], count[rows_again] + length - 1)
                 new = ~again
                 yield settled(doc[again], place[again])
                 short = trig[new].astype(np.uint32)
@@ -239,7 +304,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part:
     @tidy
     def resolve(cell: pa.Table) -> pa.Table:
         trig, left, right, phrase, doc, place = unpacked(cell.column("block").to_pylist(), PHRASE)
-        again = later([phrase, trig], doc, place)
+        again, _ = later([phrase, trig], doc, place)
         # dictionary: first occurrences; those that share trigger and a context with another phrase stay open
         first = np.flatnonzero(~again)
         first = first[np.lexsort((phrase[first], trig[first]))]
@@ -316,7 +381,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, trigger: int = 32, part:
         own = np.repeat(np.arange(len(doc)), count)
         position = runs(place >> BITS, count)
         rank = suffix_ranks(data, length)[at]
-        again = later([rank], doc[own], position << BITS)
+        again, _ = later([rank], doc[own], position << BITS)
         # neighbouring windows of one phrase go as one place
         hit = np.flatnonzero(again)
         head = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)]) if len(hit) else np.empty(0, bool)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-
-from .common import CACHES
+import xxhash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -17,32 +16,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_rng = np.random.default_rng(20)
-_OF_BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_OF_LOWER = _OF_BYTE[_LOWER]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-CACHES.append(_powers)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, ..., base ** (n - 1) modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16) * 9 // 8, base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
-    return have[:n]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """xxhash64 of the bytes of each word, A-Z lower-cased: words are told apart as they are, and each different one is hashed once."""
+    sizes = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    held = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[at]])]).dictionary_encode()
+    of = np.fromiter(map(xxhash.xxh64_intdigest, held.dictionary.to_pylist()), np.uint64, len(held.dictionary))
+    return of[held.indices.to_numpy()]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each span: equal for equal contents."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, len(values)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE, len(values) + 1)[starts] + mix((ends - starts).astype(np.uint64)))
+def joined_hashes(words: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of words[at : at + length] for each run; each step scrambles what it has, so that no structure of the words carries over."""
+    out = mix(length.astype(np.uint64))
+    for k in range(int(length.max(initial=0))):
+        some = np.flatnonzero(length > k)
+        out[some] = mix(out[some] * _ODD + words[at[some] + k])
+    return out
 
 
 def parts_of(texts: pa.Array, part: int):
@@ -93,14 +89,14 @@ def shingle_sets(texts: pa.Array, size: int = 5, part: int = 2_000_000):
         if not len(starts):
             yield a, np.empty(0, np.uint64), np.zeros(rows, np.int64)
             continue
-        word = span_hashes(_OF_LOWER[data], starts, ends)
+        word = word_hashes(data, starts, ends)
         count = np.bincount(doc, minlength=rows)
         head = np.cumsum(count) - count
         long = count >= size
         made = np.where(long, count - size + 1, (count > 0).astype(np.int64))
         at = np.repeat(head - (np.cumsum(made) - made), made) + np.arange(made.sum())
         length = np.repeat(np.minimum(count, size), made)
-        hashes = span_hashes(word, at, at + length)
+        hashes = joined_hashes(word, at, length)
         ends_of = np.cumsum(made)
         out, sizes = [], np.zeros(rows, np.int64)
         for k in np.flatnonzero(made).tolist():

@@ -232,6 +232,34 @@ def test_minhash_of_a_large_group_of_near_copies(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_minhash_keeps_structured_words_apart(spark):
+    """Words on which polynomials modulo a power of two collide, whatever their base."""
+    words = [thue_morse(n, x) for n in (512, 1024, 2048, 4096) for x in ("ab", "ba")]
+    texts = [(i, w) for i, w in enumerate(words)] + [(20 + i, f"one two {w} three four five six") for i, w in enumerate(words)] + [(40, words[3].upper())]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), percent=85).collect()}
+    assert {d: r["component_id"] for d, r in got.items()} == {**{d: d for d, _ in texts}, 40: 3}
+    assert [got[d]["n_shingles"] for d in (0, 3, 20, 27)] == [1, 1, 3, 3]
+
+
+def test_span_hashes_of_structured_bytes():
+    data = np.frombuffer("".join(thue_morse(n, x) for n in (128, 1024, 4096) for x in ("ab", "ba")).encode(), np.uint8)
+    starts, size = np.array([0, 128, 256, 1280, 2304, 6400]), np.array([128, 128, 1024, 1024, 4096, 4096])
+    hashes = repeats.Hashes(data)
+    assert len(set(hashes.exact(starts, size).tolist())) == 6
+    assert len(set((hashes.exact(starts[:2], size[:2]) & np.uint64((1 << 31) - 1)).tolist())) == 2
+    again = repeats.Hashes(np.concatenate([data[5:], data]))
+    assert (again.exact(starts + len(data) - 5, size) == hashes.exact(starts, size)).all()
+    r = np.random.default_rng(1)
+    a, b = r.integers(0, repeats._PRIME, (2, 2000), dtype=np.uint64)
+    assert repeats.times(a, b).tolist() == [x * y % repeats._PRIME for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    at, to, n = r.integers(0, 3000, (3, 500))
+    assert repeats.same_bytes(data, at, to, n + 1).tolist() == [bytes(data[x : x + k + 1]) == bytes(data[y : y + k + 1]) for x, y, k in zip(at.tolist(), to.tolist(), n.tolist(), strict=True)]
+
+
 def test_links_of_a_bucket_whatever_its_blocks(spark):
     """Five texts in a row, each near the next; a sixth shares only its last band with them. Pairs that share
     no bucket as their first band aren't verified, and blocks of any size find links for the same components."""
