@@ -189,7 +189,7 @@ def _counts(docs: DataFrame, longest: int, filters: dict, filter_bits: int, part
     return docs.mapInArrow(step, "k int, lang string, phrase string, n long").groupBy("k", "lang", "phrase").agg(F.sum("n").alias("f"))
 
 
-def counted(docs: DataFrame, longest: int = 3, support: int = 10, shards: int = 4, filter_bits: int = 27, part: int = 8_000_000) -> DataFrame:
+def counted(docs: DataFrame, longest: int = 3, support: int = 10, shards: int = 4, filter_bits: int = 27, part: int = 4_000_000) -> DataFrame:
     """k, lang, phrase, f: all words, and the phrases of 2 to `longest` words found `support` times or more."""
     if not 1 <= shards <= 1 << _SHARDS:
         raise ValueError(f"1 to {1 << _SHARDS} shards")
