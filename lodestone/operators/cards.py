@@ -2,148 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _codes(texts: list[str]) -> np.ndarray:
-    """Texts as rows of characters, filled up with -1."""
-    out = np.full((len(texts), max(map(len, texts), default=0)), -1, np.int32)
-    for i, t in enumerate(texts):
-        out[i, : len(t)] = [ord(c) for c in t]
-    return out
-
-
-def _common(line: str, texts: np.ndarray, ends: tuple[int, ...]) -> list[np.ndarray]:
-    """The longest common subsequence of line and each text's first `end` characters: no similarity has more matches.
-    Worked out in the bits of a word for all texts at once; a line of over 64 characters has no bound but its length."""
-    if len(line) > 64:
-        return [np.full(len(texts), len(line)) for _ in ends]
-    masks = np.zeros(1 << 7, np.uint64)  # norms are a-z and 0-9
-    for k, c in enumerate(line):
-        masks[ord(c)] |= np.uint64(1 << k)
-    low = np.uint64((1 << len(line)) - 1)
-    v, out = np.full(len(texts), low), {}
-    for j in range(texts.shape[1] + 1):
-        if j in ends or j == texts.shape[1]:
-            out[j] = np.bitwise_count(~v & low).astype(np.int64)
-        if j < texts.shape[1]:
-            u = v & masks[texts[:, j]]
-            v = (v + u) | (v - u)
-    return [out[min(e, texts.shape[1])] for e in ends]
-
-
-class _Titles:
-    """Titles (code, text without spaces), and what a line reads as among them."""
-
-    def __init__(self, titles: list[tuple[int, str]], sure: float, short: int, short_sure: float):
-        self.titles = sorted(t for t in set(titles) if t[0] is not None and len(t[1] or "") >= 2)
-        self.texts = [t for _, t in self.titles]
-        self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        self.chars = _codes(self.texts)
-        self.sure, self.short, self.short_sure = sure, short, short_sure
-        self.tails: dict[int, tuple[list[str], np.ndarray, dict[str, list]]] = {}
-
-    def best(self, c: str, matches: np.ndarray) -> tuple[float, int, float]:
-        """Score and place of the most similar title, and the best score of another text of another code."""
-        n = self.lengths
-        bound = np.where(np.abs(n - len(c)) <= np.maximum(4, n // 2), 2.0 * matches / (n + len(c)), 0.0)
-        scored: list[tuple[float, int]] = []
-        score, place, second = 0.0, -1, 0.0
-        for i in np.argsort(-bound, kind="stable").tolist():
-            b = bound[i]
-            if b < 0.5 or (b < score - 0.25 or b <= second if score >= 0.78 else b < 0.78 and b <= score):
-                break
-            m = difflib.SequenceMatcher(None, c, self.texts[i])
-            if m.quick_ratio() < 0.78 or (r := m.ratio()) < 0.5:  # titles below these never decide anything
-                continue
-            scored.append((r, i))
-            score, place = max(scored)
-            code, text = self.titles[place]
-            second = max((r for r, j in scored if self.titles[j][0] != code and self.texts[j] != text), default=0.0)
-        return score, place, second
-
-    def ends_alike(self, c: str) -> set:
-        """Codes of the longer titles whose end is like c."""
-        if len(c) not in self.tails:
-            held: dict[str, list] = {}
-            for code, text in self.titles:
-                if len(text) >= len(c) + 3:
-                    held.setdefault(text[-len(c) :], []).append(code)
-            self.tails[len(c)] = (list(held), _codes(list(held)), held)
-        ends, chars, held = self.tails[len(c)]
-        near = np.flatnonzero(_common(c, chars, (len(c),))[0] / len(c) >= 0.92) if ends else []
-        return {code for i in near if difflib.SequenceMatcher(None, c, ends[i]).ratio() >= 0.92 for code in held[ends[i]]}
-
-    def read(self, c: str) -> tuple | None:
-        """kind, code, score and candidates; None if the line says nothing."""
-        size = len(c)
-        if size < 3 or not self.titles:
-            return None
-        begun, matches = _common(c, self.chars, (size, self.chars.shape[1]))
-        score, place, second = self.best(c, matches)
-        code, text = self.titles[place] if place >= 0 else (None, "")
-        lead = score - second
-        least = self.short_sure if len(text) <= self.short else self.sure
-        full = place >= 0 and ((score >= least and (lead >= 0.06 or (score >= 0.97 and lead >= 0.03))) or (score >= 0.78 and size >= 12 and lead >= 0.25))
-        twins = [k for k, t in self.titles if full and t == text and k != code]
-        if twins:
-            return "partial", None, score, list(dict.fromkeys([code, *twins]))
-        # titles that it could be the beginning of, with a slip per dozen characters
-        need = 1 - max(1, size // 12) / size
-        alike: dict[str, bool] = {}
-        longer = []
-        for i in np.flatnonzero((self.lengths >= size + 3) & (begun / size >= need)).tolist():
-            start = self.texts[i][:size]
-            if start not in alike:
-                alike[start] = difflib.SequenceMatcher(None, c, start).ratio() >= need
-            if alike[start]:
-                longer.append(i)
-        if full:  # the title itself is how others begin
-            known = set(longer)
-            longer += [i for i, t in enumerate(self.texts) if len(t) >= len(text) + 3 and t.startswith(text) and i not in known]
-            if not longer:
-                return "full", code, score, None
-        elif not longer and size >= 10:
-            tails = self.ends_alike(c)
-            if len(tails) == 1:
-                return "tail", tails.pop(), score, None
-        if longer and (size >= 6 or (full and score >= 0.999)) and len(longer) <= 25:
-            return "partial", code if full else None, score, list(dict.fromkeys(([code] if full else []) + [self.titles[i][0] for i in longer]))
-        return None
-
-
-def readings(lines: DataFrame, titles: DataFrame, key: str, code: str, sure: float = 0.85, short: int = 8, short_sure: float = 0.9) -> DataFrame:
-    """What a line of text (`norm`, without spaces) reads as. `full`: one title is alike enough and leads the next by
-    0.06 (0.03 for near certainty), or is at 0.78 with nothing within 0.25. `tail`: it is the end of one title alone.
-    `partial`: the beginning of longer titles, 25 at most, or a text that several codes have; it lists candidates,
-    and has a code only if one title was read in full that is itself the beginning of others.
-
-    Each text is read once. Whether one is clear depends on all titles, so they go to each task, which has to hold
-    them; similarities are worked out for those alone whose upper bound can change the outcome.
-    """
-    cells = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = lines.select("norm").where("norm is not null").distinct()
-    asked = texts.select(F.pmod(F.xxhash64("norm"), F.lit(cells)).alias("cell"), F.lit(None).cast("long").alias("code"), "norm")
-    held = titles.where(F.col(code).isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"), F.col(code).cast("long").alias("code"), "norm")
-
-    def read(cell: pd.DataFrame) -> pd.DataFrame:
-        mine = cell["code"].isna()
-        known = cell[~mine]
-        index = _Titles(list(zip(known["code"].astype("int64").tolist(), known["norm"], strict=True)), sure, short, short_sure)
-        rows = [(c, *r) for c in cell["norm"][mine] if (r := index.read(c))]
-        out = pd.DataFrame(rows, columns=["norm", "kind", "code", "score", "candidates"])
-        return out.astype({"code": "Int64"})
-
-    dealt = asked.unionByName(held).repartition(cells, "cell")  # little data, much work: not to be put together in a task
-    got = dealt.groupBy("cell").applyInPandas(read, "norm string, kind string, code long, score double, candidates array<long>")
-    rows = lines.select(key, "norm").join(got, "norm")
-    return rows.select(key, "kind", F.col("code").alias(code), F.round("score", 4).alias("score"), "candidates")
+from .titleindex import readings as readings
 
 
 def grouped(reads: DataFrame, key: str, gap: float = 12.0) -> DataFrame:
@@ -157,19 +20,14 @@ def grouped(reads: DataFrame, key: str, gap: float = 12.0) -> DataFrame:
 
 
 def thinned(cards: DataFrame, key: str, span: float = 120.0) -> DataFrame:
-    """Best card first, others within `span` seconds of a kept one are dropped. Depends on what is kept, so
-    it runs per file, whose cards are few."""
-    schema = cards.schema
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        times = rows["time"].to_numpy()
-        for k in sorted(range(len(rows)), key=lambda k: (-rows["score"].iloc[k], times[k])):
-            if all(abs(times[k] - times[j]) >= span for j in kept):
-                kept.append(k)
-        return rows.iloc[sorted(kept)]
-
-    return cards.groupBy(key).applyInPandas(keep, schema)
+    """Best card first, others within `span` seconds of a kept one are dropped; of equal scores the earlier one is
+    better. What is kept depends on what was kept before, so it is a fold over a file's cards from the best on,
+    each looking at the neighbours in time that are kept so far."""
+    names = [c for c in cards.columns if c != key]
+    order = F.struct((-F.col("score")).alias("_a"), F.col("time").alias("_b"), F.struct(*names).alias("_c"))
+    listed = cards.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("_x"))
+    kept = F.aggregate("_x", F.slice("_x", 1, 0), lambda a, c: F.when(F.forall(a, lambda k: F.abs(k["_b"] - c["_b"]) >= span), F.array_append(a, c)).otherwise(a))
+    return listed.select(key, F.explode(kept).alias("_k")).select(*[F.col(key) if c == key else F.col(f"_k._c.{c}") for c in cards.columns])
 
 
 def fits(expected: Column, candidates: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cardpass, fusion
+from ..operators import cardpass, fusion, titleindex
 from ..registry import query
 from .common import table
 
@@ -72,6 +72,18 @@ def fuse_cards(spark, sf_dir):
     return fusion.fuse_cards(files, segments, cards, runtimes, "file")
 
 
+@query()
+def frame_best_read(spark, sf_dir):
+    """A part is a frame that shows the words of its name on lines of their own, some misread or too small, and its type and brand below."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    titles = p.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"), "p_partkey").groupBy("title").agg(F.min("p_partkey").alias("code")).withColumn("part", F.lit(None).cast("long"))
+    words = F.concat(F.split(F.upper("p_name"), " "), F.array(F.when(k % 3 == 0, F.regexp_replace("p_type", "O", "0")).otherwise(F.col("p_type")), F.when(k % 5 != 0, F.col("p_brand")).otherwise("written by")))
+    lines = F.transform(words, lambda w, i: F.struct(w.alias("text"), F.when((k + i) % 11 == 0, 0.5).otherwise(0.95).alias("conf"), F.when((k + i) % 7 == 0, 0.04).otherwise(0.08).alias("height"), (0.1 * i).alias("y")))
+    frames = p.select(k.alias("frame"), F.lit(20.0).alias("at"), lines.alias("lines"))
+    recurring = titles.where("code % 500 = 0").select("code", F.lit(20.0).alias("offset"))
+    return titleindex.match_frames(frames, titles, "frame", "code", recurring, ("brand", "small"))
+
+
 _READS = """WITH f AS (SELECT user_id AS file, day(ts) // 10 AS start, CASE WHEN event_id % 2 = 0 THEN 'key' ELSE 'full' END AS mode, (event_id % 97)::DOUBLE AS t, event_type IN ('view', 'click') AS hit, event_type = 'click' AS partial, event_id % 5 != 0 AS fit FROM events),
 r AS (SELECT file, start, mode, (file + start) % 3 = 0 AS complete, max(t) + 3 AS stopped_at, CASE WHEN file % 5 = 0 THEN 'old' ELSE 'new' END AS ocr, file % 7 AS read_at FROM f GROUP BY file, start, mode),
 g AS (SELECT file, start, mode, min(t) FILTER (hit AND fit) AS first, min(t) FILTER (hit AND fit AND NOT partial) AS ff, bool_or(hit AND NOT partial) AS af, min(t) FILTER (hit) AS fa FROM f GROUP BY ALL),
