@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rules import proper_subset, segment_choice
+from ..storage import stored
 from .claims import winners
 
 #: A segment as plans read it.
@@ -37,12 +40,19 @@ def choices(segments: Column) -> Column:
 
 
 def build(files: DataFrame, episodes: DataFrame, overrides: DataFrame, splits: bool = True) -> DataFrame:
-    """file, kind, reason, codes, selected, ref_warning and claimed_by of each file's item.
+    """file, kind, reason, codes, selected, ref_warning and claimed_by of each file's item, as `judged` finds them."""
+    return judged(files, episodes, overrides, splits).select("file", "kind", "reason", "codes", "selected", "ref_warning", "claimed_by")
+
+
+def judged(files: DataFrame, episodes: DataFrame, overrides: DataFrame, splits: bool = True, path: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Each file's item: kind, reason, codes, selected, ref_warning, claimed_by, and what it follows from: expected,
+    duration, status, the segments, the usable ones among them with `lost` (another file has the better claim) and their target.
 
     files: (file, status, expected, duration, hold, segments); episodes: (code, season, number, low_trust).
     Claims are settled over all files first: each episode belongs to the segment with the best evidence.
     A file's kind follows from its claims and its name. Ticks are taken off changes that rest on a
     doubtful reference; files that can't be verified make way for confirmed ones that need their name.
+    path: where a file (its path) with given codes of a season belongs; one that stands there is not renamed.
     """
     rows = with_overrides(files, overrides).withColumn("chosen", choices(F.col("segments")))
     usable = F.filter("chosen", lambda c: c["strength"] != "low")
@@ -60,7 +70,7 @@ def build(files: DataFrame, episodes: DataFrame, overrides: DataFrame, splits: b
     # what is known of the codes that a file is named for or holds
     of = rows.select("file", F.explode(F.array_distinct(F.concat("codes", "expected"))).alias("code")).join(episodes, "code")
     known = of.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("season", "number", F.coalesce("low_trust", F.lit(False)).alias("low"))))).alias("known"))
-    rows = rows.join(mine, "file", "left").join(known, "file", "left")
+    rows = stored(rows.join(mine, "file", "left").join(known, "file", "left"), "claims")
     info = lambda code: F.try_element_at("known", code)
     listed = lambda code: info(code).isNotNull()
     owned = F.coalesce("mine", F.array().cast("array<struct<code:string,start:double>>"))
@@ -73,12 +83,14 @@ def build(files: DataFrame, episodes: DataFrame, overrides: DataFrame, splits: b
     partial = (F.size(expected) > 0) & ~F.col("manual") & proper_subset(codes, expected) & (F.col("ai") | ((F.coalesce("duration", F.lit(0.0)) > 0) & (covered < 0.75 * F.col("duration"))))
     first = F.get(codes, F.lit(0))
     in_row = (F.size(F.array_distinct(codes)) == F.size(codes)) & F.forall(F.transform(codes, lambda c, i: (info(c)["season"] == info(first)["season"]) & (info(c)["number"] == info(first)["number"] + i)), lambda x: F.coalesce(x, F.lit(False)))
+    target = path(F.col("file"), codes, info(first)["season"]) if path else F.lit(None).cast("string")
+    there = F.coalesce(target == F.col("file"), F.lit(False))
     undecided = (F.col("status") == "NO_TEXT") | (F.size("usable") == 0) | (F.size("usable") != F.size("chosen")) | (F.coalesce("hold", F.lit(False)) & (F.col("status") != "MANUAL"))
     steps = [
         (undecided, "review", "undecided"), (F.exists(expected, lambda c: ~listed(c)) & ~F.col("manual"), "review", "name not listed"),
         (F.col("lost") == F.size("usable"), "aside", "duplicate"), ((F.col("status") == "OK") & ~F.col("ai") & ~F.col("manual"), "ok", "correct"), (codes == expected, "ok", "agrees"),
         (partial, "review", "part confirmed"), (F.exists(codes, lambda c: ~listed(c)), "review", "not listed"),
-        (in_row & (F.col("lost") > 0), "review", "part is a duplicate"), (in_row, "rename", "name"), (F.lit(not splits), "review", "splits are off"),
+        (in_row & (F.col("lost") > 0), "review", "part is a duplicate"), (in_row & there, "ok", "in place"), (in_row, "rename", "name"), (F.lit(not splits), "review", "splits are off"),
         (F.exists("usable", lambda c: c["end"] <= c["start"]), "review", "no boundaries"),
     ]
     verdict = F.struct(F.lit("split").alias("kind"), F.lit("split").alias("reason"))
@@ -89,7 +101,7 @@ def build(files: DataFrame, episodes: DataFrame, overrides: DataFrame, splits: b
     by_title = (F.size("segments") > 0) & F.forall("segments", lambda s: F.coalesce(s["title_card"], F.lit(False)))
     by_hand = F.exists("segments", lambda s: s["override"].isNotNull())
     shaky = F.exists(involved, lambda c: F.coalesce(info(c)["low"], F.lit(False))) & ~by_title & ~by_hand
-    items = rows.withColumn("v", verdict).select("*", "v.kind", "v.reason").withColumn("ref_warning", changes & shaky)
+    items = stored(rows.withColumn("v", verdict), "verdicts").select("*", "v.kind", "v.reason").withColumn("ref_warning", changes & shaky)
     items = items.withColumn("selected", changes & ~F.col("ai") & ~F.col("ref_warning"))
 
     # files that stand where a confirmed one belongs
@@ -99,9 +111,11 @@ def build(files: DataFrame, episodes: DataFrame, overrides: DataFrame, splits: b
     items = items.join(met.withColumnRenamed("occupant", "file"), "file", "left")
     sure_card = F.exists("segments", lambda s: F.coalesce(s["title_card"], F.lit(False)) & F.array_contains(expected, s["code"]))
     gives_way = F.col("x").isNotNull() & ~sure_card
+    piece = lambda c: F.struct(c["code"].alias("code"), c["start"].alias("start"), c["end"].alias("end"), info(c["code"])["season"].alias("season"), (~F.exists(owned, lambda m: (m["code"] == c["code"]) & (m["start"] == c["start"]))).alias("lost"))
     return items.select(
         "file", F.when(gives_way, "aside").otherwise(F.col("kind")).alias("kind"), F.when(gives_way, "unverified").otherwise(F.col("reason")).alias("reason"), "codes",
         F.when(gives_way, F.col("x.selected")).otherwise(F.col("selected")).alias("selected"), "ref_warning", F.col("x.file").alias("claimed_by"),
+        "expected", "duration", "status", "segments", F.transform("usable", piece).alias("pieces"), target.alias("target"),
     )
 
 

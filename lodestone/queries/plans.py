@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import views as V
 from ..plans import build as B
+from ..plans import chain
 from ..plans import claims as P
 from ..registry import query
 from .common import table
@@ -40,6 +41,36 @@ def build_plan(spark, sf_dir):
     return B.build(*plan_input(spark, sf_dir)).orderBy("file")
 
 
+def library_input(spark, sf_dir):
+    """Twelve orders are a series of one season with as many episodes: an order is a file named for one of them, or in parts."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber").cast("double")
+    code = lambda series, number: F.format_string("T%07dE%02d", series, F.pmod(number, F.lit(12)) + 1)
+    li = table(spark, sf_dir, "lineitem").withColumn("series", F.floor(k / 12))
+    own = F.when(k % 24 < 2, 0).when(F.col("l_suppkey") % 5 == 0, k + F.col("l_partkey") % 3).otherwise(k + n.cast("long") - 1)
+    segment = F.struct(
+        ((n - 1) * 600).alias("start"), (n * 600).alias("end"), code(F.col("series"), own).alias("code"), (F.floor(F.col("l_quantity")) / 50).alias("score"), F.when(k % 4 != 3, "high").otherwise("low").alias("confidence"),
+        F.when((k % 4 == 3) & (F.col("l_suppkey") % 7 == 0), code(F.col("series"), own)).alias("model_code"), F.lit(None).cast("string").alias("override"), (F.col("l_suppkey") % 11 == 0).alias("title_card"),
+    )
+    lines = li.where("l_orderkey % 3 = 0 or l_linenumber = 1").groupBy("series", "l_orderkey").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    first = code(F.col("series"), k)
+    named = F.when(k % 13 == 0, F.array().cast("array<string>")).when(k % 11 == 0, F.array(code(F.col("series"), k + 1))).when(k % 3 == 0, F.transform(F.sequence(F.lit(0).cast("long"), F.size("segments").cast("long") - 1), lambda i: code(F.col("series"), k + i))).otherwise(F.array(first))
+    part = F.when(k % 24 < 4, F.concat(F.lit(" - Part "), (k % 2 + 1).cast("string"))).otherwise("")
+    group = F.when(k % 24 < 4, F.floor(k / 2)).otherwise(-k)
+    name = F.concat(F.lit("Season "), "series", F.lit("/show "), group.cast("string"), part, F.lit(".mkv"))
+    named = F.when(k % 24 < 2, F.array(code(F.col("series"), F.lit(0)))).otherwise(named)
+    files = lines.select(name.alias("file"), F.when(k % 29 == 0, "NO_TEXT").when(k % 4 == 2, "OK").otherwise("MISMATCH").alias("status"), named.alias("expected"), (F.size("segments") * 600.0).alias("duration"), (k % 31 == 0).alias("hold"), "segments", F.when(k % 2 == 0, F.col("series")).alias("season_hint"))
+    overrides = files.where("season_hint % 19 = 0").select("file", F.array(code(F.col("season_hint"), F.lit(3))).alias("codes"))
+    e = li.select("series").distinct().select("series", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("n"))
+    episodes = e.select(code(F.col("series"), F.col("n").cast("long")).alias("code"), F.col("series").alias("season"), F.col("n").cast("long").alias("number"), ((F.col("series") + F.col("n")) % 9 == 0).alias("low_trust"), (F.col("n") % 6 != 5).alias("aired"), F.when(F.col("series") % 4 == 0, 15.0).otherwise(90.0).alias("runtime"))
+    return files, episodes, overrides
+
+
+@query()
+def whole_plan(spark, sf_dir):
+    """The plans of all series in one chain; held against a plain loop in tests."""
+    return chain.whole_plan(*library_input(spark, sf_dir))
+
+
 @query("""WITH f AS (SELECT o_orderkey, o_orderkey % 3 AS k, o_custkey % 2 AS sure, o_custkey % 5 AS own FROM orders)
 SELECT o_orderkey, CASE WHEN k IN (0, 1) AND sure = 0 THEN 'release name' END AS evidence,
  CASE WHEN k = 0 AND sure = 0 THEN 'S01E01' WHEN k = 1 AND sure = 0 THEN 'S02E02' WHEN own = 1 THEN 'S01E01' ELSE 'S03E03' END AS code FROM f""")
