@@ -5,8 +5,9 @@ with the end id, is routed to the smallest tier that holds it; longer ones first
 windows of the longest tier. Tiers are packed from the longest down: a window of a tier takes one
 of its documents, its gap the largest shorter documents that fit, and the rest of the gap a piece
 cut off a shorter document. What the shortest tier has left is cut into full windows too, so that
-windows are full, and of a power of two, without padding. Full windows are dealt into step groups
-of equal token counts and like mixtures of lengths.
+windows are full, and of a power of two, without padding. Full windows are dealt into step groups of
+exactly `step_tokens` ids and like mixtures of lengths; windows wait for their group from flush to
+flush, and only the last group of a partition, and of each group of remainders, may hold fewer ids.
 
 Packing runs within each partition over buffers of bounded size. Less than a window of the shortest
 tier is left over by a partition; these remainders meet in groups of 64 partitions, and what a
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -124,41 +126,73 @@ class Packer:
         return out
 
 
-def step_groups(lengths: list[int], tokens: int) -> list[int]:
-    """A group for each window: windows are dealt to and fro, the longest first, over as many
-    groups as their ids fill; so groups hold like numbers of each length."""
-    groups = max(1, -(-sum(lengths) // tokens))
-    out = [0] * len(lengths)
-    for rank, k in enumerate(sorted(range(len(lengths)), key=lambda k: -lengths[k])):
-        lap, at = divmod(rank, groups)
-        out[k] = groups - 1 - at if lap % 2 else at
+def step_groups(lengths: list[int], tokens: int, groups: int | None = None) -> list[int]:
+    """A group for each window: the longest first, each to the group that has the fewest ids so far. Lengths that are
+    powers of two leave groups equal where they can be, and like in the lengths that they hold."""
+    groups = groups or max(1, -(-sum(lengths) // tokens))
+    out, held = [0] * len(lengths), [(0, g) for g in range(groups)]
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        n, g = heappop(held)
+        out[k] = g
+        heappush(held, (n + lengths[k], g))
     return out
 
 
 class _Rows:
-    """Collects rows of the result."""
+    """Collects rows of the result. Windows wait, as rows without their ids, until they fill step groups: `mix` groups
+    of exactly step_tokens at a time, whatever batch or flush their windows are of; at the end of a partition
+    single groups, and one that is not full."""
 
-    def __init__(self, base: int, step_tokens: int):
-        self.base, self.next, self.steps, self.step_tokens = base, base, base, step_tokens
+    def __init__(self, base: int, step_tokens: int, mix: int = 8):
+        self.next, self.steps, self.step_tokens, self.mix = base, base, step_tokens, mix
         self.cols: list[list] = [[] for _ in NAMES]
+        self.open: list[tuple[int, list[tuple]]] = []
 
     def windows(self, done: list[tuple[int, list[Piece]]]) -> None:
-        groups = step_groups([t for t, _ in done], self.step_tokens)
-        for (tier, pieces), group in zip(done, groups, strict=True):
-            at = 0
+        for tier, pieces in done:
+            at, made = 0, []
             for p in pieces:
-                blob = p.ids.astype("<u4").tobytes()
-                self._row(p, zlib.crc32(blob), self.next, at, tier, self.steps + group, None, None)
+                made.append((p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.doc_tokens, self.next, at, tier))
                 at += len(p.ids)
+            self.open.append((tier, made))
             self.next += 1
-        self.steps += max(groups, default=-1) + 1
+        self._deal(self.mix)
+
+    def close(self) -> None:
+        self._deal(1)
+        if self.open:
+            self._emit(self.open, None)
+            self.open = []
+
+    def _deal(self, groups: int) -> None:
+        total, wanted = sum(t for t, _ in self.open), groups * self.step_tokens
+        while total >= wanted:
+            gap, taken, left = wanted, [], []
+            for w in self.open:  # in order of arrival, so that groups have the mixture that comes in
+                if w[0] <= gap:
+                    gap -= w[0]
+                    taken.append(w)
+                else:
+                    left.append(w)
+            if gap and total < 2 * wanted:
+                return  # shorter windows may come
+            self._emit(taken, groups)
+            self.open = left
+            total -= wanted - gap
+
+    def _emit(self, windows: list[tuple[int, list[tuple]]], groups: int | None) -> None:
+        dealt = step_groups([t for t, _ in windows], self.step_tokens, groups)
+        for (_, made), group in zip(windows, dealt, strict=True):
+            for row in made:
+                self._row(*row, self.steps + group, None, None)
+        self.steps += max(dealt, default=-1) + 1
 
     def left(self, pieces: list[Piece], part: int) -> None:
         for p in pieces:
-            self._row(p, None, None, None, None, None, part, p.ids.astype("<u4").tobytes())
+            self._row(p.doc_id, p.start, len(p.ids), None, p.doc_tokens, None, None, None, None, part, p.ids.astype("<u4").tobytes())
 
-    def _row(self, p: Piece, *rest) -> None:
-        for col, v in zip(self.cols, (p.doc_id, p.start, len(p.ids), rest[0], p.doc_tokens, *rest[1:]), strict=True):
+    def _row(self, *values) -> None:
+        for col, v in zip(self.cols, values, strict=True):
             col.append(v)
 
     def batch(self) -> pa.RecordBatch:
@@ -194,6 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (512, 1024, 2
                 yield rows.batch()
         packer.flush()
         rows.windows(packer.done)
+        rows.close()
         rows.left(packer.rest(), part)
         yield rows.batch()
 
@@ -219,6 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (512, 1024, 2
                 done.append((1 << power, window))
         rows = _Rows(1 << 62 | int(group["part"].iloc[0]) // FAN_IN << 32, step_tokens)
         rows.windows(done)
+        rows.close()
         return rows.batch().to_pandas(integer_object_nulls=True)[[*PIECES]]
 
     made = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, ROW), "packed")

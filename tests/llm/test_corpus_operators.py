@@ -120,6 +120,36 @@ def test_embeddings_with_repeated_ids_equal_sql(spark):
     assert _embedding_rows(spark, rows) == want
 
 
+@pytest.mark.parametrize("per_cell", [3, 20, 2000])
+def test_embeddings_in_several_cells_equal_sql(spark, per_cell):
+    """Chains of vectors across the borders of many cells, three labels, pairs at the limit itself and just below it."""
+    import duckdb
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    rows, n = [], 0
+    for label in (1, 1, 1, 2, 2, 3):
+        a, b = r.normal(size=(2, 6))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        angle = 0.0
+        for _ in range(45):  # steps around a circle, some within the angle of 0.98 and some beyond
+            angle += r.choice([0.05, 0.15, 0.19, 0.205, 0.25])
+            rows.append((n, ((a * np.cos(angle) + b * np.sin(angle)) * r.uniform(0.5, 2)).tolist() + [0.0, 0.0], label))
+            n += 1
+    rows += [(n + k, [float(x) for x in r.integers(-2, 3, 8)], int(r.integers(1, 4))) for k in range(150)]
+    rows += [(900, [0.0] * 6 + [1.0, 0.0], 2), (901, [0.0] * 6 + [49.0, float(np.sqrt(2401 / 0.9604 - 2401))], 2), (902, [0.0] * 6 + [49.0, float(np.sqrt(2401 / 0.9604 - 2401)) * 1.001], 2)]
+    table = pd.DataFrame(rows, columns=["vec_id", "embedding", "label"])  # noqa: F841  DuckDB reads it
+    want = duckdb.sql(embeddings.OP1_SQL.replace("FROM embeddings", "FROM (SELECT vec_id::BIGINT AS vec_id, embedding::DOUBLE[] AS embedding, label FROM table)".replace("table)", "\"table\")")))
+    df = spark.createDataFrame([(int(i), [float(x) for x in v], int(k)) for i, v, k in rows], "vec_id long, embedding array<double>, label int")
+    got = {tuple(x) for x in embeddings.near_duplicates(df, per_cell=per_cell, block=16).collect()}
+    assert got == set(want.fetchall())
+    assert sum(x[1] for x in got) > 300
+    links = {x[0]: x[1] for x in got}
+    assert links[900] >= 1 and links[901] >= 2 and len({x[2] for x in got}) > 20
+
+
 def test_quality_rules(docs, rows):
     got = sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules.scores(docs).collect()), key=repr)
     want = []
@@ -171,6 +201,23 @@ def test_packing(docs, rows):
     assert padded <= 1.01 * total + 4096
 
 
+@pytest.mark.parametrize("step", [4096, 1 << 14, 1 << 16])
+def test_step_groups_hold_equal_numbers_of_ids(spark, step):
+    """All groups but the last of a partition have exactly `step` ids, and groups dealt together like numbers of each length."""
+    docs = spark.read.parquet(f"{SMALL_SF_DIR}/documents.parquet").repartition(2)
+    got = packing.pack(docs, vocabulary("word_bpe_49k.json"), buffer_tokens=1 << 14, step_tokens=step).select("sequence_id", "sequence_length", "step_group").distinct().collect()
+    ids, lengths = Counter(), defaultdict(Counter)
+    for r in got:
+        ids[r["step_group"]] += r["sequence_length"]
+        lengths[r["step_group"]][r["sequence_length"]] += 1
+    short = [g for g, n in ids.items() if n != step]
+    assert len(short) <= 3 and all(ids[g] < step for g in short)  # two partitions and their remainders
+    assert len(ids) - len(short) >= sum(ids.values()) // step - 2
+    dealt = packing.step_groups([4096] * 37 + [2048] * 22 + [1024] * 6 + [512] * 20, 1 << 14, 8)
+    mixed = [Counter(n for n, g in zip([4096] * 37 + [2048] * 22 + [1024] * 6 + [512] * 20, dealt, strict=True) if g == k)[4096] for k in range(8)]
+    assert max(mixed) - min(mixed) <= 1
+
+
 def test_bpe(docs, rows):
     t = _tokenizer("byte_bpe_50k.json")
     want = []
