@@ -10,7 +10,7 @@ from ..storage import stored
 from . import decode, tfidf, windows
 
 
-def emissions(cues: DataFrame, weights: tfidf.Weights, vectors: DataFrame, key: str, ref: str, none: float, size: float, hop: float, min_words: int) -> DataFrame:
+def emissions(cues: DataFrame, weights: tfidf.Weights, vectors: DataFrame, key: str, ref: str, none: float, size: float, hop: float, min_words: int, stop: tuple[str, ...] = ()) -> DataFrame:
     """key, file_end, codes and, in order, each window's start, end and scores of the file's codes with `none`
     behind them. All windows of a file are there, silent ones with scores of 0. A reference that no
     window of a file shares a word with can't win against `none`, so it is left out of that file."""
@@ -18,7 +18,7 @@ def emissions(cues: DataFrame, weights: tfidf.Weights, vectors: DataFrame, key:
     grid = ends.select(key, "file_end", F.explode(F.sequence(F.lit(0).cast("long"), windows.window_count(F.col("file_end"), size, hop).cast("long") - 1)).alias("win"))
     spoken = windows.window_words(windows.cue_windows(cues, key, size, hop), key, min_words).where("not silent")
     own = F.struct(key, "win")
-    counted = tfidf.counts(spoken.select(own.alias("k"), "text"), "k")
+    counted = tfidf.counts(spoken.select(own.alias("k"), "text"), "k", "text", stop, True)
     scored = stored(tfidf.scores(weights.weighted(counted, "k"), vectors, "k", ref).select(f"k.{key}", "k.win", ref, "score"), "scores")
     by_window = scored.groupBy(key, "win").agg(F.map_from_entries(F.collect_list(F.struct(ref, "score"))).alias("m"))
     codes = scored.groupBy(key).agg(F.sort_array(F.collect_set(ref)).alias("codes"))
@@ -28,24 +28,24 @@ def emissions(cues: DataFrame, weights: tfidf.Weights, vectors: DataFrame, key:
     return rows.groupBy(key, "file_end", "codes").agg(F.sort_array(F.collect_list(window)).alias("w"))
 
 
-def segments(cues: DataFrame, references: DataFrame, key: str, ref: str, background: DataFrame | None = None, stop: tuple[str, ...] = (), max_df: float | None = 0.6, size: float = 90.0, hop: float = 45.0, min_words: int = 8, switch: float = 0.22, min_seconds: float = 60.0, min_share: float = 0.35, min_score: float = 0.12, min_margin: float = 0.04) -> DataFrame:
+def segments(cues: DataFrame, references: DataFrame, key: str, ref: str, background: DataFrame | None = None, stop: tuple[str, ...] = (), max_df: float | None = 0.6, size: float = 90.0, hop: float = 45.0, min_words: int = 8, switch: float = 0.22, min_seconds: float = 240.0, min_share: float = 0.35, min_score: float = 0.12, min_margin: float = 0.04) -> DataFrame:
     """Segments of each file from its cues (key, start, end, text) and references (ref, text): start, end, code,
     score, margin, confidence, the next best (`alternatives`) and the number of words.
 
-    Word weights come from the references and from `background` (key, text), the files' own dialogue.
+    Weights of words, and of pairs of neighbours once stop words are out, come from the references and from `background` (key, text), the files' own dialogue.
     Windows are scored and decoded into runs; runs that last are segments, which are scored again as
     a whole; neighbours that then have one code are one segment with the best of their scores.
     """
-    rt = tfidf.counts(references, ref, "text", stop)
+    rt = tfidf.counts(references, ref, "text", stop, True)
     n, known = references.agg(F.count("*").alias("n")), rt.select("term")
     if background is not None:
         said = background.where(F.trim("text") != "")
-        known = known.unionByName(tfidf.counts(said, key, "text", stop).select("term"))
+        known = known.unionByName(tfidf.counts(said, key, "text", stop, True).select("term"))
         n = n.unionByName(said.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
     weights = tfidf.Weights(stored(tfidf.fit(known, n, max_df).idf, "idf"))
     vectors = stored(weights.vectors(rt, ref), "vectors")
 
-    decoded = emissions(cues, weights, vectors, key, ref, 0.6 * min_score, size, hop, min_words)
+    decoded = emissions(cues, weights, vectors, key, ref, 0.6 * min_score, size, hop, min_words, stop)
     path = decode.viterbi(F.transform("w", lambda x: x["v"]), switch)
     steps = decoded.select(key, "file_end", "codes", F.explode(F.arrays_zip("w", path.alias("state"))).alias("z"))
     label = F.coalesce(F.get("codes", F.col("z.state")).cast("string"), F.lit("-"))
@@ -58,7 +58,7 @@ def segments(cues: DataFrame, references: DataFrame, key: str, ref: str, backgro
     inside = cues.withColumnsRenamed({"start": "_s", "end": "_e"}).join(found, key).where("_e > start and _s < end")
     held = inside.groupBy(key, "seg", "start", "end").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_s", "text"))), lambda x: x["text"]), " ").alias("text"))
     held = stored(held, "texts")
-    scored = tfidf.scores(weights.weighted(tfidf.counts(held.select(F.struct(key, "seg").alias("k"), "text"), "k", "text", stop), "k"), vectors, "k", ref)
+    scored = tfidf.scores(weights.weighted(tfidf.counts(held.select(F.struct(key, "seg").alias("k"), "text"), "k", "text", stop, True), "k"), vectors, "k", ref)
     best = tfidf.top(scored, "k", ref, 4).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("rank", F.col(ref).alias("code"), "score"))).alias("t"))
     rows = held.join(best.select(f"k.{key}", "k.seg", "t"), [key, "seg"])
     score, second = F.get("t", F.lit(0))["score"], F.coalesce(F.get("t", F.lit(1))["score"], F.lit(0.0))

@@ -12,27 +12,29 @@ from pyspark.sql.types import DoubleType
 from ..functions.text import name_words, norm_title
 
 
-#: Up to this many titles are broadcast (about 100 bytes each); beyond it, candidates are joined with the texts again.
+#: Up to this many titles are broadcast (about 100 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_TITLES = 500_000
 
 
-def contained(names: DataFrame, key: str, name: str, titles: DataFrame, code: str, title: str, least: int = 8) -> DataFrame:
+def contained(names: DataFrame, key: str, name: str, titles: DataFrame, code: str, title: str, least: int = 8, own: str | None = None, own_least: int = 4) -> DataFrame:
     """key, code, title words and position of each title that a name contains as whole words.
 
-    A name's words meet the first word of a title, and the rest of the title is compared in place, not with
-    all titles. With few titles that happens where the name is, by a broadcast; else only keys and
-    candidates are joined, and then with the names once.
+    Titles have `least` characters; the one that a name is kept under (`own`, a code) needs `own_least`. A title is
+    looked for where its longest word is: names' distinct words, without the names, meet titles by that word, and
+    what they meet is gathered for each name, which then is searched for it in its own row.
     """
-    t = titles.select(code, F.trim(name_words(F.col(title))).alias("words")).where(F.length("words") >= least)
-    t = t.withColumn("first", F.split_part("words", F.lit(" "), F.lit(1)))
-    n = names.select(key, name_words(F.col(name)).alias("text"))
-    if t.count() <= BROADCAST_TITLES:
-        met = n.select(key, "text", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("first")).join(F.broadcast(t), "first")
-    else:
-        first = n.select(key, F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("first"))
-        met = n.join(first.join(t, "first").select(key, code, "words").distinct(), key)
-    hit = met.withColumn("at", F.instr(F.col("text"), F.concat(F.lit(" "), "words", F.lit(" "))))
-    return hit.where("at > 0").select(key, code, "words", F.col("at").cast("long").alias("at"))
+    t = titles.select(code, F.trim(name_words(F.col(title))).alias("words")).where(F.length("words") >= (least if own is None else min(least, own_least))).distinct()
+    longest = F.array_max(F.transform(F.split("words", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    t = t.withColumn("word", longest)
+    n = names.select(key, *([own] if own else []), name_words(F.col(name)).alias("text"))
+    words = n.select(key, *([F.col(own).alias("_own")] if own else []), F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("word"))
+    met = words.join(F.broadcast(t) if t.count() <= BROADCAST_TITLES else t, "word")
+    if own is not None:
+        met = met.where((F.length("words") >= least) | ((F.col(code) == F.col("_own")) & (F.length("words") >= own_least)))
+    some = met.groupBy(key).agg(F.collect_set(F.struct(code, "words")).alias("_met"))
+    at = lambda c: F.instr(F.col("text"), F.concat(F.lit(" "), c["words"], F.lit(" "))).cast("long")
+    found = F.filter(F.transform("_met", lambda c: F.struct(c[code].alias(code), c["words"].alias("words"), at(c).alias("at"))), lambda c: c["at"] > 0)
+    return n.join(some, key).select(key, F.explode(found).alias("_hit")).select(key, f"_hit.{code}", "_hit.words", "_hit.at")
 
 
 def outermost(hits: DataFrame, key: str, code: str) -> DataFrame:

@@ -44,7 +44,7 @@ def _accents() -> tuple[str, str]:
 
 def without_accents(c: Column) -> Column:
     """Latin letters without their marks, whether these are part of a character or follow it."""
-    return F.regexp_replace(F.translate(c, *_accents()), r"\p{M}+", "")
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(F.translate(c, *_accents()), r"\p{M}+", ""))  # nothing to do in ASCII
 
 
 def _plain(text: str) -> str:

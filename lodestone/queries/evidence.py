@@ -14,7 +14,7 @@ from .common import table, terms_sql
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _T = f"SELECT item_id AS code, w[1] || ' ' || w[2] AS title FROM (SELECT item_id, {_W} AS w FROM benchmark) UNION ALL SELECT item_id + 1000, w[1] || ' ' || w[2] || ' ' || w[3] FROM (SELECT item_id, {_W} AS w FROM benchmark)"
 _D = "SELECT doc_id, doc_id % 40 AS own, ' ' || trim(regexp_replace(translate(replace(lower(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), '&', ' and '), '''’', ''), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents"
-_HITS = f"WITH t AS (SELECT code, title AS words FROM ({_T}) WHERE len(title) >= 8), d AS ({_D}), h AS (SELECT doc_id, own, code, words, strpos(t, ' ' || words || ' ') AS pos FROM d JOIN t ON contains(t, ' ' || words || ' '))"
+_HITS = f"WITH t AS (SELECT code, title AS words FROM ({_T}) WHERE len(title) >= 4), d AS ({_D}), h AS (SELECT doc_id, own, code, words, strpos(t, ' ' || words || ' ') AS pos FROM d JOIN t ON contains(t, ' ' || words || ' ') AND (len(words) >= 8 OR code = own))"
 
 
 def _titled(spark, sf_dir):
@@ -27,7 +27,7 @@ def _titled(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     docs, titles = _titled(spark, sf_dir)
-    return docs, names.contained(docs, "doc_id", "text", titles, "code", "title")
+    return docs, names.contained(docs, "doc_id", "text", titles, "code", "title", own="own")
 
 
 @query(_HITS + " SELECT doc_id, code, words, pos::BIGINT AS \"at\" FROM h")

@@ -241,7 +241,7 @@ def match_file(spark, sf_dir):
     """Segments of every conversation; held against a plain loop over the reference's steps in tests."""
     cues = _cues(spark, sf_dir)
     spoken = cues.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return match.segments(cues, table(spark, sf_dir, "benchmark").select("item_id", "text"), "conv_id", "item_id", background=spoken, stop=tfidf.english_stop_words())
+    return match.segments(cues, table(spark, sf_dir, "benchmark").select("item_id", "text"), "conv_id", "item_id", background=spoken, stop=tfidf.english_stop_words(), min_seconds=60.0)  # conversations are short
 
 
 @query(f"""WITH c AS (SELECT conv_id, string_agg(text, ' ') AS text FROM conversations GROUP BY 1), {terms_sql('rt', 'item_id', 'benchmark')}, {terms_sql('qt', 'conv_id', 'c')},

@@ -12,8 +12,12 @@ from lodestone.operators import match, tfidf
 from lodestone.operators.tfidf import _WORD, _plain
 
 
-def _plain_match(cues, refs, background, stop, min_seconds=60.0):
-    words = lambda t: [w for w in _WORD.findall(_plain(t)) if w not in stop]
+def _plain_match(cues, refs, background, stop, min_seconds=240.0):
+    def words(t):
+        """Single words and pairs of neighbours, stop words taken out before."""
+        w = [w for w in _WORD.findall(_plain(t)) if w not in stop]
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
     texts = [*refs.values(), *background.values()]
     df = Counter(w for t in texts for w in set(words(t)))
     n = len(texts)
@@ -78,8 +82,8 @@ def _plain_match(cues, refs, background, stop, min_seconds=60.0):
     return out
 
 
-@pytest.mark.parametrize("count", [40, 3])
-def test_segments_equal_plain_loops(spark, count):
+@pytest.mark.parametrize(("count", "limit"), [(40, {}), (3, {}), (40, {"min_seconds": 60.0})])
+def test_segments_equal_plain_loops(spark, count, limit):
     """Files made of passages of some references one after the other, with silence and words of their own."""
     import random
 
@@ -100,10 +104,10 @@ def test_segments_equal_plain_loops(spark, count):
     df = spark.createDataFrame(cues, "file long, start double, end double, text string")
     own = spark.createDataFrame(list(background.items()), "file long, text string")
     stop = tfidf.english_stop_words()
-    got = match.segments(df, spark.createDataFrame(list(refs.items()), "code long, text string"), "file", "code", background=own, stop=stop)
+    got = match.segments(df, spark.createDataFrame(list(refs.items()), "code long, text string"), "file", "code", background=own, stop=stop, **limit)
     got = got.orderBy("file", "segment").select("file", "start", "end", "code", "score", "margin", "confidence", F.col("alternatives.code"), "words").collect()
-    want = _plain_match(cues, refs, background, stop)
-    assert len(want) >= (12 if count > 3 else 4)
+    want = _plain_match(cues, refs, background, stop, **limit)
+    assert len(want) >= (8 if count > 3 else 4)
     for g, w in zip(map(tuple, got), want, strict=True):
         assert g[:4] == w[:4] and g[6:] == w[6:] and abs(g[4] - w[4]) < 2e-4 and abs(g[5] - w[5]) < 2e-4
 

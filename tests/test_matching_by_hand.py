@@ -69,6 +69,15 @@ def test_containment_by_broadcast_and_by_shuffle(spark, monkeypatch):
     assert {(k, c) for k, c, _, _ in few} == {(1, 10), (1, 11), (3, 10), (3, 11)}
 
 
+def test_short_titles_count_where_a_name_is_kept_under_them(spark):
+    docs = spark.createDataFrame([(1, 20, "show rain s01"), (2, 21, "show rain s01"), (3, 20, "rain and the big storm"), (3, 20, "another row"), (4, None, "rain fox")], "k int, own int, text string")
+    titles = spark.createDataFrame([(20, "Rain"), (21, "Fox"), (22, "The Big Storm"), (20, "Rain"), (23, None)], "code int, title string")
+    hits = names.contained(docs, "k", "text", titles, "code", "title", own="own")
+    assert sorted((r["k"], r["code"], r["at"]) for r in hits.collect()) == [(1, 20, 6), (3, 20, 1), (3, 22, 10)]  # places in " words between spaces "
+    got = {(r["k"], r["verdict"]) for r in names.verdict(hits, docs, "k", "code", "own").collect()}
+    assert got == {(1, "match"), (2, None), (3, "match"), (4, None)}
+
+
 @pytest.fixture
 def files_of(spark, tmp_path):
     def make(batches, schema):
