@@ -111,31 +111,36 @@ def powers(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any span of data in constant time.
-
-    spans: a polynomial modulo 2 ** 64, for triggers and contexts: spans that only hash alike are
-    compared further on. exact: one modulo 2 ** 61 - 1, for whole phrases: two different ones of n
-    bytes agree with a probability of n / 2 ** 61 at most, however they are made.
-    """
+    """Hashes of any span of data in constant time: a polynomial modulo 2 ** 64, for triggers and contexts, where spans
+    that only hash alike are told apart further on."""
 
     def __init__(self, data: np.ndarray):
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_OF_BYTE[data] * powers(_BASE, len(data)), out=self.total[1:])
         self.inverse = powers(_INVERSE, len(data) + 1)
-        assert len(data) < 1 << 23  # sums of bytes times halves of powers stay below 2 ** 64
-        self.halves = np.zeros((2, len(data) + 1), np.uint64)
-        value, power = data.astype(np.uint64) + np.uint64(1), powers(_X, len(data), _PRIME)
-        np.cumsum(value * (power & np.uint64((1 << 31) - 1)), out=self.halves[0, 1:])
-        np.cumsum(value * (power >> np.uint64(31)), out=self.halves[1, 1:])
 
     def spans(self, starts: np.ndarray, size) -> np.ndarray:
         return mix((self.total[starts + size] - self.total[starts]) * self.inverse[starts] + np.asarray(size).astype(np.uint64))
 
-    def exact(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        low, high = self.halves[:, starts + size] - self.halves[:, starts]
-        value = (low % _P + times(high % _P, np.uint64(1 << 31))) % _P
-        shifted = times(value, powers(pow(_X, -1, _PRIME), len(self.total), _PRIME)[starts])
-        return mix(shifted ^ mix(size.astype(np.uint64)))
+
+def exact_hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """A hash of data[start : start + size] for each of some rising starts, for whole phrases: a polynomial modulo
+    2 ** 61 - 1, by which two different ones of n bytes agree with a probability of n / 2 ** 61 at most, however
+    they are made. Running sums are kept for a block of starts at a time."""
+    out, longest = np.empty(len(starts), np.uint64), int(size.max(initial=0))
+    edges = np.searchsorted(starts, np.arange(0, len(data) + block, block))
+    half, inverse = np.uint64((1 << 31) - 1), pow(_X, -1, _PRIME)
+    for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if lo == hi:
+            continue
+        value = data[k * block : (k + 1) * block + longest].astype(np.uint64) + np.uint64(1)
+        power = powers(_X, len(value), _PRIME)
+        low, high = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * x)]) for x in (power & half, power >> np.uint64(31)))
+        at = starts[lo:hi] - k * block
+        end = at + size[lo:hi]
+        total = ((low[end] - low[at]) % _P + times((high[end] - high[at]) % _P, np.uint64(1 << 31))) % _P
+        out[lo:hi] = mix(times(total, powers(inverse, len(value), _PRIME)[at]) ^ mix(size[lo:hi].astype(np.uint64)))
+    return out
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -182,7 +187,7 @@ def phrases(data: np.ndarray, bounds: np.ndarray, length: int, trigger: int):
     before, behind = place - half, place + trigger + half
     left = np.where(before >= bounds[doc], hashes.spans(np.maximum(before, 0), half + trigger) | np.uint64(1), np.uint64(0))
     right = np.where(behind <= bounds[doc + 1], hashes.spans(np.minimum(place, n - half - trigger), half + trigger) | np.uint64(1), np.uint64(0))
-    return starts, count, place - starts, h[place], hashes.exact(starts, count + length - 1), left, right
+    return starts, count, place - starts, h[place], exact_hashes(data, starts, count + length - 1), left, right
 
 
 def packed(columns: list[np.ndarray]) -> bytes:

@@ -77,7 +77,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
-def shingle_sets(texts: pa.Array, size: int = 5, part: int = 2_000_000):
+def shingle_sets(texts: pa.Array, size: int = 5, part: int = 1_000_000):
     """For runs of rows: (first row, sorted distinct hashes of all rows one after the other, number of each row).
 
     Words are lower-cased (A-Z). A text of fewer than `size` words but one has its whole sequence as

@@ -295,11 +295,11 @@ def test_minhash_keeps_structured_words_apart(spark):
 def test_span_hashes_of_structured_bytes():
     data = np.frombuffer("".join(thue_morse(n, x) for n in (128, 1024, 4096) for x in ("ab", "ba")).encode(), np.uint8)
     starts, size = np.array([0, 128, 256, 1280, 2304, 6400]), np.array([128, 128, 1024, 1024, 4096, 4096])
-    hashes = repeats.Hashes(data)
-    assert len(set(hashes.exact(starts, size).tolist())) == 6
-    assert len(set((hashes.exact(starts[:2], size[:2]) & np.uint64((1 << 31) - 1)).tolist())) == 2
-    again = repeats.Hashes(np.concatenate([data[5:], data]))
-    assert (again.exact(starts + len(data) - 5, size) == hashes.exact(starts, size)).all()
+    hashes = repeats.exact_hashes(data, starts, size)
+    assert len(set(hashes.tolist())) == 6
+    assert len(set((hashes[:2] & np.uint64((1 << 31) - 1)).tolist())) == 2
+    for block in (1 << 18, 1000, 7):
+        assert (repeats.exact_hashes(np.concatenate([data[5:], data]), starts + len(data) - 5, size, block) == hashes).all()
     r = np.random.default_rng(1)
     a, b = r.integers(0, repeats._PRIME, (2, 2000), dtype=np.uint64)
     assert repeats.times(a, b).tolist() == [x * y % repeats._PRIME for x, y in zip(a.tolist(), b.tolist(), strict=True)]
