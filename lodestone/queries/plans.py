@@ -8,6 +8,7 @@ from ..operators import views as V
 from ..plans import build as B
 from ..plans import chain
 from ..plans import claims as P
+from ..plans import history as H
 from ..registry import query
 from .common import table
 
@@ -125,3 +126,47 @@ def settings_import(spark, sf_dir):
     remote = table(spark, sf_dir, "part").select(name.alias("name"), value.alias("value"), F.when(k % 5 == 0, "anime").otherwise("standard").alias("type"), "p_partkey")
     out = V.imported_settings(remote.withColumn("value", F.concat("value", F.lit("|"), "p_partkey")), {"standardEpisodeFormat": "naming_format", "seasonFolderFormat": "season_folder_format"})
     return out.select(F.regexp_extract("value", r"\|(\d+)$", 1).cast("long").alias("p_partkey"), "name", "note")
+
+
+def _two_applies(spark, sf_dir):
+    """Files f(k) trade places in pairs, and then every third place's file goes on to a new name."""
+    k = F.col("o_orderkey")
+    other = k + 1 - 2 * (k % 2)
+    moves = table(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("f"), k).alias("src"), F.concat(F.lit("f"), other).alias("dst"), other.alias("other"))
+    first = P.rename_ops(moves.select("src", "dst"), "src", "dst")
+    second = moves.where("other % 3 = 0").select((F.lit(1 << 40) + F.col("other")).alias("ordinal"), F.lit("move").alias("op"), F.col("dst").alias("src"), F.concat(F.lit("g"), "other").alias("dst"))
+    return moves, first.unionByName(second)
+
+
+@query("WITH m AS (SELECT o_orderkey AS k, o_orderkey + 1 - 2 * (o_orderkey % 2) AS other, o_totalprice AS price FROM orders) SELECT 'f' || k AS file, 'f' || k AS before, price FROM m")
+def scan_after_undo(spark, sf_dir):
+    """A scan made after two applies, brought back through the log to the names before both."""
+    moves, ops = _two_applies(spark, sf_dir)
+    place = F.when(F.col("other") % 3 == 0, F.concat(F.lit("g"), "other")).otherwise(F.col("dst"))
+    price = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    return H.restored(moves.join(price, "k").select(place.alias("file"), F.col("src").alias("before"), "price"), ops)
+
+
+@query("WITH m AS (SELECT o_orderkey AS k, o_orderkey + 1 - 2 * (o_orderkey % 2) AS other FROM orders) SELECT CASE WHEN other % 3 = 0 THEN 'g' ELSE 'f' END || other AS now, 'f' || k AS before FROM m")
+def names_before_applies(spark, sf_dir):
+    return H.names_before(_two_applies(spark, sf_dir)[1])
+
+
+@query("SELECT 'o' || o_orderkey AS file, CASE WHEN o_orderkey % 3 != 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN ['new'] ELSE ['old'] END AS expected FROM orders WHERE o_orderkey % 5 != 0")
+def scan_with_new_files(spark, sf_dir):
+    """The last scan has two thirds of the files, the listing four fifths."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("file", F.concat(F.lit("o"), k))
+    scan = o.where("o_orderkey % 3 != 0").select("file", F.col("o_orderstatus").alias("status"), F.array(F.lit("old")).alias("expected"))
+    return H.with_new_files(scan, o.where("o_orderkey % 5 != 0").select("file", F.array(F.lit("new")).alias("expected")))
+
+
+_PAGE = r"SELECT page_id, page_id % 20 AS site, url AS page, regexp_extract(url, '//([^/.:]+)', 1) AS title FROM pages WHERE url IS NOT NULL"
+
+
+@query(f"""WITH p AS ({_PAGE}), q AS (SELECT site, page_id, left(page, strpos(page, title) - 1) || '{{title}}' || substr(page, strpos(page, title) + length(title)) AS pattern FROM p WHERE title != '' AND strpos(page, title) > 0)
+SELECT site, pattern, n FROM (SELECT site, pattern, count(*) AS n, row_number() OVER (PARTITION BY site ORDER BY count(*) DESC, min(page_id), pattern) AS k FROM q GROUP BY site, pattern) WHERE k = 1""")
+def page_pattern(spark, sf_dir):
+    """The form that most addresses of a site have, host names as titles."""
+    p = table(spark, sf_dir, "pages").where("url is not null")
+    return H.page_pattern(p.select((F.col("page_id") % 20).alias("site"), "page_id", F.col("url").alias("page"), F.regexp_extract("url", "//([^/.:]+)", 1).alias("title")), "site", "page", "title", "page_id")
