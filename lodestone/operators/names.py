@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import name_words, norm_title
+from ..storage import stored
 
 
 #: Up to this many titles are broadcast (about 100 bytes each); beyond it, they are joined by a shuffle.
@@ -96,20 +97,25 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, ref: str, least: fl
 
 
 def greedy_pairs(pairs: DataFrame, group: str, key: str, ref: str) -> DataFrame:
-    """One to one assignment within each group, best score first, ties by key and ref."""
-    schema = pairs.select(group, key, ref, "score").schema
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        for r in rows.sort_values(["score", key, ref], ascending=[False, True, True]).itertuples():
-            a, b = getattr(r, key), getattr(r, ref)
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                keep.append(r.Index)
-        return rows.loc[keep, [group, key, ref, "score"]]
-
-    return pairs.groupBy(group).applyInPandas(assign, schema)
+    """One to one assignment within each group, best score first, ties by key and ref.
+
+    In rounds: a pair that is the best one left both for its key and for its ref is what the greedy order takes before
+    any other pair of either; all such pairs are taken at once, theirs are left out, until no pair is left. A
+    round takes the best pair of each group at least, and each is two aggregates and two joins, whatever the size of a group.
+    """
+    left = stored(pairs.select(group, key, ref, "score").distinct(), "pairs")
+    taken = left.limit(0)
+    order = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.col(ref).alias("r"))
+    while not left.isEmpty():
+        ranked = left.withColumn("_o", order)
+        best = ranked.groupBy(group, key).agg(F.min("_o").alias("_a"))
+        other = ranked.groupBy(F.col(group).alias("_g"), ref).agg(F.min("_o").alias("_b"))
+        both = best.join(other, [F.col("_a") == F.col("_b"), F.col(group).eqNullSafe(F.col("_g"))])
+        now = stored(both.select(group, F.col("_a.k").alias(key), F.col("_a.r").alias(ref), (-F.col("_a.s")).alias("score")), "taken")
+        taken = taken.unionByName(now)
+        free = left.join(now.select(F.col(group).alias("_g"), F.col(key).alias("_k")), F.col(group).eqNullSafe(F.col("_g")) & (F.col(key) == F.col("_k")), "left_anti")
+        left = stored(free.join(now.select(F.col(group).alias("_g"), F.col(ref).alias("_r")), F.col(group).eqNullSafe(F.col("_g")) & (F.col(ref) == F.col("_r")), "left_anti"), "pairs")
+    return taken
 
 
 def unique_code(scored: DataFrame, key: str, ref: str, sure: float = 0.92) -> DataFrame:

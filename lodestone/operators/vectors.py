@@ -4,28 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def nearest(vectors: DataFrame, key: str, group: str, vector: str, ref: str, k: int, digits: int = 5, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, group: str, vector: str, ref: str, k: int, digits: int = 5, block: int = 2048, asking: Column | None = None) -> DataFrame:
     """key, ref and score of the k vectors of its group that are most like each vector, ties by ref.
 
     A group's vectors are dealt to blocks, and each pair of blocks is a task's matter: all pairs are scored, but
     only k of a vector and block become rows. Null and zero vectors and null groups have no score; vectors of
-    different lengths, and rows with one and the same key, are not compared.
+    different lengths, and rows with one and the same key, are not compared. asking: which rows to answer for, all without it.
     """
-    rows = vectors.select(F.col(key).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select((F.lit(True) if asking is None else asking).alias("_asks"), F.col(key).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.where("id is not null and g is not null and exists(v, x -> x != 0) and not exists(v, x -> x is null or isnan(x))").withColumn("n", F.size("v"))
     counts = rows.groupBy("g", "n").agg(F.ceil(F.count("*") / block).alias("parts"))
     dealt = rows.join(counts, ["g", "n"]).withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    asked = dealt.select("g", "n", F.col("own").alias("q"), every.alias("r"), F.lit(True).alias("asks"), "id", "v")
+    asked = dealt.where("_asks").select("g", "n", F.col("own").alias("q"), every.alias("r"), F.lit(True).alias("asks"), "id", "v")
     held = dealt.select("g", "n", every.alias("q"), F.col("own").alias("r"), F.lit(False).alias("asks"), "id", "v")
 
     def best(cell: pa.Table) -> pa.Table:
         asks, ids = cell.column("asks").to_numpy(), cell.column("id").to_numpy()
+        if not asks.any():
+            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x = cell.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         x = x / np.sqrt((x * x).sum(1))[:, None]
         order = np.argsort(ids[~asks], kind="stable")

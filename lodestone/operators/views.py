@@ -31,9 +31,14 @@ def bucket_sums(files: DataFrame, *bucket: str | Column, size: str = "size") ->
     return files.groupBy(*bucket).agg(F.count("*").alias("files"), F.sum(size).cast("long").alias("bytes"))
 
 
-def pruned(cache: DataFrame, live: DataFrame, key: str) -> DataFrame:
-    """What of a cache no file needs any more."""
-    return cache.join(live.select(key).distinct(), key, "left_anti")
+def pruned(cache: DataFrame, live: DataFrame, key: str, roots: DataFrame | None = None) -> DataFrame:
+    """What of a cache no file needs any more. roots (root, there): as long as one of them is missing nothing is given up,
+    since its files may only be out of reach."""
+    gone = cache.join(live.select(key).distinct(), key, "left_anti")
+    if roots is None:
+        return gone
+    all_there = roots.agg(F.coalesce(F.bool_and(F.coalesce("there", F.lit(False))), F.lit(True)).alias("_there"))
+    return gone.crossJoin(F.broadcast(all_there)).where("_there").drop("_there")  # one row
 
 
 def too_little_room(needed: Column, free: Column, least: float, share: float) -> Column:

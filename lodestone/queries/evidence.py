@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cards, names, references, tfidf, vectors, views
+from ..operators import cards, names, references, vectors, views
 from ..registry import query
 from ..sources import subtitles
 from .common import table, terms_sql
@@ -223,18 +223,13 @@ def verify_flagged(spark, sf_dir):
     return references.verify_flagged(refs, "item_id")
 
 
-@query("SELECT e.vec_id, o.vec_id AS other, round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) AS score FROM embeddings e JOIN embeddings o ON e.label = o.label AND o.vec_id < 20 AND o.vec_id != e.vec_id QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) DESC, o.vec_id) <= 2")
-def embedding_topk(spark, sf_dir):
-    """Dense scores of vectors against the reference vectors of their label, the two best."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    refs = e.where("vec_id < 20").select(F.col("vec_id").alias("other"), "label", F.col("v").alias("r"))
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    times = lambda a, b: add(F.zip_with(a, b, lambda x, y: x * y))
-    score = times("v", "r") / (F.sqrt(times("v", "v")) * F.sqrt(times("r", "r")))
-    return tfidf.top(e.join(refs, "label").where("vec_id != other").select("vec_id", "other", score.alias("score")), "vec_id", "other", 2, 5).select("vec_id", "other", "score")
-
-
 @query("SELECT e.vec_id, o.vec_id AS other, round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) AS score FROM embeddings e JOIN embeddings o ON e.label = o.label AND o.vec_id != e.vec_id QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) DESC, o.vec_id) <= 2")
 def embedding_topk_whole(spark, sf_dir):
     """Dense scores of vectors against all other vectors of their label, the two best."""
     return vectors.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", "other", 2)
+
+
+@query("SELECT e.vec_id, o.vec_id AS other, round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) AS score FROM embeddings e JOIN embeddings o ON e.label = o.label AND o.vec_id != e.vec_id AND e.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 5) DESC, o.vec_id) <= 2")
+def embedding_topk(spark, sf_dir):
+    """The search: every fiftieth vector asks, and all vectors of its label are looked at."""
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", "other", 2, asking=F.col("vec_id") % 50 == 0)

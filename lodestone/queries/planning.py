@@ -206,7 +206,7 @@ def _releases(spark, sf_dir):
     want = j.where("l_linenumber = 1").groupBy("o_custkey").agg(F.sort_array(F.collect_set(code)).alias("want"))
     rel = j.groupBy("o_custkey", F.col("o_orderkey").alias("guid")).agg(F.sort_array(F.collect_set(code)).alias("has"), (F.min("l_returnflag") == "R").alias("rejected"), (F.min("l_linestatus") == "O").alias("same_quality"), (F.max("l_quantity") > 40).alias("preferred"), F.min("l_tax").alias("age"))
     c = rel.join(want, "o_custkey")
-    return c.withColumns({"covers": F.sort_array(F.array_intersect("has", "want")), "extra": F.sort_array(F.array_except("has", "want")), "kind_rank": F.lit(0)})
+    return c.withColumns({"covers": F.sort_array(F.array_intersect("has", "want")), "extra": F.sort_array(F.array_except("has", "want")), "kind_rank": F.when(F.size("has") > 4, 0).otherwise(1)})  # a pack of several is looked at first
 
 
 @query(_REL + " SELECT guid, covers, extra FROM c")
@@ -214,7 +214,7 @@ def covers_extra_fills(spark, sf_dir):
     return _releases(spark, sf_dir).select("guid", "covers", "extra")
 
 
-@query(_REL + ", k AS (SELECT o_custkey, guid, row_number() OVER (PARTITION BY o_custkey ORDER BY len(covers) DESC, len(extra), rejected, same DESC, preferred DESC, age, guid) AS place FROM c) SELECT o_custkey, guid, place FROM k WHERE place <= 8")
+@query(_REL + ", k AS (SELECT o_custkey, guid, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN len(has) > 4 THEN 0 ELSE 1 END, len(covers) DESC, len(extra), rejected, same DESC, preferred DESC, age, guid) AS place FROM c) SELECT o_custkey, guid, place FROM k WHERE place <= 8")
 def release_rank(spark, sf_dir):
     from pyspark.sql.window import Window
 

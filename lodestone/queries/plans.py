@@ -25,7 +25,7 @@ def plan_input(spark, sf_dir):
         F.when(F.col("l_discount") > 0.01, "high").otherwise("low").alias("confidence"), F.when((F.col("l_discount") <= 0.01) & (F.col("l_suppkey") % 3 == 0), _code(F.col("l_suppkey") % 40)).alias("model_code"),
         F.lit(None).cast("string").alias("override"), (F.col("l_suppkey") % 11 == 0).alias("title_card"),
     )
-    files = li.where("l_linenumber <= 3").groupBy("file", "l_orderkey").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
+    files = li.groupBy("file", "l_orderkey").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
     first = F.get("segments", F.lit(0))["code"]
     k = F.col("l_orderkey")
     named = F.when(k % 4 == 0, F.array(first)).when(k % 4 == 1, F.array(_code(k % 40))).when(k % 4 == 2, F.transform("segments", lambda s: s["code"])).otherwise(F.array(first, F.when(k % 3 == 0, "S09E01").otherwise(_code((k + 1) % 40))))

@@ -66,7 +66,8 @@ def renumber_moves(spark, sf_dir):
 
 @query("SELECT user_id, event_type, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY 1, 2")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(S.upper_median(F.collect_list("value")).alias("median"))
+    e = table(spark, sf_dir, "events").withColumn("k", F.struct("user_id", "event_type"))
+    return S.upper_medians(e, "k", "value").select("k.user_id", "k.event_type", F.col("middle").alias("median"))
 
 
 @query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS k FROM events GROUP BY 1, 2) WHERE k = 1")

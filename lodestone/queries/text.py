@@ -220,7 +220,7 @@ _SPK = "^\\s*([A-Z][\\w.''’&\\- ]{0,40}?)(?:\\s*\\([^)]{0,40}\\))?\\s*:\\s+(\\
 
 
 def _pages(spark, sf_dir):
-    line = F.concat(F.upper(F.left("role", F.lit(1))), F.substring("role", 2, 100), F.lit(": "), F.translate("text", "\n\r", "  "), F.lit(" [waves]"))
+    line = F.concat(F.upper(F.left("role", F.lit(1))), F.substring(F.col("role"), F.lit(2), F.length("role")), F.lit(": "), F.translate("text", "\n\r", "  "), F.lit(" [waves]"))
     pages = _talk(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("b")))).alias("x"))
     return pages.select("conv_id", F.array_join(F.transform("x", lambda y: y["b"]), "\n").alias("page"))
 
