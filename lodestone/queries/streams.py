@@ -8,7 +8,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import alnum
 from ..registry import query
-from ..streaming import grabs
+from ..sources import probe
+from ..streaming import downloads, grabs
 from .common import scratch, table
 
 
@@ -99,3 +100,98 @@ def queue_match(spark, sf_dir):
     q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), (F.col("p_partkey") % 50).alias("download_id"), alnum(F.col("p_name")).alias("norm"), F.col("p_size").alias("episode"))
     one = lambda c, p, name: q.select(c).distinct().select(c, F.concat(F.lit(p), F.col(c).cast("string")).alias(name))
     return grabs.queue_match(q, one("download_id", "d", "grab_by_id").where("download_id < 10"), one("norm", "t", "grab_by_title").where("norm < 'm'"), one("episode", "e", "grab_by_episode").where("episode > 25"))
+
+
+# ---- streams that are fed piece by piece: each piece is a micro-batch, some rows come a piece late
+def _fed(spark, pieces, build, mode: str = "append") -> DataFrame:
+    """Write one piece after the other into a folder, and run the stream over it to its end after each."""
+    path = scratch(spark, "fed")
+    schema = None
+    for piece in pieces:
+        piece.write.mode("append").parquet(f"{path}/in")
+        stream = build(spark.readStream.schema(piece.schema).parquet(f"{path}/in"))
+        schema = stream.schema
+
+        def keep(rows: DataFrame, k: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{path}/out/batch={k}")
+
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out").drop("batch")
+
+
+def _pieces(events, n: int = 3):
+    """Events in pieces of ten days; of the last five minutes of each, every third comes with the next piece."""
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    start, size = 1704067200, 10 * 86400
+    piece = F.floor((at - start) / size)
+    late = (F.floor((at + 300 - start) / size) > piece) & (F.col("event_id") % 3 == 0)
+    numbered = events.withColumn("_piece", F.greatest(F.lit(0), F.least(F.lit(n - 1), F.when(late, piece + 1).otherwise(piece))))
+    return [numbered.where(F.col("_piece") == k).drop("_piece") for k in range(n)]
+
+
+@query(_SESS + """, c AS (SELECT user_id, epoch_us(min(ts)) // 1000000 AS start, count(*) AS n, max(ts) AS last FROM g GROUP BY user_id, s)
+SELECT user_id, start, n FROM c WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_closed_sessions(spark, sf_dir):
+    """Sessions that the watermark has closed, each once; what is closed is dropped from the state."""
+    build = lambda s: grabs.sessions(s, "user_id", "ts", "30 minutes").select("user_id", F.unix_timestamp("start").alias("start"), "n")
+    return _fed(spark, _pieces(table(spark, sf_dir, "events")), build)
+
+
+@query("""SELECT start, count(*) AS n FROM (SELECT floor(epoch(ts) / 3600)::BIGINT * 3600 - o * 3600 AS start FROM events, range(2) t(o)) GROUP BY start
+HAVING start + 7200 <= (SELECT epoch(max(ts)) - 600 FROM events)""")
+def stream_closed_hops(spark, sf_dir):
+    build = lambda s: grabs.hops(s, "ts", "2 hours", "1 hour").select(F.unix_timestamp("start").alias("start"), "n")
+    return _fed(spark, _pieces(table(spark, sf_dir, "events")), build)
+
+
+_MSG = "SELECT user_id % 40 AS series, CASE WHEN event_id % 5 != 0 THEN 'e' || (event_id % 30) || '.mkv' END AS rel, CASE event_type WHEN 'view' THEN 'Test' WHEN 'click' THEN 'Rename' ELSE 'Download' END AS event FROM events"
+
+
+@query(f"SELECT DISTINCT series, rel FROM ({_MSG}) WHERE event = 'Download' AND series % 3 = 0 AND rel IS NOT NULL")
+def stream_imports(spark, sf_dir):
+    """JSON messages of imports in pieces, joined with a table of series; a file counts once within 40 days, after which the state forgets it."""
+    k = F.col("event_id")
+    event = F.when(F.col("event_type") == "view", "Test").when(F.col("event_type") == "click", "Rename").otherwise("Download")
+    raw = F.to_json(F.struct(event.alias("eventType"), F.struct((F.col("user_id") % 40).alias("id")).alias("series"), F.struct(F.when(k % 5 != 0, F.concat(F.lit("e"), k % 30, F.lit(".mkv"))).alias("relativePath")).alias("episodeFile")))
+    pieces = [p.select(F.col("ts").cast("timestamp").alias("time"), raw.alias("raw")) for p in _pieces(table(spark, sf_dir, "events"))]
+    known = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("series")).where("series % 3 = 0").distinct()
+
+    def build(stream):
+        read = probe.import_events(stream.withWatermark("time", "40 days"), known, carried=("time",)).where("ignored is null")
+        return read.dropDuplicatesWithinWatermark(["series", "rel"]).select("series", "rel")
+
+    return _fed(spark, pieces, build)
+
+
+@query("""WITH b AS (SELECT o_custkey AS series, CASE WHEN o_orderkey % 4 < 2 THEN 1 ELSE 2 END AS batch, o_orderkey % 50 AS rel, o_orderkey % 4 < 2 OR o_custkey % 2 = 0 AS started FROM orders WHERE o_orderkey % 4 != 3 GROUP BY ALL),
+l AS (SELECT series, max(batch) AS last, max(batch) FILTER (NOT started) AS open FROM b GROUP BY 1),
+a AS (SELECT DISTINCT o_custkey AS series, o_orderkey % 60 AS rel FROM orders WHERE o_orderkey % 3 = 0),
+n AS (SELECT a.series, coalesce(open, last + 1, 1) AS batch, rel, false AS started FROM a LEFT JOIN l USING (series) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.series = a.series AND b.rel = a.rel AND NOT started))
+SELECT series, batch::BIGINT AS batch, rel, started FROM (SELECT * FROM b UNION ALL SELECT * FROM n)""")
+def waiting_batches(spark, sf_dir):
+    """Arrivals join the batch of their series that still waits, or open the next."""
+    o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    b = o.where(k % 4 != 3).select(c.alias("series"), F.when(k % 4 < 2, 1).otherwise(2).cast("long").alias("batch"), (k % 50).alias("rel"), ((k % 4 < 2) | (c % 2 == 0)).alias("started")).distinct()
+    return grabs.joined_batches(b, o.where(k % 3 == 0).select(c.alias("series"), (k % 60).alias("rel")))
+
+
+def _download_events(e):
+    kinds = F.array(*map(F.lit, ("queued", "absent", "blocked", "imported", "queued", "absent", "queued", "failed")))
+    at = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
+    grab = F.col("user_id") * 100 + F.floor(F.dayofmonth("ts") / 3)
+    kind = F.when(F.col("event_type") == "signup", "grabbed").otherwise(F.get(kinds, (F.col("event_id") % 8).cast("int")))
+    return e.select(grab.alias("grab"), at.alias("at"), kind.alias("kind"))
+
+
+@query()
+def followed_downloads(spark, sf_dir):
+    """What comes of each download up to ten minutes before the last event, from all events at once."""
+    rows = _download_events(table(spark, sf_dir, "events"))
+    now = rows.agg(F.max("at")).first()[0] or 0.0
+    return downloads.followed(rows, "grab", float(int(now)) - 600)
+
+
+@query()
+def stream_downloads(spark, sf_dir):
+    """The same as `followed_downloads`, from a stream in pieces with late rows."""
+    return _fed(spark, [_download_events(p) for p in _pieces(table(spark, sf_dir, "events"))], lambda s: downloads.follow(s, "grab"))

@@ -76,14 +76,14 @@ def pages_found(finds: list[tuple[str, DataFrame]], enough: int = 20) -> DataFra
 EVENT = "eventType string, series struct<id:long>, episodeFile struct<relativePath:string>"
 
 
-def import_events(messages: DataFrame, known: DataFrame, raw: str = "raw") -> DataFrame:
-    """series, rel and why a message is ignored (null: it isn't): only downloads of known series with a file
-    count. Works on streams, with `known` (series) as a table."""
+def import_events(messages: DataFrame, known: DataFrame, raw: str = "raw", carried: tuple[str, ...] = ()) -> DataFrame:
+    """series, rel and why a message is ignored (null: it isn't), and carried columns: only downloads of known series with a
+    file count. Works on streams, with `known` (series) as a table."""
     m = F.from_json(raw, EVENT)
-    rows = messages.select(m.alias("m")).select(F.col("m.series.id").alias("series"), F.col("m.episodeFile.relativePath").alias("rel"), F.coalesce("m.eventType", F.lit("unknown")).alias("event"))
+    rows = messages.select(*carried, m.alias("m")).select(*carried, F.col("m.series.id").alias("series"), F.col("m.episodeFile.relativePath").alias("rel"), F.coalesce("m.eventType", F.lit("unknown")).alias("event"))
     rows = rows.join(known.select("series", F.lit(True).alias("_known")), "series", "left")
     why = F.when(F.col("event") == "Test", "test").when(F.col("event") != "Download", F.concat("event", F.lit(" event"))).when(F.col("_known").isNull(), "unknown series").when(F.coalesce("rel", F.lit("")) == "", "no file")
-    return rows.select("series", "rel", why.alias("ignored"))
+    return rows.select("series", "rel", why.alias("ignored"), *carried)
 
 
 def pasted_reference(raw: Column, least_chars: int = 200, least_words: int = 50) -> Column:

@@ -74,6 +74,16 @@ def import_batches(imports: DataFrame, handle: Callable[[DataFrame, int], None],
     return once.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
+def joined_batches(batches: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Batches of imports (series, batch, rel, started) after arrivals (series, rel): these join their series' batch
+    that hasn't started yet, or open the next one; what waits there already isn't added again."""
+    last = batches.groupBy("series").agg(F.max("batch").alias("_last"), F.max(F.when(~F.col("started"), F.col("batch"))).alias("_open"))
+    new = arrivals.select("series", "rel").distinct().join(last, "series", "left")
+    new = new.select("series", F.coalesce("_open", F.col("_last") + 1, F.lit(1)).cast("long").alias("batch"), "rel", F.lit(False).alias("started"))
+    fresh = new.join(batches.where("not started").select("series", "rel"), ["series", "rel"], "left_anti")
+    return batches.select("series", "batch", "rel", "started").unionByName(fresh.select("series", "batch", "rel", "started"))
+
+
 def sessions(events: DataFrame, key: str, time: str, gap: str, late: str = "10 minutes") -> DataFrame:
     """Runs of events with gaps below `gap`, with a watermark on streams."""
     timed = events.withColumn(time, F.col(time).cast("timestamp"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from conftest import SMALL_SF_DIR
 
+import lodestone.queries  # noqa: F401
+from lodestone import registry
 from lodestone.streaming import downloads
 
 SCHEMA = "grab long, at double, kind string"
@@ -101,3 +104,8 @@ def test_stream_of_late_rows_equals_the_batch_form(spark, tmp_path, seed):
     assert sum(p["numInputRows"] > 0 for p in q.recentProgress) >= 4
     want = {tuple(r) for r in downloads.followed(spark.createDataFrame(rows, SCHEMA), "grab", 900_000.0 - 600).collect()}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stream_in_pieces_equals_all_at_once(spark):
+    rows = {name: sorted(map(tuple, registry.QUERIES[name](spark, SMALL_SF_DIR).collect())) for name in ("followed_downloads", "stream_downloads")}
+    assert rows["followed_downloads"] == rows["stream_downloads"] and len(rows["stream_downloads"]) > 50
