@@ -216,7 +216,7 @@ def clock_format(spark, sf_dir):
 
 # ---- transcripts: a conversation as a page, one labelled line a turn
 _PAGE = "SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || replace(replace(text, chr(10), ' '), chr(13), ' ') || ' [waves]', chr(10) ORDER BY turn) AS page FROM conversations GROUP BY conv_id"
-_SPK = "^\\s*([A-Z][\\w.''’&\\- ]{0,40}?)(?:\\s*\\([^)]{0,40}\\))?\\s*:\\s+(\\S.*)$"
+_SPK = X.SPEAKER.replace("'", "''")
 
 
 def _pages(spark, sf_dir):
