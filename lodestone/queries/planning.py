@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import views
 from ..plans import claims as P
+from ..plans import releases as R
 from ..registry import query
 from .common import table
 
@@ -234,3 +235,47 @@ def set_cover(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderpriority NOT LIKE '%URGENT%' AND o_orderpriority NOT LIKE '%HIGH%' AS soft FROM orders")
 def soft_hard(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", views.soft(F.array("o_orderpriority"), "URGENT|HIGH").alias("soft"))
+
+
+# ---- what releases mean: an order is a release; its lines are titles in its name, or numbers alone
+_MEAN = """WITH r AS (SELECT o_orderkey AS guid, o_custkey, list_sort(list(DISTINCT l_partkey % 30)) AS codes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+w AS (SELECT o_custkey, list_sort(list(DISTINCT l_partkey % 30)) AS want FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 AND o_orderkey % 3 = 0 GROUP BY 1),
+x AS (SELECT guid, r.o_custkey, CASE WHEN guid % 4 < 2 THEN codes ELSE [] END AS named, CASE WHEN guid % 4 = 3 THEN codes[1:2] ELSE [] END AS mapped, guid % 8 = 2 AS season, want, [c FOR c IN [guid % 30, (guid + 1) % 30] IF NOT list_contains(want, c)] AS fill FROM r JOIN w USING (o_custkey)),
+k AS (SELECT *, CASE WHEN len(named) > 0 THEN CASE WHEN list_has_any(named, want) THEN 'title' END WHEN season THEN 'pack' WHEN len(mapped) > 0 AND list_has_all(want, mapped) THEN 'numbers' END AS kind FROM x),
+m AS (SELECT guid, kind, CASE kind WHEN 'title' THEN list_sort([c FOR c IN named IF list_contains(want, c)]) WHEN 'pack' THEN want ELSE list_sort([c FOR c IN want IF list_contains(mapped, c)]) END AS covers,
+ CASE WHEN kind = 'title' THEN list_sort([c FOR c IN named IF NOT list_contains(want, c) AND NOT list_contains(fill, c)]) ELSE [] END AS extra, CASE WHEN kind = 'title' THEN list_sort([c FOR c IN named IF list_contains(fill, c)]) ELSE [] END AS fills, want FROM k WHERE kind IS NOT NULL)"""
+
+
+def _meant(spark, sf_dir):
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    j = o.join(li, F.col("l_orderkey") == F.col("o_orderkey"))
+    code, k = F.col("l_partkey") % 30, F.col("guid")
+    want = j.where("l_linenumber <= 2 and o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.sort_array(F.collect_set(code)).alias("want"))
+    rows = j.groupBy(F.col("o_orderkey").alias("guid"), "o_custkey").agg(F.sort_array(F.collect_set(code)).alias("codes")).join(want, "o_custkey")
+    none = F.array().cast("array<bigint>")
+    rows = rows.select("guid", F.when(k % 4 < 2, F.col("codes")).otherwise(none).alias("named"), F.when(k % 4 == 3, F.slice("codes", 1, 2)).otherwise(none).alias("mapped"), (k % 8 == 2).alias("full_season"), "want", F.array(k % 30, (k + 1) % 30).alias("fill"))
+    return R.meanings(rows)
+
+
+@query(_MEAN + " SELECT guid, kind, covers, extra, fills FROM m")
+def release_meanings(spark, sf_dir):
+    return _meant(spark, sf_dir).select("guid", "kind", *[F.sort_array(c).alias(c) for c in ("covers", "extra", "fills")])
+
+
+@query(_MEAN + " SELECT guid FROM m WHERE kind = 'title' AND len(extra) = 0 AND guid % 5 != 0 AND guid % 7 != 0 AND list_has_all(covers, want[1:1]) AND guid % 11 != 0 AND guid % 100 NOT IN (SELECT guid % 100 FROM m WHERE guid % 33 = 0)")
+def fetchable_releases(spark, sf_dir):
+    """Releases with the wanted titles and nothing else that were not tried, nor another one of their name."""
+    k = F.col("guid")
+    c = _meant(spark, sf_dir).withColumns({"norm": (k % 100).cast("string"), "hard": k % 5 == 0, "imported": k % 7 == 0, "need": F.slice("want", 1, 1)})
+    tried = c.select("guid", F.when(k % 33 == 0, F.col("norm")).alias("norm")).where("guid % 11 = 0")
+    return R.fetchable(c, tried).select("guid")
+
+
+@query(f"""WITH r AS ({_SW}), o AS (SELECT l_suppkey, named AS x, holds AS y, min(l_orderkey) AS first FROM r WHERE named != holds GROUP BY 1, 2, 3),
+p AS (SELECT a.l_suppkey, a.x, a.y FROM o a JOIN o b ON a.l_suppkey = b.l_suppkey AND a.x = b.y AND a.y = b.x WHERE a.x < a.y)
+SELECT l_suppkey, x, y FROM p WHERE NOT ((x + y) % 3 = 0 AND x + 10 >= l_suppkey % 20)""")
+def ref_swaps_since(spark, sf_dir):
+    """Swapped references, but those that were swapped back after the scan."""
+    pairs = ref_swaps(spark, sf_dir).select("l_suppkey", "x", "y", (F.col("l_suppkey") % 20).alias("scanned"))
+    done = pairs.where((F.col("x") + F.col("y")) % 3 == 0).select("l_suppkey", F.col("y").alias("x"), F.col("x").alias("y"), (F.col("x") + 10).alias("at"))
+    return R.swaps_since(pairs, done, "l_suppkey").select("l_suppkey", "x", "y")
