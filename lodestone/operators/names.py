@@ -27,7 +27,8 @@ def contained(names: DataFrame, key: str, name: str, titles: DataFrame, code: st
     t = titles.select(code, F.trim(name_words(F.col(title))).alias("words")).where(F.length("words") >= (least if own is None else min(least, own_least))).distinct()
     longest = F.array_max(F.transform(F.split("words", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     t = t.withColumn("word", longest)
-    n = names.select(key, *([own] if own else []), name_words(F.col(name)).alias("text"))
+    # names are dealt out by key once: what they meet is gathered, and met by its name, without another shuffle
+    n = names.select(key, *([own] if own else []), name).repartition(F.col(key)).select(key, *([own] if own else []), name_words(F.col(name)).alias("text"))
     words = n.select(key, *([F.col(own).alias("_own")] if own else []), F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("word"))
     met = words.join(F.broadcast(t) if t.count() <= BROADCAST_TITLES else t, "word")
     if own is not None:

@@ -62,7 +62,9 @@ def plain_words(texts: pd.Series) -> pd.Series:
 def counts(texts: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), bigrams: bool = False, plain: bool = False) -> DataFrame:
     """key, term and n, how often a text has it: words in lower case without Latin accents, stop words
     removed, then pairs of neighbours. With `plain`, characters of all scripts are decomposed, in Python.
-    Pairs are made within the row, and a text's terms are counted in its own task before the shuffle."""
+    Texts are dealt out by key once, before anything is done with them: few large files don't keep the work in few
+    tasks, and counts by key and term, and what follows by key, need no shuffle of terms."""
+    texts = texts.select(key, text).repartition(F.col(key))
     words = plain_words(F.col(text)) if plain else F.regexp_extract_all(without_accents(F.lower(F.coalesce(F.col(text), F.lit("")))), F.lit(WORD), 1)
     rows = texts.select(key, words.alias("w"))
     if stop:

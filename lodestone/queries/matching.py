@@ -35,7 +35,7 @@ def _scored(spark, sf_dir, background=False, stop=False, bigrams=False, max_df=N
         known = known.unionByName(dt.select("term"))
         n = n.unionByName(docs.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
     weights = tfidf.fit(known, n, max_df)
-    return tfidf.scores(weights.weighted(dt, "doc_id"), weights.vectors(rt, "item_id"), "doc_id", "item_id")
+    return tfidf.scores(weights.weighted(dt, "doc_id"), stored(weights.vectors(rt, "item_id"), "vectors"), "doc_id", "item_id")
 
 
 _TOP2 = " SELECT doc_id, item_id, rank, score FROM t WHERE rank <= 2"

@@ -97,11 +97,11 @@ def test_nearest_searches_all_vectors_of_a_group(spark):
 
 
 def _read(c, titles):
-    """The rules of the reference without any bound: all titles are scored."""
+    """The rules without any bound: all titles are scored, and each of 0.5 or more may be the runner-up that takes away a lead of 0.25."""
     ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
     if len(c) < 3:
         return None
-    near = [(k, t) for k, t in titles if abs(len(t) - len(c)) <= max(4, len(t) // 2) and difflib.SequenceMatcher(None, c, t).quick_ratio() >= 0.78]
+    near = [(k, t) for k, t in titles if abs(len(t) - len(c)) <= max(4, len(t) // 2)]
     scored = sorted(((r, k, t) for k, t in near if (r := ratio(c, t)) >= 0.5), reverse=True)
     score, code, text = scored[0] if scored else (0.0, None, "")
     second = max((r for r, k, t in scored if k != code and t != text), default=0.0)
