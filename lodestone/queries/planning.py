@@ -262,11 +262,11 @@ def release_meanings(spark, sf_dir):
     return _meant(spark, sf_dir).select("guid", "kind", *[F.sort_array(c).alias(c) for c in ("covers", "extra", "fills")])
 
 
-@query(_MEAN + " SELECT guid FROM m WHERE kind = 'title' AND len(extra) = 0 AND guid % 5 != 0 AND guid % 7 != 0 AND list_has_all(covers, want[1:1]) AND guid % 11 != 0 AND guid % 100 NOT IN (SELECT guid % 100 FROM m WHERE guid % 33 = 0)")
+@query(_MEAN + " SELECT guid FROM m WHERE kind = 'title' AND len(extra) = 0 AND guid % 5 != 0 AND guid % 7 != 0 AND list_has_all(covers, want[1:1]) AND guid % 11 != 0 AND guid % 2000 NOT IN (SELECT guid % 2000 FROM m WHERE guid % 33 = 0)")
 def fetchable_releases(spark, sf_dir):
     """Releases with the wanted titles and nothing else that were not tried, nor another one of their name."""
     k = F.col("guid")
-    c = _meant(spark, sf_dir).withColumns({"norm": (k % 100).cast("string"), "hard": k % 5 == 0, "imported": k % 7 == 0, "need": F.slice("want", 1, 1)})
+    c = _meant(spark, sf_dir).withColumns({"norm": (k % 2000).cast("string"), "hard": k % 5 == 0, "imported": k % 7 == 0, "need": F.slice("want", 1, 1)})
     tried = c.select("guid", F.when(k % 33 == 0, F.col("norm")).alias("norm")).where("guid % 11 = 0")
     return R.fetchable(c, tried).select("guid")
 

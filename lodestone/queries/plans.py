@@ -161,7 +161,7 @@ def scan_with_new_files(spark, sf_dir):
     return H.with_new_files(scan, o.where("o_orderkey % 5 != 0").select("file", F.array(F.lit("new")).alias("expected")))
 
 
-_PAGE = r"SELECT page_id, page_id % 20 AS site, url AS page, regexp_extract(url, '//([^/.:]+)', 1) AS title FROM pages WHERE url IS NOT NULL"
+_PAGE = r"SELECT page_id, page_id % 20 AS site, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS page, regexp_extract(url, '//([^/.:]+)', 1) AS title FROM pages WHERE url IS NOT NULL"
 
 
 @query(f"""WITH p AS ({_PAGE}), q AS (SELECT site, page_id, left(page, strpos(page, title) - 1) || '{{title}}' || substr(page, strpos(page, title) + length(title)) AS pattern FROM p WHERE title != '' AND strpos(page, title) > 0)
@@ -169,4 +169,4 @@ SELECT site, pattern, n FROM (SELECT site, pattern, count(*) AS n, row_number()
 def page_pattern(spark, sf_dir):
     """The form that most addresses of a site have, host names as titles."""
     p = table(spark, sf_dir, "pages").where("url is not null")
-    return H.page_pattern(p.select((F.col("page_id") % 20).alias("site"), "page_id", F.col("url").alias("page"), F.regexp_extract("url", "//([^/.:]+)", 1).alias("title")), "site", "page", "title", "page_id")
+    return H.page_pattern(p.select((F.col("page_id") % 20).alias("site"), "page_id", F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("page"), F.regexp_extract("url", "//([^/.:]+)", 1).alias("title")), "site", "page", "title", "page_id")
