@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cardpass, fusion, titleindex
+from ..operators import cardpass, fusion, model, titleindex
 from ..registry import query
 from .common import table
 
@@ -111,3 +111,13 @@ def frame_scan_plan(spark, sf_dir):
 @query(_READS + " SELECT file, start, CASE action WHEN 'read key' THEN 'key' ELSE 'full' END AS mode FROM x WHERE starts_with(action, 'read')")
 def frame_scan_worklist(spark, sf_dir):
     return cardpass.planned_reads(*_scan(spark, sf_dir))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) % 7 IN (doc_id % 7, 3) THEN 'E' || (length(text) % 7) END AS code, CASE WHEN length(text) % 7 IN (doc_id % 7, 3) THEN 0.5 END AS confidence FROM documents")
+def model_answers(spark, sf_dir):
+    """Answers through the hook, the model being one that counts characters."""
+    def ask(prompts):
+        return [f'Thinking... {{"episode": "e{len(p) % 7}", "confidence": 0.5, "reason": "length"}}' for p in prompts]
+
+    could = F.array(F.concat(F.lit("E"), F.col("doc_id") % 7), F.lit("E3"))
+    return model.asked(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), could, ask).select("doc_id", "code", "confidence")

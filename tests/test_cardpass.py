@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import cardpass
+from lodestone.operators import cardpass, model
 
 FILES = "series string, file long, status string, duration double, expected array<string>, starts array<double>, sure array<string>"
 CARDS = "file long, time double, code string, partial boolean, candidates array<string>, text string, frames long, pieced boolean"
@@ -209,3 +209,18 @@ def test_a_change_of_rules_needs_no_second_reading(spark):
         judged = lines.withColumns({"hit": F.col("line").isin(titles), "partial": F.lit(False), "fit": F.lit(True)})
         assert [x["action"] for x in cardpass.scan_plan(windows, reads, judged, "now").collect()] == [want]
         assert cardpass.planned_reads(windows, reads, judged, "now").count() == 0
+
+
+def test_model_hook(spark):
+    """Answers keep their order; batches that fail are tried again and then left without an answer."""
+    def ask(prompts):
+        if "broken" in prompts:
+            raise RuntimeError("no connection")
+        assert len(prompts) <= 3 and all(prompts)
+        return [None if p == "silent" else f'<think>{{x}}</think> {{"episode": "{p}", "confidence": "0.75"}}' for p in prompts]
+
+    rows = [(i, p) for i, p in enumerate(["s01e01", None, "", "S01E02", "silent", "nothing", "S01E01"])] + [(90, "broken"), (None, "S01E01")]
+    df = spark.createDataFrame(rows, "k long, p string").coalesce(1)
+    got = {r["k"]: (r["code"], r["confidence"]) for r in model.asked(df, "k", F.col("p"), F.array(F.lit("S01E01"), F.lit("S01E02")), ask, batch=3).collect()}
+    assert got == {0: ("S01E01", 0.75), 1: (None, None), 2: (None, None), 3: ("S01E02", 0.75), 4: (None, None), 5: (None, None), 6: (None, None), 90: (None, None), None: (None, None)}
+    assert model.asked(df.limit(0), "k", F.col("p"), F.array(F.lit("S01E01")), ask).count() == 0
