@@ -97,11 +97,16 @@ def pasted_reference(raw: Column, least_chars: int = 200, least_words: int = 50)
     return F.when((F.length(raw) >= least_chars) & (words >= least_words), F.struct(F.when(timed, "subtitles").otherwise("transcript").alias("format"), text.alias("text")))
 
 
+def bare_name(folder: Column) -> Column:
+    """A folder's name without what stands in brackets, its words between single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.regexp_replace(folder, r"[\[{(][^\]})]*[\]})]", " "), "._", "  "), r"\s+", " "))
+
+
 def folder_query(folder: Column) -> tuple[Column, Column, Column]:
     """The name, year and catalogue number that a folder's name has: `Name (2010) {id-123}`."""
     number = F.regexp_extract(folder, r"(?i)[\[{(][a-z]*id[-= ](\d+)[\]})]", 1).try_cast("long")
     year = F.regexp_extract(folder, r"\(((?:19|20)\d{2})\)", 1)
-    bare = F.trim(F.regexp_replace(F.translate(F.regexp_replace(folder, r"[\[{(][^\]})]*[\]})]", " "), "._", "  "), r"\s+", " "))
+    bare = bare_name(folder)
     named = F.trim(F.regexp_replace(bare, r"\s*\b(19|20)\d{2}\b\s*$", ""))
     return F.when(named != "", named).otherwise(bare), year, number
 
@@ -109,10 +114,12 @@ def folder_query(folder: Column) -> tuple[Column, Column, Column]:
 def resolve_folders(folders: DataFrame, results: DataFrame) -> DataFrame:
     """folders (folder) and search results (folder, id, name, year, place) -> the best result of each folder, its
     points (catalogue number 100, title 20, year 10) and whether it is sure: by number, or by title with
-    more points than the next."""
+    more points than the next. Where the year stands in brackets, a number like a year before it may belong to the
+    title (`Show 1984 (2001)`): the title fits with it as well as without it."""
     name, year, number = folder_query(F.col("folder"))
-    rows = results.join(folders.select("folder", name.alias("_n"), year.alias("_y"), number.alias("_i")), "folder")
-    points = F.when(F.col("id") == F.col("_i"), 100).otherwise(0) + F.when(norm_title(F.col("name")) == norm_title(F.col("_n")), 20).otherwise(0) + F.when((F.col("_y") != "") & (F.col("year") == F.col("_y")), 10).otherwise(0)
+    whole = F.when(year != "", bare_name(F.col("folder"))).otherwise(name)
+    rows = results.join(folders.select("folder", norm_title(name).alias("_n"), norm_title(whole).alias("_w"), year.alias("_y"), number.alias("_i")), "folder").withColumn("_name", norm_title(F.col("name")))
+    points = F.when(F.col("id") == F.col("_i"), 100).otherwise(0) + F.when((F.col("_name") == F.col("_n")) | (F.col("_name") == F.col("_w")), 20).otherwise(0) + F.when((F.col("_y") != "") & (F.col("year") == F.col("_y")), 10).otherwise(0)
     rows = rows.select("folder", "id", "place", points.alias("points"))
     best = rows.groupBy("folder").agg(F.max_by("id", F.struct("points", -F.col("place"))).alias("id"), F.max("points").alias("points"), F.count("*").alias("n"), F.count_if(F.lit(True)).alias("_all"))
     tied = rows.join(best.select("folder", F.col("points").alias("_p")), "folder").where("points = _p").groupBy("folder").agg(F.count("*").alias("tied"))
