@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_token
+from .text import clean_token, let
 
 STYLES = ("extend", "duplicate", "repeat", "scene", "range", "prefixed_range")
 MOST_BYTES = 255
@@ -132,33 +132,44 @@ def series_values(name: Column, year: Column, **how) -> dict[str, Column]:
 
 def left_bytes(c: Column, n: Column) -> Column:
     """The longest beginning of a text with at most n bytes of UTF-8, never half a character."""
-    keep = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(c), F.greatest(n, F.lit(0)))), lambda k: F.octet_length(F.left(c, k)) <= n))
-    return F.left(c, F.coalesce(keep, F.lit(0)))
+
+    def cut(c: Column, n: Column) -> Column:
+        raw = c.cast("binary")
+        # a character ends where the next byte does not go on with it; it has four bytes at most
+        ends = F.filter(F.array(n, n - 1, n - 2, n - 3), lambda k: (k >= 0) & ~F.hex(F.substring(raw, k + 1, F.lit(1))).rlike("^[89AB]"))
+        return F.when(F.octet_length(c) <= n, c).otherwise(F.substring(raw, F.lit(1), F.coalesce(F.array_max(ends), F.lit(0))).cast("string"))
+
+    return let(c, lambda c: let(F.greatest(n.cast("int"), F.lit(0)), lambda n: cut(c, n)))
 
 
 def prepared_titles(titles: Column) -> Column:
     """Titles as a name gets them: without end stops; several without their part numbers, each once. If these
     leave nothing, as they are."""
     bare = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), r"[ .?]+$", "")
-    raw = F.transform(titles, bare)
-    parted = F.array_distinct(F.transform(raw, lambda t: F.trim(F.regexp_replace(t, r"(?i):?\s?(\(\d+\)|(part|pt\.?)\s?\d+)$", ""))))
-    return F.when(F.size(raw) == 1, raw).when(F.forall(parted, lambda t: t == ""), F.array_distinct(raw)).otherwise(parted)
+    once = lambda raw: F.array_distinct(F.transform(raw, lambda t: F.trim(F.regexp_replace(t, r"(?i):?\s?(\(\d+\)|(part|pt\.?)\s?\d+)$", ""))))
+    chosen = lambda raw, parted: F.when(F.size(raw) == 1, raw).when(F.forall(parted, lambda t: t == ""), F.array_distinct(raw)).otherwise(parted)
+    return let(F.transform(titles, bare), lambda raw: let(once(raw), lambda parted: chosen(raw, parted)))
 
 
 def joined_titles(titles: Column, most: Column) -> Column:
     """All titles within `most` bytes; else the first and the last, the first alone, or what of it fits, with an ellipsis."""
-    size, many = F.octet_length, F.size(titles) > 1
-    everything = F.array_join(titles, " + ")
-    first, last = F.get(titles, F.lit(0)), F.element_at(titles, -1)
-    ended = F.regexp_replace(first, "[ .]+$", "")
-    cut = F.regexp_replace(left_bytes(first, most - 3), "[ .]+$", "")
-    return (
-        F.when(size(everything) <= most, everything)
-        .when(many & (size(first) + size(last) + 3 <= most), F.concat(ended, F.lit("..."), last))
-        .when(many & (size(first) + 3 <= most), F.concat(ended, F.lit("...")))
-        .when(~many & (size(first) <= most), first)
-        .otherwise(F.concat(cut, F.lit("...")))
-    )
+    size = F.octet_length
+
+    def joined(titles: Column, most: Column) -> Column:
+        many = F.size(titles) > 1
+        everything = F.array_join(titles, " + ")
+        first, last = F.get(titles, F.lit(0)), F.element_at(titles, -1)
+        ended = F.regexp_replace(first, "[ .]+$", "")
+        cut = F.regexp_replace(left_bytes(first, most - 3), "[ .]+$", "")
+        return (
+            F.when(size(everything) <= most, everything)
+            .when(many & (size(first) + size(last) + 3 <= most), F.concat(ended, F.lit("..."), last))
+            .when(many & (size(first) + 3 <= most), F.concat(ended, F.lit("...")))
+            .when(~many & (size(first) <= most), first)
+            .otherwise(F.concat(cut, F.lit("...")))
+        )
+
+    return let(titles, lambda t: let(most, lambda m: joined(t, m)))
 
 
 def tidy_name(c: Column) -> Column:
@@ -173,15 +184,23 @@ def episode_file(template: str, name: Column, year: Column, season: Column, numb
     and episode would give all files one name, so the plain one stands in for it."""
     if not has_numbers(template):
         template = "{series} - S{season:02d}E{episode:02d} - {title}"
-    values = {**series_values(name, year), "season": season, "episode": F.get(numbers, F.lit(0)), "quality": quality}
-    bare = render(template, {**values, "title": F.lit(""), "title_clean": F.lit("")}, season, numbers, style)
-    title = joined_titles(prepared_titles(titles), F.lit(MOST_BYTES) - F.octet_length(ext) - F.octet_length(bare))
-    values |= {"title": clean_token(title), "title_clean": clean_token(scene_title(title))}
-    whole = tidy_name(render(template, values, season, numbers, style))
-    return F.concat(F.rtrim(left_bytes(whole, F.lit(MOST_BYTES) - F.octet_length(ext))), ext)
+    # what is named several times below is computed once for each row
+    series = series_values(name, year)
+    given = F.struct(*[v.cast("string").alias(k) for k, v in series.items()], season.alias("season"), numbers.alias("numbers"), quality.cast("string").alias("quality"), ext.alias("ext"))
+
+    def named(x: Column) -> Column:
+        season, numbers, ext = x["season"], x["numbers"], x["ext"]
+        values = {**{k: x[k] for k in series}, "season": season, "episode": F.get(numbers, F.lit(0)), "quality": x["quality"]}
+        bare = render(template, {**values, "title": F.lit(""), "title_clean": F.lit("")}, season, numbers, style)
+        title = joined_titles(prepared_titles(titles), F.lit(MOST_BYTES) - F.octet_length(ext) - F.octet_length(bare))
+        with_title = lambda t: tidy_name(render(template, {**values, "title": t["title"], "title_clean": t["clean"]}, season, numbers, style))
+        whole = let(let(title, lambda t: F.struct(clean_token(t).alias("title"), clean_token(scene_title(t)).alias("clean"))), with_title)
+        return F.concat(F.rtrim(left_bytes(whole, F.lit(MOST_BYTES) - F.octet_length(ext))), ext)
+
+    return let(given, named)
 
 
 def season_folder(season: Column, flat: Column, known: Column, template: str = "Season {season:00}", specials: str = "Specials") -> Column:
     """Where a season's files go: the root of a flat series, the folder that it has, or one by the template."""
     made = tidy_name(render(template, {"season": season}))
-    return F.when(flat, "").when(known.isNotNull(), known).when(season == 0, specials).otherwise(F.when(made == "", F.format_string("Season %02d", season.cast("long"))).otherwise(made))
+    return F.when(flat, "").when(known.isNotNull(), known).when(season == 0, specials).otherwise(let(made, lambda made: F.when(made == "", F.format_string("Season %02d", season.cast("long"))).otherwise(made)))
