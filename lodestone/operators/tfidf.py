@@ -59,12 +59,19 @@ def plain_words(texts: pd.Series) -> pd.Series:
     return pd.Series([_WORD.findall(_plain(t or "")) for t in texts])
 
 
-def counts(texts: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), bigrams: bool = False, plain: bool = False) -> DataFrame:
+def parts_of(texts: DataFrame, each: int = 2000) -> int:
+    """In how many parts to deal out texts so that one has `each` of them on average, and none is left idle."""
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.count() // each)
+
+
+def counts(texts: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), bigrams: bool = False, plain: bool = False, parts: int | None = None) -> DataFrame:
     """key, term and n, how often a text has it: words in lower case without Latin accents, stop words
     removed, then pairs of neighbours. With `plain`, characters of all scripts are decomposed, in Python.
     Texts are dealt out by key once, before anything is done with them: few large files don't keep the work in few
-    tasks, and counts by key and term, and what follows by key, need no shuffle of terms."""
-    texts = texts.select(key, text).repartition(F.col(key))
+    tasks, and counts by key and term, and what follows by key, need no shuffle of terms. With `parts` they are so
+    many, whatever their bytes: a text's pairs with references take many times its size."""
+    texts = texts.select(key, text)
+    texts = texts.repartition(parts, F.col(key)) if parts else texts.repartition(F.col(key))
     words = plain_words(F.col(text)) if plain else F.regexp_extract_all(without_accents(F.lower(F.coalesce(F.col(text), F.lit("")))), F.lit(WORD), 1)
     rows = texts.select(key, words.alias("w"))
     if stop:
@@ -81,9 +88,11 @@ class Weights:
 
     idf: DataFrame
 
-    def weighted(self, counts: DataFrame, key: str) -> DataFrame:
-        """key, term, x: 1 + ln n times idf; unknown terms don't count."""
-        return counts.join(self.idf, "term").select(key, "term", ((1 + F.log("n")) * F.col("idf")).alias("x"))
+    def weighted(self, counts: DataFrame, key: str, few: bool = False) -> DataFrame:
+        """key, term, x: 1 + ln n times idf; unknown terms don't count. With `few`, if there are few known terms, these
+        are broadcast, and counts stay where they are."""
+        idf = F.broadcast(self.idf) if few and self.idf.count() <= BROADCAST_ROWS else self.idf
+        return counts.join(idf, "term").select(key, "term", ((1 + F.log("n")) * F.col("idf")).alias("x"))
 
     def vectors(self, counts: DataFrame, key: str) -> DataFrame:
         """key, term, w: weights scaled to length one."""
@@ -101,12 +110,17 @@ def fit(counts: DataFrame, n_docs: DataFrame, max_df: float | None = None) -> We
     return Weights(rows.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
 
 
-def scores(weighted: DataFrame, references: DataFrame, key: str, ref: str) -> DataFrame:
+def scores(weighted: DataFrame, references: DataFrame, key: str, ref: str, parts: int | None = None) -> DataFrame:
     """key, ref and the cosine of each pair that shares a term, from weights (key, term, x) of any length and
     reference vectors (ref, term, w). A text's own length comes out of the same aggregate, as its
-    product with itself. Terms meet by a broadcast of the references if these are few."""
+    product with itself. Terms meet by a broadcast of the references if these are few. With `parts`, weights that
+    lie by term are then dealt out by key first, in so many parts and without terms that no reference has, so
+    that no pair of a text and a reference is shuffled."""
     held = references.select("term", F.struct(F.col(ref), "w").alias("r")).groupBy("term").agg(F.collect_list("r").alias("refs"))  # as many as there are references
     small = references.count() <= BROADCAST_ROWS
+    if small and parts:
+        shared = F.broadcast(references.select("term").distinct().withColumn("_in", F.lit(True)))
+        weighted = weighted.join(shared, "term", "left").select(key, F.when(F.col("_in"), F.col("term")).alias("term"), "x").repartition(parts, F.col(key))
     met = weighted.join(F.broadcast(held) if small else held, "term", "left")
     own = F.struct(F.lit(None).cast(references.schema[ref].dataType).alias(ref), F.col("x").alias("w"))
     pairs = met.select(key, "x", F.explode(F.array_append(F.coalesce("refs", F.array().cast(held.schema["refs"].dataType)), own)).alias("r"))

@@ -27,7 +27,8 @@ t AS (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY ro
 def _scored(spark, sf_dir, background=False, stop=False, bigrams=False, max_df=None, whole=False):
     words = tfidf.english_stop_words() if stop else ()
     docs, refs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    dt, rt = tfidf.counts(docs, "doc_id", "text", words, bigrams, whole), tfidf.counts(refs, "item_id", "text", words, bigrams, whole)
+    parts = tfidf.parts_of(docs)
+    dt, rt = tfidf.counts(docs, "doc_id", "text", words, bigrams, whole, parts), tfidf.counts(refs, "item_id", "text", words, bigrams, whole)
     n = refs.agg(F.count("*").alias("n"))
     known = rt.select("term")
     if background:
@@ -35,7 +36,8 @@ def _scored(spark, sf_dir, background=False, stop=False, bigrams=False, max_df=N
         known = known.unionByName(dt.select("term"))
         n = n.unionByName(docs.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
     weights = tfidf.fit(known, n, max_df)
-    return tfidf.scores(weights.weighted(dt, "doc_id"), stored(weights.vectors(rt, "item_id"), "vectors"), "doc_id", "item_id")
+    # weights of the references alone are few, and documents stay dealt out by key; those of all documents meet them by term
+    return tfidf.scores(weights.weighted(dt, "doc_id", few=not background), stored(weights.vectors(rt, "item_id"), "vectors"), "doc_id", "item_id", parts if background else None)
 
 
 _TOP2 = " SELECT doc_id, item_id, rank, score FROM t WHERE rank <= 2"
