@@ -18,8 +18,7 @@ def emissions(cues: DataFrame, weights: tfidf.Weights, vectors: DataFrame, key:
     grid = ends.select(key, "file_end", F.explode(F.sequence(F.lit(0).cast("long"), windows.window_count(F.col("file_end"), size, hop).cast("long") - 1)).alias("win"))
     spoken = windows.window_words(windows.cue_windows(cues, key, size, hop), key, min_words).where("not silent")
     own = F.struct(key, "win")
-    counted = tfidf.counts(spoken.select(own.alias("k"), "text"), "k", "text", stop, True)
-    scored = stored(tfidf.scores(weights.weighted(counted, "k"), vectors, "k", ref).select(f"k.{key}", "k.win", ref, "score"), "scores")
+    scored = stored(tfidf.scores(spoken.select(own.alias("k"), "text"), weights, vectors, "k", ref, tfidf.Terms(stop, True)).select(f"k.{key}", "k.win", ref, "score"), "scores")
     by_window = scored.groupBy(key, "win").agg(F.map_from_entries(F.collect_list(F.struct(ref, "score"))).alias("m"))
     codes = scored.groupBy(key).agg(F.sort_array(F.collect_set(ref)).alias("codes"))
     rows = grid.join(by_window, [key, "win"], "left").join(codes, key)
@@ -36,11 +35,11 @@ def segments(cues: DataFrame, references: DataFrame, key: str, ref: str, backgro
     Windows are scored and decoded into runs; runs that last are segments, which are scored again as
     a whole; neighbours that then have one code are one segment with the best of their scores.
     """
-    rt = tfidf.counts(references, ref, "text", stop, True)
-    n, known = references.agg(F.count("*").alias("n")), rt.select("term")
+    rt = tfidf.counts(references, ref, "text", tfidf.Terms(stop, True))
+    n, known = references.agg(F.count("*").alias("n")), rt.select("term", F.lit(1).alias("df"))
     if background is not None:
         said = background.where(F.trim("text") != "")
-        known = known.unionByName(tfidf.counts(said, key, "text", stop, True).select("term"))
+        known = known.unionByName(tfidf.frequencies(said, key, "text", tfidf.Terms(stop, True)))
         n = n.unionByName(said.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
     weights = tfidf.Weights(stored(tfidf.fit(known, n, max_df).idf, "idf"))
     vectors = stored(weights.vectors(rt, ref), "vectors")
@@ -58,7 +57,7 @@ def segments(cues: DataFrame, references: DataFrame, key: str, ref: str, backgro
     inside = cues.withColumnsRenamed({"start": "_s", "end": "_e"}).join(found, key).where("_e > start and _s < end")
     held = inside.groupBy(key, "seg", "start", "end").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_s", "text"))), lambda x: x["text"]), " ").alias("text"))
     held = stored(held, "texts")
-    scored = tfidf.scores(weights.weighted(tfidf.counts(held.select(F.struct(key, "seg").alias("k"), "text"), "k", "text", stop, True), "k"), vectors, "k", ref)
+    scored = tfidf.scores(held.select(F.struct(key, "seg").alias("k"), "text"), weights, vectors, "k", ref, tfidf.Terms(stop, True))
     best = tfidf.top(scored, "k", ref, 4).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("rank", F.col(ref).alias("code"), "score"))).alias("t"))
     rows = held.join(best.select(f"k.{key}", "k.seg", "t"), [key, "seg"])
     score, second = F.get("t", F.lit(0))["score"], F.coalesce(F.get("t", F.lit(1))["score"], F.lit(0.0))
@@ -79,6 +78,5 @@ def segments(cues: DataFrame, references: DataFrame, key: str, ref: str, backgro
 def whole(cues: DataFrame, references: DataFrame, key: str, ref: str, k: int = 5) -> DataFrame:
     """The k best references of all that is said in a file."""
     rt = tfidf.counts(references, ref)
-    weights = tfidf.fit(rt.select("term"), references.agg(F.count("*").alias("n")))
-    counted = tfidf.counts(cues, key).groupBy(key, "term").agg(F.sum("n").alias("n"))
-    return tfidf.top(tfidf.scores(weights.weighted(counted, key), weights.vectors(rt, ref), key, ref), key, ref, k)
+    weights = tfidf.Weights(stored(tfidf.fit(rt.select("term"), references.agg(F.count("*").alias("n"))).idf, "idf"))
+    return tfidf.top(tfidf.scores(cues, weights, stored(weights.vectors(rt, ref), "vectors"), key, ref), key, ref, k)

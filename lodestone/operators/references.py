@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import tfidf
 
 
@@ -32,8 +33,8 @@ def verify_flagged(refs: DataFrame, key: str, same: float = 0.35, other: float =
     trusted, doubtful = refs.where("not flagged"), refs.where("flagged")
     n = trusted.agg(F.count("*").alias("n"))
     known = tfidf.counts(trusted, key)
-    weights = tfidf.fit(known, n, 0.6)
-    scored = tfidf.scores(weights.weighted(tfidf.counts(doubtful, key), key), weights.vectors(known, key).withColumnRenamed(key, "other"), key, "other").where(F.col(key) != F.col("other"))
+    weights = tfidf.Weights(stored(tfidf.fit(known, n, 0.6).idf, "idf"))
+    scored = tfidf.scores(doubtful, weights, stored(weights.vectors(known, key).withColumnRenamed(key, "other"), "vectors"), key, "other").where(F.col(key) != F.col("other"))
     best = scored.groupBy(key).agg(F.max("score").alias("best"))
     there = trusted.select(F.col(key).alias("target")).distinct().withColumn("there", F.lit(True))
     rows = doubtful.select(key, "target").join(best, key, "left").join(there, "target", "left").join(scored.select(key, F.col("other").alias("target"), "score"), [key, "target"], "left").crossJoin(F.broadcast(n))

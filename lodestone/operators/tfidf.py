@@ -5,21 +5,26 @@ from __future__ import annotations
 import re
 import unicodedata
 import zipfile
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import pairwise
 from pathlib import Path
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.find_spark_home import _find_spark_home
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 #: A word: two or more letters or apostrophes that begin with a letter, between characters that no word has.
-WORD = r"(?U)\b([a-z][a-z']+)\b"
 _WORD = re.compile(r"\b[a-z][a-z']+\b")
-#: Reference vectors of up to this many rows are broadcast (about 100 bytes each); beyond it, joined by shuffles.
+#: Reference vectors, and weights of words, of up to this many rows are broadcast (about 100 bytes each); beyond it, joined by shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -42,21 +47,61 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def without_accents(c: Column) -> Column:
-    """Latin letters without their marks, whether these are part of a character or follow it."""
-    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(F.translate(c, *_accents()), r"\p{M}+", ""))  # nothing to do in ASCII
-
-
 def _plain(text: str) -> str:
     """Lower case without accents: NFKD, combining marks left out."""
     text = text.lower()
     return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def plain_words(texts: pd.Series) -> pd.Series:
-    """Words of a text in lower case without accents in any script; one with another letter in it is none."""
-    return pd.Series([_WORD.findall(_plain(t or "")) for t in texts])
+class _Latin(dict):
+    """Of a character: the letter that a Latin one is made of, nothing for a mark, else itself."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = None if unicodedata.category(chr(c))[0] == "M" else c
+        return self[c]
+
+
+@cache
+def _latin() -> _Latin:
+    return _Latin(zip(map(ord, _accents()[0]), map(ord, _accents()[1]), strict=True))
+
+
+def _folded(text: str) -> str:
+    """Lower case; Latin letters without their marks, whether these are part of a character or follow it."""
+    text = text.lower()
+    return text if text.isascii() else text.translate(_latin())
+
+
+@dataclass(frozen=True)
+class Terms:
+    """What counts as a term: words that aren't stop words, and with `bigrams` pairs of neighbours of these, in lower
+    case without Latin accents; with `plain`, characters of all scripts are decomposed."""
+
+    stop: tuple[str, ...] = ()
+    bigrams: bool = False
+    plain: bool = False
+
+    def counted(self, texts: list[list[str]]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Of the terms of each row of texts: the row, the term, and how often the row has it."""
+        fold, out = _plain if self.plain else _folded, frozenset(self.stop)
+        terms, times, sizes = [], [], []
+        for row in texts:
+            found: Counter = Counter()
+            for text in row:
+                words = [w for w in _WORD.findall(fold(text)) if w not in out]
+                found.update(words)
+                if self.bigrams:
+                    found.update(map(" ".join, pairwise(words)))
+            terms += found.keys()
+            times += found.values()
+            sizes.append(len(found))
+        return np.repeat(np.arange(len(texts)), np.array(sizes, np.int64)), pa.array(terms, pa.string()), np.array(times, np.int64)
+
+
+def lists(row: np.ndarray, rows: int, **values: pa.Array) -> pa.Array:
+    """Lists of structs, one for each row, of values that lie in the order of their rows."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(values.values()), list(values)))
 
 
 def parts_of(texts: DataFrame, each: int = 2000) -> int:
@@ -64,35 +109,46 @@ def parts_of(texts: DataFrame, each: int = 2000) -> int:
     return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.count() // each)
 
 
-def counts(texts: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), bigrams: bool = False, plain: bool = False, parts: int | None = None) -> DataFrame:
-    """key, term and n, how often a text has it: words in lower case without Latin accents, stop words
-    removed, then pairs of neighbours. With `plain`, characters of all scripts are decomposed, in Python.
-    Texts are dealt out by key once, before anything is done with them: few large files don't keep the work in few
-    tasks, and counts by key and term, and what follows by key, need no shuffle of terms. With `parts` they are so
-    many, whatever their bytes: a text's pairs with references take many times its size."""
+def _by_key(texts: DataFrame, key: str, text: str, parts: int | None) -> DataFrame:
+    """key and _texts, all its texts. They are dealt out by key once, before anything is done with them: few large files
+    don't keep the work in few tasks. With `parts` they are so many, whatever their bytes."""
     texts = texts.select(key, text)
     texts = texts.repartition(parts, F.col(key)) if parts else texts.repartition(F.col(key))
-    words = plain_words(F.col(text)) if plain else F.regexp_extract_all(without_accents(F.lower(F.coalesce(F.col(text), F.lit("")))), F.lit(WORD), 1)
-    rows = texts.select(key, words.alias("w"))
-    if stop:
-        rows = rows.withColumn("w", F.filter("w", lambda x: ~x.isin(*stop)))
-    if bigrams:
-        pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        rows = rows.withColumn("w", F.concat("w", pairs))
-    return rows.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return texts.groupBy(key).agg(F.collect_list(text).alias("_texts"))
+
+
+def counts(texts: DataFrame, key: str, text: str = "text", terms: Terms = Terms(), parts: int | None = None) -> DataFrame:  # noqa: B008
+    """key, term and n, how often the texts of a key have it."""
+
+    @F.arrow_udf("array<struct<term:string,n:bigint>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        row, term, n = terms.counted(texts.to_pylist())
+        return lists(row, len(texts), term=term, n=pa.array(n))
+
+    # an inner explode would have the terms looked for a second time, in a filter before it
+    return _by_key(texts, key, text, parts).select(key, F.explode_outer(counted("_texts")).alias("t")).where("t is not null").select(key, "t.term", "t.n")
+
+
+def frequencies(texts: DataFrame, key: str, text: str = "text", terms: Terms = Terms(), parts: int | None = None) -> DataFrame:  # noqa: B008
+    """term and df, in how many keys' texts it is, summed over some of them: a batch of texts is counted where it lies."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, term, _ = terms.counted(batch["_texts"].to_pylist())
+            yield pa.RecordBatch.from_struct_array(term.value_counts().cast(pa.struct([("values", pa.string()), ("counts", pa.int64())]))).rename_columns(["term", "df"])
+
+    return _by_key(texts, key, text, parts).select("_texts").mapInArrow(found, "term string, df long")
 
 
 @dataclass
 class Weights:
-    """Word weights: term, idf."""
+    """Word weights: term, idf; null for terms that are left out."""
 
     idf: DataFrame
 
-    def weighted(self, counts: DataFrame, key: str, few: bool = False) -> DataFrame:
-        """key, term, x: 1 + ln n times idf; unknown terms don't count. With `few`, if there are few known terms, these
-        are broadcast, and counts stay where they are."""
-        idf = F.broadcast(self.idf) if few and self.idf.count() <= BROADCAST_ROWS else self.idf
-        return counts.join(idf, "term").select(key, "term", ((1 + F.log("n")) * F.col("idf")).alias("x"))
+    def weighted(self, counts: DataFrame, key: str) -> DataFrame:
+        """key, term, x: 1 + ln n times idf; unknown terms don't count."""
+        return counts.join(self.idf.where("idf is not null"), "term").select(key, "term", _weight().alias("x"))
 
     def vectors(self, counts: DataFrame, key: str) -> DataFrame:
         """key, term, w: weights scaled to length one."""
@@ -101,32 +157,98 @@ class Weights:
         return raw.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
+def _weight() -> Column:
+    return (1 + F.log("n")) * F.col("idf")
+
+
 def fit(counts: DataFrame, n_docs: DataFrame, max_df: float | None = None) -> Weights:
-    """Smoothed idf over texts' terms (a row for each text and term); n_docs has one row and column n, the
+    """Smoothed idf over texts' terms (term, and in how many texts: df, 1 if that isn't there); n_docs has one row and column n, the
     number of texts. With max_df and ten texts or more, terms in a larger share of them are left out."""
-    rows = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))  # one row
+    rows = counts.groupBy("term").agg((F.sum("df") if "df" in counts.columns else F.count("*")).alias("df")).crossJoin(F.broadcast(n_docs))  # one row
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     if max_df is not None:
-        rows = rows.where((F.col("n") < 10) | (F.col("df") <= max_df * F.col("n")))
-    return Weights(rows.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
-
-
-def scores(weighted: DataFrame, references: DataFrame, key: str, ref: str, parts: int | None = None) -> DataFrame:
-    """key, ref and the cosine of each pair that shares a term, from weights (key, term, x) of any length and
-    reference vectors (ref, term, w). A text's own length comes out of the same aggregate, as its
-    product with itself. Terms meet by a broadcast of the references if these are few. With `parts`, weights that
-    lie by term are then dealt out by key first, in so many parts and without terms that no reference has, so
-    that no pair of a text and a reference is shuffled."""
-    held = references.select("term", F.struct(F.col(ref), "w").alias("r")).groupBy("term").agg(F.collect_list("r").alias("refs"))  # as many as there are references
-    small = references.count() <= BROADCAST_ROWS
-    if small and parts:
-        shared = F.broadcast(references.select("term").distinct().withColumn("_in", F.lit(True)))
-        weighted = weighted.join(shared, "term", "left").select(key, F.when(F.col("_in"), F.col("term")).alias("term"), "x").repartition(parts, F.col(key))
-    met = weighted.join(F.broadcast(held) if small else held, "term", "left")
-    own = F.struct(F.lit(None).cast(references.schema[ref].dataType).alias(ref), F.col("x").alias("w"))
-    pairs = met.select(key, "x", F.explode(F.array_append(F.coalesce("refs", F.array().cast(held.schema["refs"].dataType)), own)).alias("r"))
-    sums = pairs.groupBy(key, f"r.{ref}").agg(F.sum(F.col("x") * F.col("r.w")).alias("s"))
-    norm = F.max(F.when(F.col(ref).isNull(), F.sqrt("s"))).over(Window.partitionBy(key))
-    return sums.withColumn("_norm", norm).where(F.col(ref).isNotNull()).select(key, ref, (F.col("s") / F.col("_norm")).alias("score"))
+        idf = F.when((F.col("n") < 10) | (F.col("df") <= max_df * F.col("n")), idf)
+    return Weights(rows.select("term", idf.alias("idf")))
+
+
+@dataclass
+class Known:
+    """Weights of terms (null: left out), and for each of them its references and their weights: `which` and `weight` from `first`."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    first: np.ndarray
+    which: np.ndarray
+    weight: np.ndarray
+    refs: pa.Array
+
+    def products(self, row: np.ndarray, term: np.ndarray, x: np.ndarray, rows: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row and reference that share a term: the row, the reference and the sum of their products. A block of
+        rows meets all references at once."""
+        many, width = self.first[term + 1] - self.first[term], len(self.refs)
+        block = np.cumsum(width + np.bincount(row, many, rows).astype(np.int64)) // cells
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for b in np.unique(block):
+            low, high = np.searchsorted(block, [b, b + 1])
+            own = slice(*np.searchsorted(row, [low, high]))
+            n = many[own]
+            met = np.repeat(self.first[term[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            s = np.bincount(np.repeat((row[own] - low) * width, n) + self.which[met], np.repeat(x[own], n) * self.weight[met], (high - low) * width)
+            hit = np.flatnonzero(s)
+            out.append((hit // width + low, hit % width, s[hit]))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _known(idf: DataFrame, references: DataFrame, ref: str) -> Known:
+    """Few weights and few references' vectors, as all tasks hold them."""
+    table, rows = idf.select("term", "idf").toArrow(), references.select(ref, "term", "w").toArrow()
+    terms, by_ref = pa.array(table["term"].to_pylist(), pa.string()), rows[ref].combine_chunks().dictionary_encode()
+    at = pc.index_in(rows["term"].combine_chunks(), value_set=terms).to_numpy()
+    order = np.argsort(at, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
+    return Known(terms, table["idf"].to_numpy(), first, by_ref.indices.to_numpy()[order].astype(np.int64), rows["w"].to_numpy()[order], by_ref.dictionary)
+
+
+def scores(texts: DataFrame, weights: Weights, references: DataFrame, key: str, ref: str, terms: Terms = Terms(), parts: int | None = None) -> DataFrame:  # noqa: B008
+    """key, ref and the cosine of each pair of a text (key, text) and a reference that share a term, from reference vectors
+    (ref, term, w). Where these are few, texts are dealt out by key and stay there: the weights of references' terms and of the
+    most frequent others are sent to all tasks, and of a text's rare terms only what they add to its length is fetched."""
+    if references.count() > BROADCAST_ROWS:
+        weighted = weights.weighted(counts(texts, key, "text", terms, parts), key)
+        norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+        sums = weighted.join(references, "term").groupBy(key, ref).agg(F.sum(F.col("x") * F.col("w")).alias("s"))
+        return sums.join(norm, key).select(key, ref, (F.col("s") / F.col("_norm")).alias("score"))
+    idf, total, often = weights.idf, weights.idf.count(), F.lit(True)
+    fetched = total > BROADCAST_ROWS
+    if fetched:
+        limit = idf.approxQuantile("idf", [BROADCAST_ROWS / total], 0.001)[0]
+        often = F.col("_shared").isNotNull() | F.col("idf").isNull() | (F.col("idf") < limit)
+        idf = idf.join(F.broadcast(references.select("term").distinct().withColumn("_shared", F.lit(True))), "term", "left")
+    held = texts.sparkSession.sparkContext.broadcast(_known(idf.where(often), references, ref))
+    kind = references.schema[ref].dataType.simpleString()
+
+    @F.arrow_udf(f"struct<sq:double,pairs:array<struct<ref:{kind},s:double>>,rare:array<struct<term:string,n:bigint>>>")
+    def met(texts: pa.Array) -> pa.Array:
+        known, rows = held.value, len(texts)
+        row, term, n = terms.counted(texts.to_pylist())
+        at = pc.fill_null(pc.index_in(term, value_set=known.terms), -1).to_numpy()
+        far = (at < 0) & fetched
+        rare = lists(row[far], rows, term=term.filter(pa.array(far)), n=pa.array(n[far]))
+        x = (1 + np.log(n)) * known.idf[at] if len(known.idf) else np.full(len(at), np.nan)
+        counts = (at >= 0) & ~np.isnan(x)
+        row, at, x = row[counts], at[counts], x[counts]
+        own, other, s = known.products(row, at, x, rows)
+        return pa.StructArray.from_arrays([pa.array(np.bincount(row, x * x, rows)), lists(own, rows, ref=known.refs.take(pa.array(other)), s=pa.array(s)), rare], ["sq", "pairs", "rare"])
+
+    rows = _by_key(texts, key, "text", parts).select(key, met("_texts").alias("m")).select(key, F.col("m.sq").alias("_sq"), F.col("m.pairs").alias("_pairs"), F.col("m.rare").alias("_far"))
+    if fetched:
+        rows = stored(rows, "met")
+        far = rows.select(key, F.explode("_far").alias("t")).select(key, "t.term", "t.n")
+        far = far.repartition(parts, "term") if parts else far
+        far = far.join(idf.where(~often).select("term", "idf"), "term").groupBy(key).agg(F.sum(_weight() * _weight()).alias("_rare"))
+        rows = rows.join(far, key, "left").withColumn("_sq", F.col("_sq") + F.coalesce("_rare", F.lit(0.0)))
+    pairs = rows.select(key, "_sq", F.explode_outer("_pairs").alias("r")).where("r is not null")
+    return pairs.select(key, F.col("r.ref").alias(ref), (F.col("r.s") / F.sqrt("_sq")).alias("score"))
 
 
 def top(scored: DataFrame, key: str, ref: str, k: int, digits: int = 4) -> DataFrame:

@@ -25,19 +25,17 @@ t AS (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY ro
 
 
 def _scored(spark, sf_dir, background=False, stop=False, bigrams=False, max_df=None, whole=False):
-    words = tfidf.english_stop_words() if stop else ()
+    terms = tfidf.Terms(tfidf.english_stop_words() if stop else (), bigrams, whole)
     docs, refs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     parts = tfidf.parts_of(docs)
-    dt, rt = tfidf.counts(docs, "doc_id", "text", words, bigrams, whole, parts), tfidf.counts(refs, "item_id", "text", words, bigrams, whole)
+    rt = tfidf.counts(refs, "item_id", "text", terms)
     n = refs.agg(F.count("*").alias("n"))
-    known = rt.select("term")
+    known = rt.select("term", F.lit(1).alias("df"))
     if background:
-        dt = stored(dt, "terms")  # for the weights and for the scores
-        known = known.unionByName(dt.select("term"))
+        known = known.unionByName(tfidf.frequencies(docs, "doc_id", "text", terms, parts))
         n = n.unionByName(docs.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
-    weights = tfidf.fit(known, n, max_df)
-    # weights of the references alone are few, and documents stay dealt out by key; those of all documents meet them by term
-    return tfidf.scores(weights.weighted(dt, "doc_id", few=not background), stored(weights.vectors(rt, "item_id"), "vectors"), "doc_id", "item_id", parts if background else None)
+    weights = tfidf.Weights(stored(tfidf.fit(known, n, max_df).idf, "idf"))
+    return tfidf.scores(docs, weights, stored(weights.vectors(rt, "item_id"), "vectors"), "doc_id", "item_id", terms, parts)
 
 
 _TOP2 = " SELECT doc_id, item_id, rank, score FROM t WHERE rank <= 2"
@@ -137,8 +135,8 @@ def _window_scores(spark, sf_dir):
     w = w.select(F.concat_ws("/", "conv_id", "win").alias("k"), "text")
     refs = table(spark, sf_dir, "benchmark")
     rt = tfidf.counts(refs, "item_id")
-    weights = tfidf.fit(rt, refs.agg(F.count("*").alias("n")))
-    return tfidf.scores(weights.weighted(tfidf.counts(w, "k"), "k"), weights.vectors(rt, "item_id"), "k", "item_id")
+    weights = tfidf.Weights(stored(tfidf.fit(rt, refs.agg(F.count("*").alias("n"))).idf, "idf"))
+    return tfidf.scores(w, weights, stored(weights.vectors(rt, "item_id"), "vectors"), "k", "item_id")
 
 
 @query(_WORDS + f""", q AS (SELECT conv_id || '/' || win AS k, text FROM y WHERE words >= 8), {terms_sql('rt', 'item_id', 'benchmark')}, {terms_sql('qt', 'k', 'q')},
