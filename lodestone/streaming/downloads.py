@@ -15,6 +15,8 @@ after three fixes); `stuck` after two days, which an import or a failure may sti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 UNSEEN, FRESH, GONE, STUCK = 1800.0, 300.0, 900.0, 48 * 3600.0
 FIXES, BETWEEN_FIXES = 3, 600.0
 KEEP = 7 * 86400.0
+#: Events in one task of the batch form.
+ROWS = 500_000
 STATE = "since double, seen boolean, gone double, fixes long, fixed double, status string, ended double, waiting_at array<double>, waiting_kind array<string>"
 OUT = "at double, status string, reason string"
 
@@ -98,12 +102,17 @@ def followed(events: DataFrame, key: str, now: float) -> DataFrame:
     without a key, a time or a kind are left out; rows that repeat count once."""
     kind = events.schema[key].dataType.simpleString()
 
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        grab = Grab(waiting_at=rows["at"].tolist(), waiting_kind=rows["kind"].tolist())
-        return pd.DataFrame([(k[0], *x) for x in grab.advance(now)], columns=[key, "at", "status", "reason"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = chain.from_iterable(zip(b[key].tolist(), b["at"].tolist(), b["kind"].tolist(), strict=True) for b in batches)
+        grabs = ((k, Grab(waiting_at=at, waiting_kind=kinds)) for k, own in groupby(rows, itemgetter(0)) for _, at, kinds in [zip(*own, strict=True)])
+        out = ((k, *x) for k, grab in grabs for x in grab.advance(now))
+        while some := list(islice(out, 10_000)):
+            yield pd.DataFrame(some, columns=[key, "at", "status", "reason"])
 
-    rows = events.where(F.col(key).isNotNull() & F.col("at").isNotNull() & F.col("kind").isNotNull()).select(key, F.col("at").cast("double").alias("at"), "kind").distinct()
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {OUT}")
+    # each part holds whole grabs, one after the other in order of time; a table for each of them would take most of the time
+    rows = events.where(F.col(key).isNotNull() & F.col("at").isNotNull() & F.col("kind").isNotNull()).select(key, F.col("at").cast("double").alias("at"), "kind")
+    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS)
+    return rows.repartition(parts, key).distinct().sortWithinPartitions(key, "at", "kind").mapInPandas(run, f"{key} {kind}, {OUT}")
 
 
 def follow(events: DataFrame, key: str, late: str = "10 minutes") -> DataFrame:

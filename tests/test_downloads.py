@@ -109,3 +109,18 @@ def test_stream_of_late_rows_equals_the_batch_form(spark, tmp_path, seed):
 def test_stream_in_pieces_equals_all_at_once(spark):
     rows = {name: sorted(map(tuple, registry.QUERIES[name](spark, SMALL_SF_DIR).collect())) for name in ("followed_downloads", "stream_downloads")}
     assert rows["followed_downloads"] == rows["stream_downloads"] and len(rows["stream_downloads"]) > 50
+
+
+def test_grabs_of_a_part_are_followed_one_after_the_other(spark):
+    """No group of its own for each grab, and grabs that lie across two batches are whole."""
+    rows = _events(random.Random(4), 40)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {tuple(r) for r in downloads.followed(df, "grab", 260_000.0).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = downloads.followed(df, "grab", 260_000.0)
+        assert {tuple(r) for r in out.collect()} == want and len(want) > 40
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
