@@ -80,3 +80,14 @@ def test_page_patterns(spark):
     rows = [(1, 0, "Pilot/Transcript", "Pilot"), (1, 1, "Two (ep)", "Two"), (1, 2, "Three/Transcript", "Three"), (2, 0, "A (ep)", "A"), (2, 1, "B/x", "B"), (2, 2, "nothing", "C"), (2, 3, "B", ""), (2, 4, "B", None), (3, 0, None, "A"), (4, 0, "Two Two", "Two")]
     got = history.page_pattern(spark.createDataFrame(rows, "s int, k int, page string, title string"), "s", "page", "title", "k")
     assert {r["s"]: (r["pattern"], r["n"]) for r in got.collect()} == {1: ("{title}/Transcript", 2), 2: ("{title} (ep)", 1), 4: ("{title} Two", 1)}
+
+
+def test_parts_grow_with_the_log(spark, monkeypatch):
+    """Logs lie in more parts than shuffles have by themselves, and names stay; a file that moves to its own place keeps its name."""
+    ops = [(i, "move", f"f{i % 50}" if i < 50 else f"g{i % 50}" if i < 100 else f"h{i % 50}", f"g{i % 50}" if i < 50 else f"h{i % 50}" if i < 100 else f"f{(i + 1) % 50}") for i in range(150)] + [(200, "move", "f3", "f3")]
+    log = spark.createDataFrame(ops, OPS)
+    want = {f"f{(i + 1) % 50}": f"f{i}" for i in range(50)}
+    monkeypatch.setattr(history, "ROWS", 5)
+    names = history.names_before(log)
+    assert {r["now"]: r["before"] for r in names.where("before is not null and now like 'f%'").collect()} == want
+    assert "hashpartitioning(ordinal" in (plan := names._jdf.queryExecution().executedPlan().toString()) and ", 30), REPARTITION_BY_NUM" in plan
