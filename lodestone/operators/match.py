@@ -10,15 +10,16 @@ from ..storage import stored
 from . import decode, tfidf, windows
 
 
-def emissions(cues: DataFrame, weights: tfidf.Weights, vectors: DataFrame, key: str, ref: str, none: float, size: float, hop: float, min_words: int, stop: tuple[str, ...] = ()) -> DataFrame:
+def emissions(cues: DataFrame, weights: tfidf.Weights, vectors: DataFrame, key: str, ref: str, none: float, size: float, hop: float, min_words: int, parts: int, stop: tuple[str, ...] = ()) -> DataFrame:
     """key, file_end, codes and, in order, each window's start, end and scores of the file's codes with `none`
     behind them. All windows of a file are there, silent ones with scores of 0. A reference that no
-    window of a file shares a word with can't win against `none`, so it is left out of that file."""
-    ends = cues.groupBy(key).agg(F.max("end").alias("file_end"))
+    window of a file shares a word with can't win against `none`, so it is left out of that file.
+    Files are dealt out in so many parts and stay there: a window's scores take many times the size of its text."""
+    ends = cues.select(key, "end").repartition(parts, key).groupBy(key).agg(F.max("end").alias("file_end"))
     grid = ends.select(key, "file_end", F.explode(F.sequence(F.lit(0).cast("long"), windows.window_count(F.col("file_end"), size, hop).cast("long") - 1)).alias("win"))
     spoken = windows.window_words(windows.cue_windows(cues, key, size, hop), key, min_words).where("not silent")
     own = F.struct(key, "win")
-    scored = stored(tfidf.scores(spoken.select(own.alias("k"), "text"), weights, vectors, "k", ref, tfidf.Terms(stop, True)).select(f"k.{key}", "k.win", ref, "score"), "scores")
+    scored = stored(tfidf.scores(spoken.select(own.alias("k"), "text"), weights, vectors, "k", ref, tfidf.Terms(stop, True), parts).select(f"k.{key}", "k.win", ref, "score"), "scores").repartition(parts, key)
     by_window = scored.groupBy(key, "win").agg(F.map_from_entries(F.collect_list(F.struct(ref, "score"))).alias("m"))
     codes = scored.groupBy(key).agg(F.sort_array(F.collect_set(ref)).alias("codes"))
     rows = grid.join(by_window, [key, "win"], "left").join(codes, key)
@@ -44,7 +45,8 @@ def segments(cues: DataFrame, references: DataFrame, key: str, ref: str, backgro
     weights = tfidf.Weights(stored(tfidf.fit(known, n, max_df).idf, "idf"))
     vectors = stored(weights.vectors(rt, ref), "vectors")
 
-    decoded = emissions(cues, weights, vectors, key, ref, 0.6 * min_score, size, hop, min_words, stop)
+    parts = tfidf.parts_of(cues)
+    decoded = emissions(cues, weights, vectors, key, ref, 0.6 * min_score, size, hop, min_words, parts, stop)
     path = decode.viterbi(F.transform("w", lambda x: x["v"]), switch)
     steps = decoded.select(key, "file_end", "codes", F.explode(F.arrays_zip("w", path.alias("state"))).alias("z"))
     label = F.coalesce(F.get("codes", F.col("z.state")).cast("string"), F.lit("-"))
@@ -57,7 +59,7 @@ def segments(cues: DataFrame, references: DataFrame, key: str, ref: str, backgro
     inside = cues.withColumnsRenamed({"start": "_s", "end": "_e"}).join(found, key).where("_e > start and _s < end")
     held = inside.groupBy(key, "seg", "start", "end").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_s", "text"))), lambda x: x["text"]), " ").alias("text"))
     held = stored(held, "texts")
-    scored = tfidf.scores(held.select(F.struct(key, "seg").alias("k"), "text"), weights, vectors, "k", ref, tfidf.Terms(stop, True))
+    scored = tfidf.scores(held.select(F.struct(key, "seg").alias("k"), "text"), weights, vectors, "k", ref, tfidf.Terms(stop, True), parts)
     best = tfidf.top(scored, "k", ref, 4).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("rank", F.col(ref).alias("code"), "score"))).alias("t"))
     rows = held.join(best.select(f"k.{key}", "k.seg", "t"), [key, "seg"])
     score, second = F.get("t", F.lit(0))["score"], F.coalesce(F.get("t", F.lit(1))["score"], F.lit(0.0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import match, tfidf
 from lodestone.operators.tfidf import _WORD, _plain
+from lodestone.storage import stored
 
 
 def _plain_match(cues, refs, background, stop, min_seconds=240.0):
@@ -116,3 +117,14 @@ def test_no_cues(spark):
     none = spark.createDataFrame([], "file long, start double, end double, text string")
     refs = spark.createDataFrame([(1, "some words of a reference")], "code long, text string")
     assert match.segments(none, refs, "file", "code").count() == 0
+
+
+def test_parts_grow_with_the_cues(spark, monkeypatch):
+    """Scores of windows lie in more parts than shuffles have by themselves."""
+    cues = spark.createDataFrame([(k, 30.0 * i, 30.0 * i + 20, "one two three four five six seven eight nine ten") for k in range(4) for i in range(10)], "k int, start double, end double, text string")
+    refs = spark.createDataFrame([("a", "one two three"), ("b", "seven eight")], "r string, text string")
+    weights = tfidf.Weights(stored(tfidf.fit(tfidf.counts(refs, "r"), refs.agg(F.count("*").alias("n"))).idf, "idf"))
+    rows = match.emissions(cues, weights, stored(weights.vectors(tfidf.counts(refs, "r"), "r"), "vectors"), "k", "r", 0.1, 90.0, 45.0, 8, 40)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 40), REPARTITION_BY_NUM") == 3 and rows.count() == 4
+    assert not any(line.strip(" :+-").startswith("Exchange") and "ENSURE" in line for line in plan.splitlines())
