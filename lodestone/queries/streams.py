@@ -194,4 +194,6 @@ def followed_downloads(spark, sf_dir):
 @query()
 def stream_downloads(spark, sf_dir):
     """The same as `followed_downloads`, from a stream in pieces with late rows."""
-    return _fed(spark, [_download_events(p) for p in _pieces(table(spark, sf_dir, "events"))], lambda s: downloads.follow(s, "grab"))
+    events = table(spark, sf_dir, "events")
+    buckets = max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), events.count() // 10_000)
+    return _fed(spark, [_download_events(p) for p in _pieces(events)], lambda s: downloads.follow(s, "grab", buckets=buckets))

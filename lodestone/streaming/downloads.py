@@ -2,8 +2,9 @@
 
 Events of a grab are worked on in order of their time and never before the watermark has passed them, and its
 deadlines fall due between them: so what comes late but within the watermark gives the same as what comes in
-order, and any cut into batches gives what all events at once give (`followed`). A key's state is a row of
-fixed size and the events that still wait; an ended grab is forgotten after `KEEP` seconds.
+order, and any cut into batches gives what all events at once give (`followed`). Of a grab the stream keeps a few
+values and the events that still wait; an ended grab is forgotten after `KEEP` seconds. Grabs are kept by buckets
+of their keys, so that a call and a table go to a bucket and not to each grab.
 
 Kinds of events: `grabbed`; `queued` and `absent` (the download is in a look at the queue, or not); `imported` and
 `failed` (history); `blocked` (its import waits for something that can be put right). What comes out: `seen`;
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain, groupby, islice
+from math import ceil
 from operator import itemgetter
 
 import pandas as pd
@@ -28,7 +30,8 @@ FIXES, BETWEEN_FIXES = 3, 600.0
 KEEP = 7 * 86400.0
 #: Events in one task of the batch form.
 ROWS = 500_000
-STATE = "since double, seen boolean, gone double, fixes long, fixed double, status string, ended double, waiting_at array<double>, waiting_kind array<string>"
+#: A bucket's grabs, in columns: key, next time to look at it, and `Grab.row`.
+STATE = "grab array<{}>, due array<double>, since array<double>, seen array<boolean>, gone array<double>, fixes array<long>, fixed array<double>, status array<string>, ended array<double>, waiting_at array<array<double>>, waiting_kind array<array<string>>"
 OUT = "at double, status string, reason string"
 
 
@@ -53,6 +56,17 @@ class Grab:
             due.append((self.gone + GONE, "failed", "gone"))
         return min(due)
 
+    def over(self, now: float) -> bool:
+        """Whether it may be forgotten."""
+        return self.ended is not None and self.status != "stuck" and now >= self.ended + KEEP and not self.waiting
+
+    def due(self) -> float | None:
+        """The next time at which something is to be done."""
+        times = [self.waiting[0][0]] if self.waiting else []
+        times += [x[0]] if (x := self.deadline()) else []
+        times += [self.ended + KEEP] if self.ended is not None and self.status != "stuck" else []
+        return min(times, default=None)
+
     def advance(self, until: float) -> list[tuple[float, str, str | None]]:
         """Go on to a time: what comes out on the way, events before deadlines of the same time."""
         out: list[tuple[float, str, str | None]] = []
@@ -115,29 +129,43 @@ def followed(events: DataFrame, key: str, now: float) -> DataFrame:
     return rows.repartition(parts, key).distinct().sortWithinPartitions(key, "at", "kind").mapInPandas(run, f"{key} {kind}, {OUT}")
 
 
-def follow(events: DataFrame, key: str, late: str = "10 minutes") -> DataFrame:
-    """Stream form: each row as soon as the watermark has passed what it follows from."""
+def follow(events: DataFrame, key: str, late: str = "10 minutes", buckets: int = 256) -> DataFrame:
+    """Stream form: each row as soon as the watermark has passed what it follows from.
+
+    A bucket's grabs are read and written together whenever one of them has something new or falls due: few buckets
+    suit much that comes at once, many suit small batches over many open grabs. Their number holds for the
+    life of a checkpoint, as does the number of shuffle partitions.
+    """
     kind = events.schema[key].dataType.simpleString()
-    rows = events.where(F.col(key).isNotNull() & F.col("at").isNotNull() & F.col("kind").isNotNull()).select(key, F.col("at").cast("double").alias("at"), "kind")
-    timed = rows.withColumn("time", F.timestamp_seconds("at")).withWatermark("time", late)
+    held = kind if kind in ("tinyint", "smallint", "int", "bigint", "string") else "string"
+    rows = events.where(F.col(key).isNotNull() & F.col("at").isNotNull() & F.col("kind").isNotNull()).select(F.col(key).cast(held).alias(key), F.col("at").cast("double").alias("at"), "kind")
+    timed = rows.withColumns({"time": F.timestamp_seconds("at"), "_bucket": F.pmod(F.xxhash64(key), F.lit(buckets))}).withWatermark("time", late)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        grab = Grab(*state.get) if state.exists else Grab()
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs() / 1000
-        for batch in batches:
-            grab.waiting += zip(batch["at"].astype(float).tolist(), batch["kind"].tolist(), strict=True)
-        grab.waiting = sorted(set(grab.waiting))
-        out = grab.advance(now)
-        if grab.ended is not None and grab.status != "stuck" and now >= grab.ended + KEEP and not grab.waiting:
-            state.remove()
+        kept = {k: own for k, *own in zip(*state.get, strict=True)} if state.exists else {}
+        new: dict = {}
+        for b in batches:
+            for k, at, what in zip(b[key].tolist(), b["at"].tolist(), b["kind"].tolist(), strict=True):
+                new.setdefault(k, set()).add((at, what))
+        out = []
+        for k in [*(k for k, own in kept.items() if own[0] is not None and own[0] <= now and k not in new), *new]:
+            grab = Grab(*kept[k][1:]) if k in kept else Grab()
+            grab.waiting = sorted({*grab.waiting, *new.get(k, ())})
+            out += [(k, *x) for x in grab.advance(now)]
+            if grab.over(now):
+                kept.pop(k, None)
+            else:
+                kept[k] = (grab.due(), *grab.row())
+        if kept:
+            state.update(tuple(map(list, zip(*((k, *own) for k, own in kept.items()), strict=True))))
+            if (due := min((own[0] for own in kept.values() if own[0] is not None), default=None)) is not None:
+                # a time falls due once the watermark is past the timeout, by a millisecond or more
+                state.setTimeoutTimestamp(max(ceil(due * 1000) - 1, state.getCurrentWatermarkMs(), 1))
         else:
-            due = [grab.waiting[0][0]] if grab.waiting else []
-            due += [grab.deadline()[0]] if grab.deadline() else []
-            due += [grab.ended + KEEP] if grab.ended is not None and grab.status != "stuck" else []
-            state.update(grab.row())
-            if due:
-                state.setTimeoutTimestamp(max(int(min(due) * 1000), state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame([(k[0], *x) for x in out], columns=[key, "at", "status", "reason"])
-
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {OUT}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            state.remove()
+        for k in range(0, len(out), 10_000):
+            yield pd.DataFrame(out[k : k + 10_000], columns=[key, "at", "status", "reason"])
+
+    found = timed.groupBy("_bucket").applyInPandasWithState(step, f"{key} {held}, {OUT}", STATE.format(held), "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn(key, F.col(key).cast(kind))

@@ -124,3 +124,37 @@ def test_grabs_of_a_part_are_followed_one_after_the_other(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grabs_of_a_bucket_are_kept_together(spark, tmp_path):
+    """A row of state for a bucket, not for each grab; a deadline at the very watermark; an ended grab is forgotten beside one that waits."""
+    later = 1_000_000.0 - 600 + downloads.KEEP
+    ended = (900, 5.0, "imported")
+    pieces = [[*_events(random.Random(5), 40), ended], [(999, 1_000_000.0, "grabbed")], [(901, later, "grabbed")], [(900, later + 100, "queued"), (999, later + 2400, "absent")]]
+    got: list = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for piece in pieces:
+            spark.createDataFrame(piece, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = downloads.follow(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), "grab", buckets=3)
+            q = stream.writeStream.outputMode("append").foreachBatch(lambda d, k: got.extend(map(tuple, d.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+            assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(900, *x) for x in ((5.0, "imported", None), (later + 100, "seen", None))} == {x for x in got if x[0] == 900}
+    assert (901, later + 1800, "failed", "not seen") in got
+    rest = spark.createDataFrame([r for piece in pieces for r in piece if r != ended], SCHEMA)
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in downloads.followed(rest, "grab", later + 1800).collect()} | {(900, 5.0, "imported", None)}
+
+
+@pytest.mark.parametrize("kind", ["string", "date"])
+def test_keys_of_other_types(spark, tmp_path, kind):
+    rows = spark.createDataFrame([("2024-01-01", 10.0, "queued"), ("2024-01-02", 5000.0, "queued")], "grab string, at double, kind string").selectExpr(f"cast(grab as {kind}) grab", "at", "kind")
+    rows.write.parquet(f"{tmp_path}/in")
+    got: list = []
+    stream = downloads.follow(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "grab", buckets=1)
+    assert stream.schema["grab"].dataType == rows.schema["grab"].dataType
+    stream.writeStream.outputMode("append").foreachBatch(lambda d, k: got.extend(map(tuple, d.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert set(got) == set(map(tuple, downloads.followed(rows, "grab", 5000.0 - 600).collect())) and len(got) == 1
