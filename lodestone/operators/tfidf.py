@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import cache
 from itertools import pairwise
 from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from ..storage import stored
 _WORD = re.compile(r"\b[a-z][a-z']+\b")
 #: Reference vectors, and weights of words, of up to this many rows are broadcast (about 100 bytes each); beyond it, joined by shuffles.
 BROADCAST_ROWS = 1_000_000
+#: The set of terms whose weights are fetched has 8 bits or more for each, but not more than this (64 MB).
+MOST_BITS = 1 << 29
 
 
 @cache
@@ -142,13 +145,19 @@ def frequencies(texts: DataFrame, key: str, text: str = "text", terms: Terms = T
 
 @dataclass
 class Weights:
-    """Word weights: term, idf; null for terms that are left out."""
+    """Word weights: term, idf; null for terms that are left out. `once`: the weight of each term that isn't listed, as one text
+    alone has it; the texts to weigh are among those of the fit then. Without it unlisted terms don't count."""
 
     idf: DataFrame
+    once: float | None = None
 
     def weighted(self, counts: DataFrame, key: str) -> DataFrame:
         """key, term, x: 1 + ln n times idf; unknown terms don't count."""
-        return counts.join(self.idf.where("idf is not null"), "term").select(key, "term", _weight().alias("x"))
+        if self.once is None:
+            return counts.join(self.idf.where("idf is not null"), "term").select(key, "term", _weight().alias("x"))
+        listed = self.idf.withColumn("_listed", F.lit(True))
+        idf = F.when(F.col("_listed"), F.col("idf")).otherwise(F.lit(self.once))
+        return counts.join(listed, "term", "left").withColumn("idf", idf).where("idf is not null").select(key, "term", _weight().alias("x"))
 
     def vectors(self, counts: DataFrame, key: str) -> DataFrame:
         """key, term, w: weights scaled to length one."""
@@ -161,14 +170,20 @@ def _weight() -> Column:
     return (1 + F.log("n")) * F.col("idf")
 
 
-def fit(counts: DataFrame, n_docs: DataFrame, max_df: float | None = None) -> Weights:
+def fit(counts: DataFrame, n_docs: DataFrame, max_df: float | None = None, once: bool = False) -> Weights:
     """Smoothed idf over texts' terms (term, and in how many texts: df, 1 if that isn't there); n_docs has one row and column n, the
-    number of texts. With max_df and ten texts or more, terms in a larger share of them are left out."""
-    rows = counts.groupBy("term").agg((F.sum("df") if "df" in counts.columns else F.count("*")).alias("df")).crossJoin(F.broadcast(n_docs))  # one row
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    if max_df is not None:
-        idf = F.when((F.col("n") < 10) | (F.col("df") <= max_df * F.col("n")), idf)
-    return Weights(rows.select("term", idf.alias("idf")))
+    number of texts. With max_df and ten texts or more, terms in a larger share of them are left out. With `once`, terms of
+    one text alone, which are most of them, aren't listed but have their common weight (see Weights)."""
+
+    def idf(df: Column) -> Column:
+        w = F.log((1 + F.col("n")) / (1 + df)) + 1
+        return w if max_df is None else F.when((F.col("n") < 10) | (df <= max_df * F.col("n")), w)
+
+    rows = counts.groupBy("term").agg((F.sum("df") if "df" in counts.columns else F.count("*")).alias("df"))
+    single = n_docs.select(idf(F.lit(1))).first()[0] if once else None
+    if single is not None:
+        rows = rows.where("df > 1")
+    return Weights(rows.crossJoin(F.broadcast(n_docs)).select("term", idf(F.col("df")).alias("idf")), single)  # one row
 
 
 @dataclass
@@ -199,10 +214,42 @@ class Known:
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
+def _places(terms: list[str], size: int) -> np.ndarray:
+    return np.fromiter((crc32(t.encode()) for t in terms), np.int64, len(terms)) % size
+
+
+def _set_of(terms: DataFrame, n: int, piece: int = 1 << 20) -> np.ndarray:
+    """A bit for each of n terms, at its place (`_places`) among 8 n or more; terms that share one look alike. Bytes come to the
+    driver in pieces that tasks put together."""
+    size = min(MOST_BITS, 1 << (8 * max(n, 128)).bit_length())
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"place": pa.array(_places(batch["term"].to_pylist(), size))})
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch["place"].to_numpy()
+            for k in np.unique(place // (8 * piece)).tolist():
+                own = place[place // (8 * piece) == k] - k * 8 * piece
+                np.bitwise_or.at(bits.setdefault(k, np.zeros(piece, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+        for k, b in bits.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "bits": pa.array([b.tobytes()], pa.binary())})
+
+    places = terms.select("term").mapInArrow(placed, "place long")
+    out = np.zeros(max(1, size // (8 * piece)) * piece, np.uint8)
+    for k, b in places.repartition(F.floor(F.col("place") / (8 * piece))).mapInArrow(packed, "k long, bits binary").collect():
+        out[k * piece : (k + 1) * piece] = np.frombuffer(b, np.uint8)
+    return out[: max(1, size // 8)]
+
+
 def _known(idf: DataFrame, references: DataFrame, ref: str) -> Known:
     """Few weights and few references' vectors, as all tasks hold them."""
     table, rows = idf.select("term", "idf").toArrow(), references.select(ref, "term", "w").toArrow()
-    terms, by_ref = pa.array(table["term"].to_pylist(), pa.string()), rows[ref].combine_chunks().dictionary_encode()
+    terms = pa.array(table["term"].to_pylist(), pa.string())
+    rows = rows.filter(pc.is_in(rows["term"], value_set=terms))  # others are in no text that is weighed
+    by_ref = rows[ref].combine_chunks().dictionary_encode()
     at = pc.index_in(rows["term"].combine_chunks(), value_set=terms).to_numpy()
     order = np.argsort(at, kind="stable")
     first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
@@ -212,40 +259,49 @@ def _known(idf: DataFrame, references: DataFrame, ref: str) -> Known:
 def scores(texts: DataFrame, weights: Weights, references: DataFrame, key: str, ref: str, terms: Terms = Terms(), parts: int | None = None) -> DataFrame:  # noqa: B008
     """key, ref and the cosine of each pair of a text (key, text) and a reference that share a term, from reference vectors
     (ref, term, w). Where these are few, texts are dealt out by key and stay there: the weights of references' terms and of the
-    most frequent others are sent to all tasks, and of a text's rare terms only what they add to its length is fetched."""
+    most frequent others are sent to all tasks, and of a text's rare terms only what they add to its length is fetched. Terms
+    that aren't listed are told by a set of bits and not asked for, but for some that look like a listed one."""
     if references.count() > BROADCAST_ROWS:
         weighted = weights.weighted(counts(texts, key, "text", terms, parts), key)
         norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
         sums = weighted.join(references, "term").groupBy(key, ref).agg(F.sum(F.col("x") * F.col("w")).alias("s"))
         return sums.join(norm, key).select(key, ref, (F.col("s") / F.col("_norm")).alias("score"))
-    idf, total, often = weights.idf, weights.idf.count(), F.lit(True)
+    idf, once, total, often = weights.idf, weights.once, weights.idf.count(), F.lit(True)
     fetched = total > BROADCAST_ROWS
     if fetched:
         limit = idf.approxQuantile("idf", [BROADCAST_ROWS / total], 0.001)[0]
         often = F.col("_shared").isNotNull() | F.col("idf").isNull() | (F.col("idf") < limit)
         idf = idf.join(F.broadcast(references.select("term").distinct().withColumn("_shared", F.lit(True))), "term", "left")
-    held = texts.sparkSession.sparkContext.broadcast(_known(idf.where(often), references, ref))
+    known = _known(idf.where(often), references, ref)
+    listed = _set_of(idf.where(~often), total - len(known.terms)) if fetched else np.zeros(1, np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast((known, listed))
     kind = references.schema[ref].dataType.simpleString()
 
     @F.arrow_udf(f"struct<sq:double,pairs:array<struct<ref:{kind},s:double>>,rare:array<struct<term:string,n:bigint>>>")
     def met(texts: pa.Array) -> pa.Array:
-        known, rows = held.value, len(texts)
+        (known, listed), rows = held.value, len(texts)
         row, term, n = terms.counted(texts.to_pylist())
         at = pc.fill_null(pc.index_in(term, value_set=known.terms), -1).to_numpy()
-        far = (at < 0) & fetched
+        far = at < 0
+        place = _places(term.filter(pa.array(far)).to_pylist(), 8 * len(listed))
+        far[far] = listed[place >> 3] >> (place & 7) & 1
         rare = lists(row[far], rows, term=term.filter(pa.array(far)), n=pa.array(n[far]))
-        x = (1 + np.log(n)) * known.idf[at] if len(known.idf) else np.full(len(at), np.nan)
-        counts = (at >= 0) & ~np.isnan(x)
+        weight = np.append(known.idf, np.nan if once is None else once)[at]
+        x = (1 + np.log(n)) * np.where(far, np.nan, weight)
+        counts = ~np.isnan(x)
         row, at, x = row[counts], at[counts], x[counts]
-        own, other, s = known.products(row, at, x, rows)
-        return pa.StructArray.from_arrays([pa.array(np.bincount(row, x * x, rows)), lists(own, rows, ref=known.refs.take(pa.array(other)), s=pa.array(s)), rare], ["sq", "pairs", "rare"])
+        sq, some = np.bincount(row, x * x, rows), at >= 0
+        own, other, s = known.products(row[some], at[some], x[some], rows)
+        return pa.StructArray.from_arrays([pa.array(sq), lists(own, rows, ref=known.refs.take(pa.array(other)), s=pa.array(s)), rare], ["sq", "pairs", "rare"])
 
     rows = _by_key(texts, key, "text", parts).select(key, met("_texts").alias("m")).select(key, F.col("m.sq").alias("_sq"), F.col("m.pairs").alias("_pairs"), F.col("m.rare").alias("_far"))
     if fetched:
         rows = stored(rows, "met")
         far = rows.select(key, F.explode("_far").alias("t")).select(key, "t.term", "t.n")
         far = far.repartition(parts, "term") if parts else far
-        far = far.join(idf.where(~often).select("term", "idf"), "term").groupBy(key).agg(F.sum(_weight() * _weight()).alias("_rare"))
+        unlisted = F.lit(once).cast("double")
+        rarer = idf.where(~often).select("term", "idf")  # those have a weight
+        far = far.join(rarer, "term", "left").withColumn("idf", F.coalesce("idf", unlisted)).groupBy(key).agg(F.sum(_weight() * _weight()).alias("_rare"))
         rows = rows.join(far, key, "left").withColumn("_sq", F.col("_sq") + F.coalesce("_rare", F.lit(0.0)))
     pairs = rows.select(key, "_sq", F.explode_outer("_pairs").alias("r")).where("r is not null")
     return pairs.select(key, F.col("r.ref").alias(ref), (F.col("r.s") / F.sqrt("_sq")).alias("score"))

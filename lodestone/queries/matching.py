@@ -34,7 +34,8 @@ def _scored(spark, sf_dir, background=False, stop=False, bigrams=False, max_df=N
     if background:
         known = known.unionByName(tfidf.frequencies(docs, "doc_id", "text", terms, parts))
         n = n.unionByName(docs.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
-    weights = tfidf.Weights(stored(tfidf.fit(known, n, max_df).idf, "idf"))
+    weights = tfidf.fit(known, n, max_df, once=background)
+    weights = tfidf.Weights(stored(weights.idf, "idf"), weights.once)
     return tfidf.scores(docs, weights, stored(weights.vectors(rt, "item_id"), "vectors"), "doc_id", "item_id", terms, parts)
 
 
